@@ -121,7 +121,7 @@ def _carried(df: DataFrame, series: Series, aggs: list[Column]) -> DataFrame:
     return df.groupBy(*series.keys, bucket_of(series).alias("_b")).agg(*aggs)
 
 
-def _fill(df: DataFrame, cols: list[str], series: Series, forward: bool) -> DataFrame:
+def _fill(df: DataFrame, cols: list[str], series: Series, forward: bool, tie: tuple[str, ...] = ()) -> DataFrame:
     pick = F.max_by if forward else F.min_by
     edge = F.last if forward else F.first
     aggs = [pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(series.time))).alias(f"_edge_{c}") for c in cols]
@@ -132,7 +132,7 @@ def _fill(df: DataFrame, cols: list[str], series: Series, forward: bool) -> Data
     carry = _carried(df, series, aggs).select(
         *series.keys, "_b", *[edge(F.col(f"_edge_{c}"), ignorenulls=True).over(beyond).alias(f"_edge_{c}") for c in cols]
     )
-    near = Window.partitionBy(*series.keys, "_b").orderBy(series.time)
+    near = Window.partitionBy(*series.keys, "_b").orderBy(series.time, *tie)
     near = (
         near.rowsBetween(Window.unboundedPreceding, 0) if forward else near.rowsBetween(0, Window.unboundedFollowing)
     )
@@ -145,9 +145,12 @@ def _fill(df: DataFrame, cols: list[str], series: Series, forward: bool) -> Data
     )
 
 
-def forward_fill(df: DataFrame, cols: list[str], series: Series = DAILY) -> DataFrame:
-    """Latest non-null value at or before each row, across the whole series."""
-    return _fill(df, cols, series, True)
+def forward_fill(df: DataFrame, cols: list[str], series: Series = DAILY, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Latest non-null value at or before each row, across the whole series.
+
+    Rows of equal time are taken in the order of ``tie``.
+    """
+    return _fill(df, cols, series, True, tie)
 
 
 def backward_fill(df: DataFrame, cols: list[str], series: Series = DAILY) -> DataFrame:

@@ -47,6 +47,7 @@ class Module:
     build: Callable[[Context], Stages]
     lookback: Callable[[FeatureSettings], int]
     needs: tuple[str, ...] = ("close",)
+    lookahead: Callable[[FeatureSettings], int] = lambda cfg: 0
 
 
 def price_column(df: DataFrame) -> Column:
@@ -254,6 +255,97 @@ def performance(c: Context) -> Stages:
     return [first, second]
 
 
+def realised(c: Context) -> Stages:
+    """Five-row annualised deviation of percent log returns, and a 20-row market proxy."""
+    return [
+        {
+            "_r100": F.col("ret") * 100,
+            "proxy_vol": rolling(F.stddev_samp, "ret", c.w, 20, 10) * ANNUAL,
+        },
+        {"realised_vol": rolling(F.stddev_samp, "_r100", c.w, 5, 2) * ANNUAL},
+    ]
+
+
+def targets(c: Context) -> Stages:
+    """Volatility of the next five rows (plain and logged), next return and next close."""
+    vol = rolling(F.stddev_samp, "ret", c.w, 5) * ANNUAL
+    ahead = F.lead("vol5", 5).over(c.w)
+    return [
+        {"vol5": vol, "next_close": F.lead("price", 1).over(c.w)},
+        {"target_vol5": ahead, "next_return": ratio("next_close", "price") - 1},
+        {"target_vol5_log": log_volatility("target_vol5", c.cfg.log_epsilon)},
+    ]
+
+
+def simple_targets(c: Context) -> Stages:
+    """Volatility, return and direction five rows ahead; a missing future counts as not up."""
+    h = 5
+    return [
+        {"_pc": pct_change("close", 1, c.w)},
+        {"_sd5": rolling(F.stddev_samp, "_pc", c.w, 5)},
+        {
+            "target_volatility": F.lead("_sd5", h).over(c.w),
+            "target_return": F.lead("_pc", h).over(c.w),
+            "target_direction": F.coalesce(F.lead("_pc", h).over(c.w) > 0, F.lit(False)).cast("int"),
+            "up_5": F.coalesce(F.lead("ret", 5).over(c.w) > 0, F.lit(False)).cast("int"),
+            "up_10": F.coalesce(F.lead("ret", 10).over(c.w) > 0, F.lit(False)).cast("int"),
+        },
+    ]
+
+
+def regimes(c: Context) -> Stages:
+    """Bull/Bear/Sideways by slope of cumulative returns, by their sum, and by volatility rank.
+
+    The slope is unchanged by a constant, so the running sum may start at the chunk. A row
+    without a return has no label.
+    """
+    cfg, k = c.cfg, max(5, c.cfg.regime_window)
+    least = max(5, k // 2)
+    frame = last_rows(c.w, k)
+    enough = F.count("ret").over(frame) >= least
+
+    def label(x: str, up: float, down: float) -> Column:
+        side = F.when(F.col(x) > up, "Bull").when(F.col(x) < down, "Bear").otherwise("Sideways")
+        return F.when(F.col("ret").isNotNull(), side)
+
+    strict = F.when(F.col("_sum_all") > cfg.bull_threshold, "Bull").when(F.col("_sum_all") < cfg.bear_threshold, "Bear")
+    strict = strict.when(F.col("_sum_all").isNotNull(), "Sideways")
+    least_v = max(10, k // 2)
+    enough_v = F.count("_vol").over(frame) >= least_v
+    by_vol = F.when(F.col("_vol") <= F.col("_q33"), "Bull").when(F.col("_vol") >= F.col("_q67"), "Bear")
+    by_vol = by_vol.when((F.col("_vol") > F.col("_q33")) & (F.col("_vol") < F.col("_q67")), "Sideways")
+    return [
+        {
+            "_cum": F.when(F.col("ret").isNotNull(), F.sum("ret").over(so_far(c.w))),
+            "_sum": F.when(enough, F.sum("ret").over(frame)),
+            "_sum_all": rolling(F.sum, "ret", c.w, k),
+            "_vol": rolling(F.stddev_samp, "ret", c.w, 20) * ANNUAL,
+        },
+        {
+            "_slope": F.when(enough, F.regr_slope(F.col("_cum"), F.col("_rn").cast("double")).over(frame)),
+            "_q33": F.when(enough_v, F.percentile(F.col("_vol"), F.lit(0.33)).over(frame)),
+            "_q67": F.when(enough_v, F.percentile(F.col("_vol"), F.lit(0.67)).over(frame)),
+        },
+        {
+            "regime": label("_slope", cfg.bull_threshold / k, cfg.bear_threshold / k),
+            "regime_threshold": label("_sum", cfg.bull_threshold, cfg.bear_threshold),
+            "regime_strict": strict,
+            "regime_by_vol": by_vol,
+        },
+        {"regime_code": regime_code("regime")},
+    ]
+
+
+def log_volatility(x: str, epsilon: float = 1e-6) -> Column:
+    return F.when(F.col(x).isNotNull(), F.log(F.greatest(F.col(x), F.lit(0.0)) + epsilon))
+
+
+def regime_code(x: str) -> Column:
+    """Bear 0, Sideways 1, Bull 2."""
+    c = F.col(x)
+    return F.when(c == "Bear", 0).when(c == "Sideways", 1).when(c == "Bull", 2)
+
+
 def cached_indicators(c: Context) -> Stages:
     """The columns kept beside cached bars: returns, volatility, SMA 20/50, simple RSI."""
     w = c.w
@@ -263,7 +355,7 @@ def cached_indicators(c: Context) -> Stages:
             [
                 {"returns": pct_change("close", 1, w), "log_returns": safe_log(ratio("close", F.lag("close", 1).over(w)))},
                 {
-                    "volatility": rolling(F.stddev_samp, "returns", w, 20) * ANNUAL,
+                    "volatility": rolling(F.stddev_samp, "returns", w, 20),
                     "sma_20": rolling(F.avg, "close", w, 20),
                     "sma_50": rolling(F.avg, "close", w, 50),
                 },
@@ -283,6 +375,10 @@ MODULES: dict[str, Module] = {
         Module("nonlinear", nonlinear, lambda cfg: cfg.separation + 21),
         Module("performance", performance, lambda cfg: 21, ("close", "volume")),
         Module("cached", cached_indicators, lambda cfg: 51),
+        Module("realised", realised, lambda cfg: 21),
+        Module("targets", targets, lambda cfg: 6, ("close",), lambda cfg: 5),
+        Module("simple_targets", simple_targets, lambda cfg: 6, ("close",), lambda cfg: 10),
+        Module("regimes", regimes, lambda cfg: 2 * max(5, cfg.regime_window) + 21),
     )
 }
 DEFAULT_MODULES = ("technical", "statistical", "calendar", "lagged", "nonlinear", "performance")
@@ -308,7 +404,7 @@ def check_columns(df: DataFrame, needed: Iterable[str]) -> None:
 
 def features(
     bars: DataFrame,
-    modules: Iterable[str] | None = None,
+    modules: Iterable[str | Module] | None = None,
     cfg: FeatureSettings | None = None,
     series: Series = DAILY,
     extra: Iterable[str] = (),
@@ -320,9 +416,10 @@ def features(
     cfg = cfg or FeatureSettings()
     if modules is None:
         modules = ("lagged",) if cfg.only_price_lags else DEFAULT_MODULES
-    chosen = [MODULES[m] for m in modules]
+    chosen = [m if isinstance(m, Module) else MODULES[m] for m in modules]
     check_columns(bars, {c for m in chosen for c in m.needs} | {*series.keys, series.time})
-    lookback = max([m.lookback(cfg) for m in chosen] + [1])
+    lookback = max([m.lookback(cfg) for m in chosen]) + 1
+    lookahead = max(m.lookahead(cfg) for m in chosen)
     produced: list[str] = []
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
@@ -333,6 +430,44 @@ def features(
             produced.extend(n for n in stage if not n.startswith("_") and n not in produced)
         return rows
 
-    out = over_series(bars, build, series, lookback)
+    out = over_series(bars, build, series, lookback, lookahead)
     keep = [*series.keys, series.time, *[x for x in extra if x not in produced], *produced]
     return out.select(*dict.fromkeys(keep))
+
+
+def lag_prices(
+    bars: DataFrame, lags: Iterable[int] = (1, 2, 3, 5, 10), averages: Iterable[int] = (30, 60), series: Series = DAILY
+) -> DataFrame:
+    """Lagged returns, lagged prices over the last price of the series, and MA over price.
+
+    The last price is one partial-aggregated row per series. Rows lacking any column are
+    dropped; a lag or average not shorter than the series is left NULL without dropping.
+    """
+    lags, averages = list(lags), list(averages)
+    last = bars.groupBy(*series.keys).agg(F.max_by("close", series.time).alias("_last"))
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_pc", pct_change("close", 1, w))
+        cols = {f"return_t_{n}": F.lag("_pc", n).over(w) for n in lags}
+        cols |= {f"_price_{n}": F.lag("close", n).over(w) for n in lags}
+        cols |= {f"ma_{k}": ratio(rolling(F.avg, "close", w, k), "close") - 1 for k in averages}
+        return rows.withColumns(cols)
+
+    out = over_series(bars, build, series, max(lags + averages) + 2).join(last, list(series.keys))
+    out = out.withColumns({f"price_t_{n}": ratio(f"_price_{n}", "_last") - 1 for n in lags})
+    names = {f"return_t_{n}": n for n in lags} | {f"price_t_{n}": n for n in lags} | {f"ma_{k}": k for k in averages}
+    for name, span in names.items():
+        out = out.filter(F.col(name).isNotNull() | (F.col("_n") <= span))
+    return out.select(*series.keys, series.time, *names)
+
+
+def sequences(bars: DataFrame, length: int, target: Column, series: Series = DAILY, lookahead: int = 1) -> DataFrame:
+    """``x_seq``: the ``length`` closes before each row; ``y``: target of that row."""
+
+    def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        return rows.withColumns(
+            {"x_seq": F.collect_list("close").over(w.rowsBetween(-length, -1)), "y": target.over(w) if target is not None else F.lit(None)}
+        )
+
+    out = over_series(bars, build, series, length + 1, lookahead)
+    return out.filter(F.size("x_seq") == length).select(*series.keys, series.time, F.col("_rn").alias("rn"), "x_seq", "y")

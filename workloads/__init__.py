@@ -1,4 +1,4 @@
 """Queries on the given tables, each with the SQL it is checked against."""
 
-from workloads import windows  # noqa: F401
+from workloads import cleaning, folds, joins, metrics, windows  # noqa: F401
 from workloads.registry import QUERIES, SQL  # noqa: F401

@@ -84,8 +84,83 @@ def roll_corr(x: str, y: str, k: int, w: str = W) -> str:
 
 
 def rnd(x: str, name: str, digits: int = 6) -> str:
-    return f"CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN round(CAST({x} AS DOUBLE), {digits}) + 0.0 END AS {name}"
+    return f'CASE WHEN isfinite(CAST({x} AS DOUBLE)) THEN round(CAST({x} AS DOUBLE), {digits}) + 0.0 END AS "{name}"'
 
 
 def with_sql(*ctes: str, select: str, bars: str = PRIORITY_SQL) -> str:
     return "WITH " + ",\n".join((bars, RETURNS_SQL, *ctes)) + "\n" + select
+
+
+# ---- predictions ----------------------------------------------------------------------
+
+TRAIN, VAL, STEP = 200, 60, 60
+
+
+def _forecast_stages(c):
+    from tideline.functions.safe import ANNUAL, rolling
+
+    return [
+        {"last": rolling(F.stddev_samp, "ret", c.w, 5) * ANNUAL},
+        {"y": F.lead("last", 5).over(c.w), "mean60": rolling(F.avg, "last", c.w, 60)},
+    ]
+
+
+def forecast_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(asset, ts, rn, n, y, last, mean60): forward volatility and two simple forecasts."""
+    from tideline.operators.features import Module, features
+
+    module = Module("forecasts", _forecast_stages, lambda cfg: 70, ("close",), lambda cfg: 5)
+    df = features(priority_bars(spark, sf), [module], extra=["_rn", "_n"])
+    return df.withColumnsRenamed({"_rn": "rn", "_n": "n"})
+
+
+def sliding_folds(spark: SparkSession, sf: str, step: int = STEP) -> DataFrame:
+    from tideline.operators.folds import lengths, sliding_splits
+
+    return sliding_splits(lengths(priority_bars(spark, sf)), TRAIN, VAL, step)
+
+
+def predictions_reg(spark: SparkSession, sf: str, step: int = STEP) -> DataFrame:
+    from tideline.operators.align import range_join
+
+    rows = forecast_rows(spark, sf).filter(F.col("y").isNotNull()).select("asset", "ts", "rn", "y", "last", "mean60")
+    folds = sliding_folds(spark, sf, step).select("asset", "fold", "test_lo", "test_hi")
+    test = range_join(rows, folds, ["asset"], "rn", "test_lo", "test_hi", 64)
+    long = test.unpivot(["asset", "fold", "ts", "y"], ["last", "mean60"], "model", "y_pred")
+    return long.select("asset", "model", "fold", "ts", F.col("y").alias("y_true"), "y_pred")
+
+
+def predictions_clf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    prob = F.col("n_chars") / (F.col("n_chars") + 1000)
+    rows = table(spark, sf, "labels").join(docs, "doc_id").withColumn("y_prob", prob)
+    return rows.select(
+        "doc_id",
+        (F.col("doc_id") % 5).alias("fold"),
+        F.col("quality").alias("y_true"),
+        "y_prob",
+        (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"),
+    )
+
+
+def prediction_ctes(step: int = STEP, tag: str = "") -> tuple[str, ...]:
+    return (
+        f"pv{tag} AS (SELECT *, ({roll('stddev_samp', 'ret', 5)}) * sqrt(252.0) AS last FROM r)",
+        f"py{tag} AS (SELECT *, lead(last, 5) OVER ({W}) AS y, {roll('avg', 'last', 60)} AS mean60 FROM pv{tag})",
+        f"folds{tag} AS (SELECT asset, k AS fold, {step} * k AS train_lo, {step} * k + {TRAIN} AS train_hi, {step} * k + {TRAIN} AS test_lo, "
+        f"{step} * k + {TRAIN + VAL} AS test_hi FROM (SELECT DISTINCT asset, n, unnest(range(0, CASE WHEN n >= {TRAIN + VAL} THEN (n - {TRAIN + VAL}) // {step} + 1 ELSE 0 END)) AS k FROM r))",
+        f"test{tag} AS (SELECT p.asset, fold, ts, rn, y, last, mean60 FROM py{tag} p JOIN folds{tag} f ON f.asset = p.asset AND rn >= test_lo AND rn < test_hi WHERE y IS NOT NULL)",
+        f"preds{tag} AS (SELECT asset, 'last' AS model, fold, ts, y AS y_true, last AS y_pred FROM test{tag} "
+        f"UNION ALL SELECT asset, 'mean60', fold, ts, y, mean60 FROM test{tag})",
+    )
+
+
+PREDS = prediction_ctes()
+CLF_SQL = """clf AS (SELECT doc_id, doc_id % 5 AS fold, quality AS y_true, n_chars / (n_chars + 1000.0) AS y_prob,
+  CASE WHEN n_chars / (n_chars + 1000.0) >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM labels JOIN documents USING (doc_id))"""
+FOLD_METRICS_SQL = """fm AS (SELECT asset, model, fold, avg((y_true - y_pred) ** 2) AS mse, sqrt(avg((y_true - y_pred) ** 2)) AS rmse,
+  avg(abs(y_true - y_pred)) AS mae, avg(abs(y_true - y_pred) / greatest(abs(y_true), 1e-8)) AS mape,
+  2 * avg(abs(y_true - y_pred) / (abs(y_true) + abs(y_pred) + 1e-8)) AS smape,
+  1 - sum((y_true - y_pred) ** 2) / (var_pop(y_true) * count(*)) AS r2,
+  stddev_pop(y_pred) / (stddev_pop(y_true) + 1e-8) AS vol_ratio, count(*) AS test_size
+  FROM preds GROUP BY 1, 2, 3)"""
