@@ -121,17 +121,18 @@ def differences(df: DataFrame, x: str, series: Series = DAILY) -> DataFrame:
 def choose_differencing(df: DataFrame, x: str, series: Series = DAILY, most: int = 2, least: int = 50) -> DataFrame:
     """(keys, d): fewest differences that make the series stationary, stopping when short."""
     keys = list(series.keys)
-    diffs = differences(df.select(*keys, series.time, x), x, series)
-    out = None
-    for d in range(most + 1):
-        part = stationarity(diffs.filter(F.col(f"d{d}").isNotNull()), f"d{d}", series)
-        part = part.select(*keys, F.col("is_stationary").alias(f"_ok{d}"), F.col("n").alias(f"_n{d}"))
-        out = part if out is None else out.join(part, keys, "left")
+    orders = [f"d{d}" for d in range(most + 1)]
+    diffs = differences(df.select(*keys, series.time, x), x, series).select(*keys, series.time, *orders)
+    long = diffs.unpivot([*keys, series.time], orders, "_order", "_x").filter(F.col("_x").isNotNull())
+    per_order = Series((*keys, "_order"), series.time, series.bucket_days, series.chunk_rows)
+    tested = stationarity(long, "_x", per_order)
+    of = lambda d, c: F.max(F.when(F.col("_order") == f"d{d}", F.col(c)))
+    cells = [of(d, c).alias(f"_{c}{d}") for d in range(most + 1) for c in ("is_stationary", "n")]
     pick = F.lit(most)
     for d in reversed(range(most)):
         short = F.coalesce(F.col(f"_n{d + 1}") < least, F.lit(True))
-        pick = F.when(F.col(f"_ok{d}") | short, F.lit(d)).otherwise(pick)
-    return out.select(*keys, pick.alias("d"))
+        pick = F.when(F.col(f"_is_stationary{d}") | short, F.lit(d)).otherwise(pick)
+    return tested.groupBy(*keys).agg(*cells).select(*keys, pick.alias("d"))
 
 
 def decompose(df: DataFrame, x: str, period: int, series: Series = DAILY) -> DataFrame:

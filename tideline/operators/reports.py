@@ -131,3 +131,10 @@ def store_summary(results: DataFrame, predictions: DataFrame, features: Sequence
     return results.agg(
         F.count_distinct("asset").alias("assets"), key("asset", "model", "task").alias("models")
     ).withColumn("predictions", preds).withColumn("features", F.lit(len(features)).cast("bigint"))
+
+
+def compare_runs(metrics: DataFrame, run_ids: Sequence[str], metric: str) -> DataFrame:
+    """One column per run of a metric, by asset, model and task."""
+    chosen = metrics.filter(F.col("run_id").isin(*run_ids))
+    cells = [F.max(F.when(F.col("run_id") == r, F.col(metric))).alias(r) for r in run_ids]
+    return chosen.groupBy("asset", "model", "task").agg(*cells)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.ranks import exact_quantiles
-from tideline.functions.safe import corr, is_inf
+from tideline.functions.safe import corr, finite, is_inf
 from tideline.operators.cleaning import unpivot
 
 
@@ -48,10 +48,14 @@ def high_pairs(matrix: DataFrame, limit: float = 0.95) -> DataFrame:
 
 
 def quality_flags(df: DataFrame, cols: Sequence[str], limit: float = 0.95) -> DataFrame:
-    """One row: infinite cells, and column pairs correlated beyond the limit (warnings only)."""
+    """One row: infinite cells, and column pairs correlated beyond the limit (warnings only).
+
+    Infinite cells are left out of the correlations.
+    """
     cells = sum((F.count_if(is_inf(c)) for c in cols[1:]), F.count_if(is_inf(cols[0])))
     infinite = df.agg(cells.alias("n")).scalar()
-    pairs = high_pairs(correlation_matrix(df, cols), limit).agg(F.count(F.lit(1)).alias("high_pairs"))
+    finite_cols = df.select(*[finite(c).alias(c) for c in cols])
+    pairs = high_pairs(correlation_matrix(finite_cols, cols), limit).agg(F.count(F.lit(1)).alias("high_pairs"))
     return pairs.withColumn("infinite", infinite).withColumn("is_clean", (F.col("infinite") == 0) & (F.col("high_pairs") == 0))
 
 

@@ -69,15 +69,13 @@ def corr_matrix(spark, sf):
     return shown(S.correlation_matrix(feature_rows(spark, sf), FEATS, ["asset"]), {"corr": 6}, ("asset", "feature_1", "feature_2"))
 
 
-@query("quality_flags", with_sql(*FEAT_SQL, "f2 AS (SELECT *, CASE WHEN dayofmonth(ts) = 13 THEN CAST('inf' AS DOUBLE) ELSE 1.0 END AS odd, lag1 * 3 - 1 AS twin FROM feat)",
-    "cm AS (" + " UNION ALL ".join(f"SELECT corr({a}, {b}) AS c FROM f2" for a, b in combinations(("lag1", "lag5", "twin", "momentum_5"), 2)) + ")",
+@query("quality_flags", with_sql(*FEAT_SQL, "f2 AS (SELECT *, CASE WHEN dayofmonth(ts) = 13 THEN CAST('inf' AS DOUBLE) ELSE lag5 + momentum_5 END AS odd, lag1 * 3 - 1 AS twin FROM feat)",
+    "cm AS (" + " UNION ALL ".join(f"SELECT corr({a}, {b}) AS c FROM f2" for a, b in combinations(("lag1", "lag5", "twin", "momentum_5", "CASE WHEN isfinite(odd) THEN odd END"), 2)) + ")",
     select="SELECT count(*) FILTER (WHERE abs(c) > 0.95) AS high_pairs, (SELECT count(*) FILTER (WHERE isinf(odd)) FROM f2) AS infinite, FALSE AS is_clean FROM cm"))
 def quality_flags(spark, sf):
     df = feature_rows(spark, sf).withColumn("twin", F.col("lag1") * 3 - 1)
-    df = df.withColumn("odd", F.when(F.dayofmonth("ts") == 13, F.lit(float("inf"))).otherwise(F.lit(1.0)))
-    flags = S.quality_flags(df.select("lag1", "lag5", "twin", "momentum_5"), ["lag1", "lag5", "twin", "momentum_5"])
-    infinite = S.quality_flags(df.select("odd", "lag1"), ["odd"]).select("infinite").scalar()
-    return flags.withColumn("infinite", infinite).withColumn("is_clean", (F.col("infinite") == 0) & (F.col("high_pairs") == 0))
+    df = df.withColumn("odd", F.when(F.dayofmonth("ts") == 13, F.lit(float("inf"))).otherwise(F.col("lag5") + F.col("momentum_5")))
+    return S.quality_flags(df, ["lag1", "lag5", "twin", "momentum_5", "odd"])
 
 
 @query("select_by_corr", with_sql(*CORR, select=f"SELECT asset, feature, {rnd('abs(corr)', 'abs_corr')} FROM ct WHERE target = 'y' AND abs(corr) >= 0.01"))
@@ -221,19 +219,20 @@ _VERDICT = "CASE WHEN adf < -2.8621 AND kpss < 0.463 THEN 'stationary' WHEN NOT
 CUMCLOSE = f"cc AS (SELECT asset, ts, ret, sum(ret + 0.01) OVER ({W} ROWS UNBOUNDED PRECEDING) AS path, sum(close / 1e5 - 1.5) OVER ({W} ROWS UNBOUNDED PRECEDING) AS walk FROM r)"
 
 
-def paths(spark, sf):
+def walks(spark, sf):
     from tideline.functions.layout import running_sum
 
-    df = returns(priority_bars(spark, sf)).withColumn("level", F.col("price") / 1e5 - 1.5)
-    return running_sum(df, {"level": "walk"}).select("asset", "ts", "ret", "walk")
+    bars = priority_bars(spark, sf).select("asset", "ts", (F.col("close") / 1e5 - 1.5).alias("level"))
+    return running_sum(bars, {"level": "walk"}).select("asset", "ts", "walk")
 
 
 @query("stationarity", with_sql(CUMCLOSE, *_stationary_sql("a", "cc", "ret"), *_stationary_sql("b", "cc", "walk"),
     select=" UNION ALL ".join(f"SELECT asset, '{n}' AS series, n, {rnd('adf', 'adf', 4)}, {rnd('kpss', 'kpss', 5)}, {_VERDICT} AS conclusion FROM st{t}" for t, n in (("a", "ret"), ("b", "walk")))))
 def stationarity(spark, sf):
-    df = paths(spark, sf)
-    parts = [D.stationarity(df.select("asset", "ts", c), c).withColumn("series", F.lit(c)) for c in ("ret", "walk")]
-    return shown(parts[0].unionByName(parts[1]), {"adf": 4, "kpss": 5}, ("asset", "series", "n", "conclusion"))
+    both = returns(priority_bars(spark, sf)).select("asset", "ts", "ret").join(walks(spark, sf), ["asset", "ts"])
+    long = both.unpivot(["asset", "ts"], ["ret", "walk"], "series", "x")
+    out = D.stationarity(long, "x", Series(keys=("asset", "series")))
+    return shown(out, {"adf": 4, "kpss": 5}, ("asset", "series", "n", "conclusion"))
 
 
 @query("differencing", with_sql(CUMCLOSE, f"df AS (SELECT asset, ts, walk AS d0, walk - lag(walk) OVER ({W}) AS d1, walk - 2 * lag(walk) OVER ({W}) + lag(walk, 2) OVER ({W}) AS d2 FROM cc)",
@@ -241,7 +240,7 @@ def stationarity(spark, sf):
     select="""SELECT asset, CASE WHEN (a.adf < -2.8621 AND a.kpss < 0.463) OR coalesce(b.n < 50, TRUE) THEN 0 WHEN (b.adf < -2.8621 AND b.kpss < 0.463) OR coalesce(c.n < 50, TRUE) THEN 1 ELSE 2 END AS d
   FROM sta a LEFT JOIN stb b USING (asset) LEFT JOIN stc c USING (asset)"""))
 def differencing(spark, sf):
-    return D.choose_differencing(paths(spark, sf), "walk")
+    return D.choose_differencing(walks(spark, sf), "walk")
 
 
 _DECOMP = (
@@ -280,3 +279,12 @@ _Z = {90: -1.2815515655446004, 95: -1.6448536269514722, 99: -2.3263478740408408}
 def param_var(spark, sf):
     out = D.value_at_risk(returns(priority_bars(spark, sf)), "ret")
     return shown(out, {"mean": 6, "std": 6, "var_90": 6, "var_95": 6, "var_99": 6}, ("asset", "n"))
+
+
+@query("hetero_test", with_sql(*PREDS, "bp AS (SELECT asset, model, regr_r2((y_true - y_pred) ** 2, y_pred) AS r2, count(*) AS n FROM preds GROUP BY 1, 2)",
+    select=f"SELECT asset, model, n, {rnd('r2', 'r2')}, {rnd('n * r2', 'lm', 4)} FROM bp"))
+def hetero_test(spark, sf):
+    from tideline.models.linear import breusch_pagan
+
+    rows = predictions_reg(spark, sf).withColumn("e", F.col("y_true") - F.col("y_pred"))
+    return shown(breusch_pagan(rows, "e", ["y_pred"], ["asset", "model"]), {"r2": 6, "lm": 4}, ("asset", "model", "n"))
