@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tideline.functions.layout import DAILY, Series, over_series
 from tideline.operators.folds import fold_frames
@@ -20,7 +21,7 @@ from tideline.operators.folds import fold_frames
 NORMAL_TWO_SIDED = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _solve(cov: pd.Series, cov_y: pd.Series) -> pd.Series:
     out = []
     for c, v in zip(cov, cov_y):

@@ -54,15 +54,15 @@ def task_filter(spark, sf):
     return shown(results(spark, sf).filter(F.col("task") == "regression"), {"rmse": 6}, ("asset", "model"))
 
 
-@query("metric_aliases", with_sql(*RES, select=f"SELECT asset, model, {rnd('mse', 'mse')}, {rnd('r2', 'r2')}, CAST(NULL AS DOUBLE) AS baseline_mse FROM results WHERE task = 'regression'"))
+@query("metric_aliases", with_sql(*RES, select=f"SELECT asset, model, {rnd('mse', 'mse')}, {rnd('r2', 'r2')} FROM results WHERE task = 'regression'"))
 def metric_aliases(spark, sf):
     df = results(spark, sf).filter(F.col("task") == "regression")
     last = F.col("model") == "last"
     mixed = df.select(
         "asset", "model", F.when(last, F.col("mse")).alias("MSE_upper"), F.when(~last, F.col("mse")).alias("mean_squared_error"), F.col("r2").alias("r2_score")
     )
-    out = R.unify_metrics(mixed, {"mse": ["mse", "MSE_upper", "mean_squared_error"], "r2": ["R2", "r2", "r2_score"], "baseline_mse": ["baseline_mse"]})
-    return shown(out, {"mse": 6, "r2": 6, "baseline_mse": 6}, ("asset", "model"))
+    out = R.unify_metrics(mixed, {"mse": ["mse", "MSE_upper", "mean_squared_error"], "r2": ["R2", "r2", "r2_score"]})
+    return shown(out, {"mse": 6, "r2": 6}, ("asset", "model"))
 
 
 @query("inf_metric_null", with_sql(*RES, select=f"SELECT asset, model, {rnd('CASE WHEN model = $$last$$ THEN NULL ELSE mse END', 'mse')} FROM results WHERE task = 'regression'"))
@@ -197,9 +197,9 @@ def compare_runs(spark, sf):
     return shown(out, {"step60": 6, "step30": 6}, ("asset", "model", "task"))
 
 
-@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds WHERE fold > 24)"))
+@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds WHERE y_pred > 20)"))
 def saved_model_semi(spark, sf):
-    registry = predictions_reg(spark, sf).filter(F.col("fold") > 24).select("asset", "model").distinct()
+    registry = predictions_reg(spark, sf).filter(F.col("y_pred") > 20).select("asset", "model").distinct()
     return results(spark, sf).select("asset", "model", "task").join(registry, ["asset", "model"], "left_semi")
 
 
