@@ -30,7 +30,7 @@ class Series:
     keys: tuple[str, ...] = ("asset",)
     time: str = "ts"
     bucket_days: int = 64
-    chunk_rows: int = 65536
+    chunk_rows: int = 16384
 
     @property
     def chunked(self) -> WindowSpec:
@@ -87,6 +87,11 @@ def spread(df: DataFrame, series: Series = DAILY, lookback: int = 0, lookahead:
     placed = df.withColumn("_b", bucket_of(series)).join(
         _placement(df, series, lookback, lookahead), [*series.keys, "_b"]
     )
+    # explicit keys: a partitioning on the series alone would satisfy the window and undo the
+    # chunks; explicit number: windows cost far more per byte than the byte-based coalescing
+    # of small partitions allows for
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(parts, *series.keys, "_chunk")
     w = series.chunked
     base = F.first("_off").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return placed.withColumn("_rn", base + F.row_number().over(w) - 1).drop("_b", "_off")

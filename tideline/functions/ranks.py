@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.skew import join_stats
+
 _SIDE = 16
 
 
@@ -33,12 +35,19 @@ def ordered_totals(
     steps = [i / (_SIDE * _SIDE) for i in range(1, _SIDE * _SIDE)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, steps, 4096).alias("_cuts"))
     below = lambda arr: F.size(F.filter(arr, lambda x: x < F.col(value)))
-    coarse = F.transform(F.sequence(F.lit(1), F.lit(_SIDE - 1)), lambda i: F.element_at("_cuts", (i * _SIDE).cast("int")))
+    coarse = F.array(*[F.element_at("_cuts", i * _SIDE) for i in range(1, _SIDE)])
+    cuts = cuts.withColumn("_coarse", coarse)
+    if keys:
+        placed = join_stats(counts, cuts, keys, salt=[value])
+    else:
+        only = cuts.select(F.struct("_cuts", "_coarse")).scalar()
+        placed = counts.withColumn("_c", only).withColumns({"_cuts": F.col("_c._cuts"), "_coarse": F.col("_c._coarse")}).drop("_c")
     ranged = (
-        (counts.join(cuts, keys) if keys else counts.withColumn("_cuts", cuts.scalar()))
-        .withColumn("_hi", below(coarse))
+        placed
+        .withColumn("_hi", below(F.col("_coarse")))
         .withColumn("_range", F.col("_hi") * _SIDE + below(F.slice("_cuts", F.col("_hi") * _SIDE + 1, _SIDE)))
-        .drop("_cuts", "_hi")
+        .drop("_cuts", "_coarse", "_hi")
+        .repartition(*keys, "_range")
     )
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
     ahead = per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -54,6 +54,8 @@ def rolling(agg, x: str | Column, w: WindowSpec, k: int, min_rows: int | None =
     frame = last_rows(w, k)
     need = k if min_rows is None else max(1, min_rows)
     value = agg(col(x)).over(frame)
+    if need == 1:
+        return value  # aggregates of no value are NULL already
     return F.when(F.count(col(x)).over(frame) >= need, value)
 
 
@@ -87,18 +89,6 @@ def adjusted_kurtosis(g2: Column, n: Column) -> Column:
     return F.when(n >= 4, F.try_divide(((n + 1) * g2 + 6) * (n - 1), (n - 2) * (n - 3)))
 
 
-def rolling_moment(kind: str, x: str | Column, w: WindowSpec, k: int, min_rows: int) -> Column:
-    """Adjusted rolling skew or excess kurtosis; NULL on a constant stretch."""
-    frame = last_rows(w, k)
-    n = F.count(col(x)).over(frame)
-    spread = F.var_pop(col(x)).over(frame)
-    if kind == "skew":
-        value = adjusted_skew(F.skewness(col(x)).over(frame), n)
-    else:
-        value = adjusted_kurtosis(F.kurtosis(col(x)).over(frame), n)
-    return F.when((n >= min_rows) & (spread > 0), value)
-
-
 # Lower-tail standard normal quantiles by confidence level.
 NORMAL_LOWER = {0.90: -1.2815515655446004, 0.95: -1.6448536269514722, 0.99: -2.3263478740408408}
 

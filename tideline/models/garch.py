@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.layout import DAILY, Series, spread
+from tideline.functions.skew import join_stats
 from tideline.functions.safe import ANNUAL, NORMAL_LOWER
 from tideline.operators.folds import fold_frames
 
@@ -99,9 +100,10 @@ def _chunk_volatility(pdf: pd.DataFrame) -> pd.DataFrame:
 def conditional_volatility(rets: DataFrame, series: Series = DAILY) -> DataFrame:
     """(asset, ts, ret, alpha, beta, cond_vol) with parameters fitted per asset."""
     rows = rets.select("asset", "ts", "ret").filter(F.col("ret").isNotNull())
-    laid = spread(rows, series, BURN_IN).join(rows.groupBy("asset").agg(F.avg(F.col("ret") * F.col("ret")).alias("s2")), "asset")
+    scale = rows.groupBy("asset").agg(F.avg(F.col("ret") * F.col("ret")).alias("s2"))
+    laid = join_stats(spread(rows, series, BURN_IN), scale, ["asset"])
     parts = laid.groupBy("asset", "_chunk").applyInPandas(_chunk_likelihood, "asset string, alpha double, beta double, loglik double")
     total = parts.groupBy("asset", "alpha", "beta").agg(F.sum("loglik").alias("loglik"))
     best = total.groupBy("asset").agg(F.max(F.struct("loglik", "alpha", "beta")).alias("_m")).select("asset", "_m.alpha", "_m.beta")
     schema = "asset string, ts timestamp_ntz, ret double, alpha double, beta double, cond_vol double"
-    return laid.join(best, "asset").groupBy("asset", "_chunk").applyInPandas(_chunk_volatility, schema)
+    return join_stats(laid, best, ["asset"]).groupBy("asset", "_chunk").applyInPandas(_chunk_volatility, schema)

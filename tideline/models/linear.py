@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from tideline.functions.layout import DAILY, Series, over_series
+from tideline.functions.skew import join_stats
 from tideline.operators.folds import fold_frames
 
 # Two-sided standard normal quantiles by confidence level.
@@ -39,37 +40,43 @@ def _solve(cov: pd.Series, cov_y: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def moments(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """One row per group: count, means and covariances of the features and the target."""
+    clean = rows.na.drop(subset=[*features, target])
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("_my"), F.var_pop(target).alias("_vy")]
+    for i, f in enumerate(features):
+        aggs += [F.avg(f).alias(f"_m{i}"), F.covar_pop(f, target).alias(f"_b{i}")]
+        aggs += [F.covar_pop(f, features[j]).alias(f"_a{i}_{j}") for j in range(i, len(features))]
+    return (clean.groupBy(*keys) if keys else clean.groupBy()).agg(*aggs)
+
+
+def _coefficients(use: Sequence[int], ridge: float = 0.0) -> Column:
+    """Least squares of the chosen features from a moments row."""
+    cov = [F.col(f"_a{i}_{j}") * (1.0 + ridge if i == j else 1.0) for x, i in enumerate(use) for j in use[x:]]
+    return _solve(F.array(*cov), F.array(*[F.col(f"_b{i}") for i in use]))
+
+
+def _with_fit(use: Sequence[int], coefs: str) -> tuple[Column, Column]:
+    """Intercept and squared error sum of coefficients over a moments row."""
+    dot = lambda prefix: sum((F.col(coefs)[x] * F.col(f"{prefix}{i}") for x, i in enumerate(use)), F.lit(0.0))
+    return F.col("_my") - dot("_m"), F.greatest(F.lit(0.0), F.col("_vy") - dot("_b")) * F.col("n")
+
+
 def fit_linear(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], ridge: float = 0.0) -> DataFrame:
     """(keys, coefs, intercept, n, sse): least squares per group over complete rows.
 
     ``ridge`` is added to each feature variance as a share of it.
     """
-    k = len(features)
-    clean = rows.na.drop(subset=[*features, target])
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("_my"), F.var_pop(target).alias("_vy")]
-    aggs += [F.avg(f).alias(f"_m{i}") for i, f in enumerate(features)]
-    aggs += [F.covar_pop(f, target).alias(f"_b{i}") for i, f in enumerate(features)]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    aggs += [F.covar_pop(features[i], features[j]).alias(f"_a{i}_{j}") for i, j in pairs]
-    grouped = (clean.groupBy(*keys) if keys else clean.groupBy()).agg(*aggs)
-    cov = F.array(*[F.col(f"_a{i}_{j}") * (1.0 + ridge if i == j else 1.0) for i, j in pairs])
-    cov_y = F.array(*[F.col(f"_b{i}") for i in range(k)])
-    out = grouped.withColumn("coefs", _solve(cov, cov_y))
-    dot = lambda cols: sum((F.col("coefs")[i] * c for i, c in enumerate(cols)), F.lit(0.0))
-    explained = dot([F.col(f"_b{i}") for i in range(k)])
-    return out.select(
-        *keys,
-        "coefs",
-        (F.col("_my") - dot([F.col(f"_m{i}") for i in range(k)])).alias("intercept"),
-        "n",
-        (F.greatest(F.lit(0.0), F.col("_vy") - explained) * F.col("n")).alias("sse"),
-    )
+    use = list(range(len(features)))
+    table = moments(rows, features, target, keys).withColumn("coefs", _coefficients(use, ridge))
+    intercept, sse = _with_fit(use, "coefs")
+    return table.select(*keys, "coefs", intercept.alias("intercept"), "n", sse.alias("sse"))
 
 
 def predict_linear(rows: DataFrame, model: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Rows with ``y_pred`` of their group's model (one row per group, or one in all)."""
     if keys:
-        joined = rows.join(model.select(*keys, "coefs", "intercept"), list(keys))
+        joined = join_stats(rows, model.select(*keys, "coefs", "intercept"), keys)
     else:
         only = model.select(F.struct("coefs", "intercept").alias("_m")).scalar()
         joined = rows.withColumn("_m", only).withColumns({"coefs": F.col("_m.coefs"), "intercept": F.col("_m.intercept")}).drop("_m")
@@ -150,14 +157,18 @@ def arx_folds(
     laid = with_lags(rows, x, most, series).na.drop(subset=[f"lag_{most}"])
     frames = fold_frames(laid, folds, keys)
     train = frames.filter(F.col("role") == "train")
-    models = None
-    for p in orders:
-        used = [f"lag_{k}" for k in range(1, p + 1)] + features
-        fit = fit_linear(train, used, x, [*keys, "fold"]).withColumn("p", F.lit(p))
-        aic = F.col("n") * F.log(F.greatest(F.col("sse") / F.col("n"), F.lit(1e-300))) + 2.0 * (len(used) + 1)
-        fit = fit.withColumn("aic", aic).withColumn("sigma", F.sqrt(F.col("sse") / F.col("n")))
-        models = fit if models is None else models.unionByName(fit)
-    best = models.groupBy(*keys, "fold").agg(F.min_by(F.struct("p", "coefs", "intercept", "sigma"), "aic").alias("_m")).select(*keys, "fold", "_m.*")
+    # one pass over the train rows; every order is solved from the same moments row
+    columns = [f"lag_{k}" for k in range(1, most + 1)] + features
+    table = moments(train, columns, x, [*keys, "fold"])
+    uses = {p: [*range(p), *range(most, len(columns))] for p in orders}
+    table = table.withColumns({f"_c{p}": _coefficients(use) for p, use in uses.items()})
+    tries = []
+    for p, use in uses.items():
+        intercept, sse = _with_fit(use, f"_c{p}")
+        mse = F.greatest(sse / F.col("n"), F.lit(1e-300))
+        aic = F.col("n") * F.log(mse) + 2.0 * (len(use) + 1)
+        tries.append(F.struct(aic.alias("aic"), F.lit(p).alias("p"), F.col(f"_c{p}").alias("coefs"), intercept.alias("intercept"), F.sqrt(mse).alias("sigma")))
+    best = table.select(*keys, "fold", F.array_min(F.array(*tries)).alias("_m")).select(*keys, "fold", "_m.*").drop("aic")
     test = frames.filter(F.col("role") == "test").join(best, [*keys, "fold"])
     schema = "asset string, fold bigint, ts timestamp_ntz, p int, y_true double, y_pred double, std double, lower double, upper double"
     out = test.groupBy(*keys, "fold").applyInPandas(_recursion(features, d, NORMAL_TWO_SIDED[confidence]), schema)

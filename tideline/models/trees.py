@@ -58,20 +58,28 @@ def tree_folds(
     task: str = "regression",
     classes: int = 2,
     threads: int = 4,
+    pooled: bool = False,
     **params,
 ) -> DataFrame:
-    """Walk-forward predictions of one tree model per (asset, fold)."""
+    """Walk-forward predictions of one tree model per (asset, fold).
+
+    With ``pooled`` there is one model per fold number over all assets, for universes too
+    wide for a fit each.
+    """
     frames = fold_frames(rows, folds).select("asset", "fold", "role", "ts", target, *features).persist()
-    pairs = [(r["asset"], r["fold"]) for r in folds.select("asset", "fold").orderBy("asset", "fold").toLocalIterator()]
+    by = ["fold"] if pooled else ["asset", "fold"]
+    jobs = [r.asDict() for r in folds.select(*by).distinct().orderBy(*by).toLocalIterator()]
 
-    def one(pair):
-        here = frames.filter((F.col("asset") == pair[0]) & (F.col("fold") == pair[1]))
+    def one(chosen):
+        here = frames
+        for c, v in chosen.items():
+            here = here.filter(F.col(c) == v)
         model = fit(here.filter(F.col("role") == "train"), features, target, kind, task, classes, **params)
         scored = predict(model, here.filter(F.col("role") == "test"), features, target)
         return scored.select("asset", F.lit(kind).alias("model"), "fold", "ts", "y_true", "y_pred")
 
     with ThreadPool(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, pairs))
+        return reduce(DataFrame.unionByName, pool.map(one, jobs))
 
 
 def grid_search(

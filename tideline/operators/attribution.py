@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.layout import Series, over_series, with_position
+from tideline.functions.skew import join_stats
 from tideline.functions.safe import last_rows
 from tideline.operators.selection import correlation_matrix, top_k
 
@@ -31,7 +32,7 @@ def linear_contributions(rows: DataFrame, coefficients: Mapping[str, Mapping[str
         for m, c in coefficients.items()
         for f, b in c.items()
     ]
-    joined = rows.join(means, list(keys))
+    joined = join_stats(rows, means, keys)
     long = joined.select(*keys, "ts", F.explode(F.array(*cells)).alias("_c")).select(*keys, "ts", "_c.*")
     return long.filter(F.col("contribution").isNotNull())
 
@@ -120,13 +121,13 @@ def change_points(
         rows = rows.withColumn("rolling", F.avg("size").over(last_rows(w, window)))
         return rows.withColumn("step", F.lead("rolling", 1).over(w) - F.col("rolling"))
 
-    moved = over_series(size, build, series, window, 1).join(limit, list(keys))
+    moved = join_stats(over_series(size, build, series, window, 1), limit, keys)
     return moved.filter(F.abs("step") > F.col("threshold")).select(*keys, "ts", F.col("_rn").alias("position"), "rolling", "step", "threshold")
 
 
 def dependence(contribs: DataFrame, top: DataFrame, keys: Sequence[str] = MODEL_KEYS) -> DataFrame:
     """Value beside contribution for the features of ``top`` (needs a value column)."""
-    return contribs.join(top.select(*keys, "feature"), [*keys, "feature"], "left_semi")
+    return join_stats(contribs, top.select(*keys, "feature"), [*keys, "feature"], "left_semi")
 
 
 def with_values(contribs: DataFrame, rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions.layout import DAILY, Series, backward_fill, forward_fill
 from tideline.functions.ranks import exact_quantiles
 from tideline.functions.safe import finite, is_inf
+from tideline.functions.skew import join_stats
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -26,7 +27,7 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], keys: Sequence[str], pr
 
 
 def _with_medians(df: DataFrame, cols: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    return df.join(column_quantiles(df, cols, keys, {"_med": 0.5}), list(keys), "left")
+    return join_stats(df, column_quantiles(df, cols, keys, {"_med": 0.5}), keys, "left")
 
 
 def infinite_to_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset",)) -> DataFrame:
@@ -56,7 +57,7 @@ def impute_for_training(
         counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_k"))
         # most rows first, then smallest text: min over (-count, text)
         modes = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_k")).alias("k"), F.col(c).alias("v")))["v"].alias("_mode"))
-        out = out.join(modes, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_mode"), F.lit("Unknown"))).drop("_mode")
+        out = join_stats(out, modes, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_mode"), F.lit("Unknown"))).drop("_mode")
     out = backward_fill(forward_fill(out, [target], series), [target], series)
     return out.filter(F.col(target).isNotNull())
 
@@ -67,7 +68,7 @@ def validate_bars(bars: DataFrame, least: int = 100, share: float = 0.05) -> Dat
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("close") < F.col("_q1") - 1.5 * iqr) | (F.col("close") > F.col("_q3") + 1.5 * iqr)
     stats = (
-        bars.join(edges, "asset", "left")
+        join_stats(bars, edges, ["asset"], "left")
         .groupBy("asset")
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(out).alias("outliers"))
     )
@@ -84,11 +85,11 @@ def quality_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count_if(is_inf("value")).alias("infinite"), F.count_if(F.col("value").isNull()).alias("missing")
     )
     mids = exact_quantiles(long.withColumn("value", finite("value")), ["feature"], "value", {"_med": 0.5}).drop("n")
-    fixed = long.join(mids, "feature", "left").withColumn("value", F.coalesce(finite("value"), F.col("_med"))).drop("_med")
+    fixed = join_stats(long, mids, ["feature"], "left", salt=["value"]).withColumn("value", F.coalesce(finite("value"), F.col("_med"))).drop("_med")
     edges = exact_quantiles(fixed, ["feature"], "value", {"_q1": 0.25, "_q3": 0.75}).drop("n")
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("value") < F.col("_q1") - 3 * iqr) | (F.col("value") > F.col("_q3") + 3 * iqr)
-    outliers = fixed.join(edges, "feature").groupBy("feature").agg(F.count_if(out).alias("outliers"))
+    outliers = join_stats(fixed, edges, ["feature"], salt=["value"]).groupBy("feature").agg(F.count_if(out).alias("outliers"))
     return counts.join(outliers, "feature", "left").na.fill(0, ["outliers"])
 
 
@@ -101,14 +102,14 @@ def null_share(cols: Sequence[str]) -> Column:
 def drop_sparse(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset",), most: float = 0.5) -> DataFrame:
     """Series with more than ``most`` of their cells NULL are left out."""
     good = df.groupBy(*keys).agg(null_share(cols).alias("_share")).filter(F.col("_share") <= most)
-    return df.join(good.select(*keys), list(keys), "left_semi")
+    return join_stats(df, good.select(*keys), keys, "left_semi")
 
 
 def group_zscore(df: DataFrame, x: str, out: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """(x - mean) / sample deviation of the group; x itself where it does not vary."""
     stats = df.groupBy(*keys).agg(F.avg(x).alias("_mu"), F.stddev_samp(x).alias("_sd"))
     z = F.when(F.col("_sd") > 0, F.try_divide(F.col(x) - F.col("_mu"), F.col("_sd"))).otherwise(F.col(x))
-    return df.join(stats, list(keys), "left").withColumn(out, z).drop("_mu", "_sd")
+    return join_stats(df, stats, keys, "left").withColumn(out, z).drop("_mu", "_sd")
 
 
 def scale_extreme(
@@ -134,7 +135,7 @@ def scale_extreme(
         ).otherwise(F.col(c))
         for c in cols
     }
-    return df.join(stats, list(keys)).withColumns(scaled).select(*df.columns, F.col("_extreme").alias("scaled"))
+    return join_stats(df, stats, keys).withColumns(scaled).select(*df.columns, F.col("_extreme").alias("scaled"))
 
 
 def summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -157,4 +158,4 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset",)) -> DataFrame:
     scale = lambda c: F.when(F.col(f"scale_{c}") > 0, F.col(f"scale_{c}")).otherwise(F.lit(1.0))
     scaled = {c: (F.col(c) - F.col(f"mean_{c}")) / scale(c) for c in cols}
-    return df.join(stats, list(keys)).withColumns(scaled).select(*df.columns)
+    return join_stats(df, stats, keys).withColumns(scaled).select(*df.columns)

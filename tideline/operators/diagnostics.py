@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.layout import DAILY, Series, over_series, running_sum, with_position
+from tideline.functions.skew import join_stats
 from tideline.functions.safe import adjusted_kurtosis, adjusted_skew, chi2_tail_even, corr, t_quantile
 
 # Published 5% critical values (Dickey-Fuller with constant, KPSS level).
@@ -29,7 +30,7 @@ def residual_stats(df: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
 def _demeaned(df: DataFrame, x: str, keys: Sequence[str]) -> DataFrame:
     rows = df.filter(F.col(x).isNotNull())
     means = rows.groupBy(*keys).agg(F.avg(x).alias("_mu"))
-    return rows.join(means, list(keys)).withColumn("_e", F.col(x) - F.col("_mu"))
+    return join_stats(rows, means, keys).withColumn("_e", F.col(x) - F.col("_mu"))
 
 
 def _lagged(df: DataFrame, x: str, lags: int, series: Series) -> DataFrame:
@@ -154,7 +155,7 @@ def decompose(df: DataFrame, x: str, period: int, series: Series = DAILY) -> Dat
     phases = rows.groupBy(*keys, "phase").agg(F.avg("_d").alias("_pm"))
     centre = phases.groupBy(*keys).agg(F.avg("_pm").alias("_pc"))
     table = phases.join(centre, keys).select(*keys, "phase", (F.col("_pm") - F.col("_pc")).alias("seasonal"))
-    out = rows.join(table, [*keys, "phase"]).withColumn("residual", F.col("_d") - F.col("seasonal"))
+    out = join_stats(rows, table, [*keys, "phase"]).withColumn("residual", F.col("_d") - F.col("seasonal"))
     return out.select(*keys, series.time, x, "phase", "trend", "seasonal", "residual")
 
 

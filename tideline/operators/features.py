@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from tideline.config import FeatureSettings
 from tideline.functions.layout import DAILY, Series, over_series
+from tideline.functions.skew import join_stats
 from tideline.functions.safe import (
     ANNUAL,
+    adjusted_kurtosis,
+    adjusted_skew,
     last_rows,
     ratio,
     rolling,
     rolling_corr,
-    rolling_moment,
     safe_log,
     so_far,
 )
@@ -199,14 +201,21 @@ def _technical_lookback(cfg: FeatureSettings) -> int:
 
 def statistical(c: Context) -> Stages:
     """Annualised volatility, skew and excess kurtosis of returns shifted by window + separation."""
-    first, second = {}, {}
+    first, second, third = {}, {}, {}
+    moments = {"_n": F.count, "_v": F.var_pop, "_g1": F.skewness, "_g2": F.kurtosis}
     for k in c.cfg.volatility_windows:
-        r = f"_r{k}"
-        first[r] = c.shift("ret", k + c.cfg.separation)
-        second[f"volatility_{k}d"] = rolling(F.stddev_samp, r, c.w, k, k // 2) * ANNUAL
-        second[f"skew_{k}d"] = rolling_moment("skew", r, c.w, k, k // 2)
-        second[f"kurt_{k}d"] = rolling_moment("kurt", r, c.w, k, k // 2)
-    return [first, second]
+        x = f"_x{k}"
+        first[x] = c.shift("ret", k + c.cfg.separation)
+        for name, agg in moments.items():
+            second[f"{name}{x}"] = agg(x).over(last_rows(c.w, k))
+        n, v = F.col(f"_n{x}"), F.col(f"_v{x}")
+        enough = n >= k // 2
+        # one variance serves all three; a constant stretch has no skew or kurtosis
+        std = F.when(n > 1, F.sqrt(F.try_divide(v * n, n - 1)))
+        third[f"volatility_{k}d"] = F.when(enough, std * ANNUAL)
+        third[f"skew_{k}d"] = F.when(enough & (v > 0), adjusted_skew(F.col(f"_g1{x}"), n))
+        third[f"kurt_{k}d"] = F.when(enough & (v > 0), adjusted_kurtosis(F.col(f"_g2{x}"), n))
+    return [first, second, third]
 
 
 def calendar(c: Context) -> Stages:
@@ -453,7 +462,7 @@ def lag_prices(
         cols |= {f"ma_{k}": ratio(rolling(F.avg, "close", w, k), "close") - 1 for k in averages}
         return rows.withColumns(cols)
 
-    out = over_series(bars, build, series, max(lags + averages) + 2).join(last, list(series.keys))
+    out = join_stats(over_series(bars, build, series, max(lags + averages) + 2), last, series.keys)
     out = out.withColumns({f"price_t_{n}": ratio(f"_price_{n}", "_last") - 1 for n in lags})
     names = {f"return_t_{n}": n for n in lags} | {f"price_t_{n}": n for n in lags} | {f"ma_{k}": k for k in averages}
     for name, span in names.items():

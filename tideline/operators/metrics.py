@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ranks import average_ranks, ordered_totals
 from tideline.functions.safe import corr, finite
+from tideline.functions.skew import join_stats
 
 FOLD_KEYS = ("asset", "model", "fold")
 
@@ -260,4 +261,4 @@ def class_weights(rows: DataFrame, label: str = "label", keys: Sequence[str] = (
     )
     weight = F.when(F.col("_ratio") >= limit, F.col("_all") / (F.col("_classes") * F.col("_k"))).otherwise(F.lit(1.0))
     table = counts.join(totals, list(keys)).select(*keys, label, weight.alias("weight"))
-    return rows.join(table, [*keys, label])
+    return join_stats(rows, table, [*keys, label])

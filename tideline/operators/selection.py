@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.ranks import exact_quantiles
 from tideline.functions.safe import corr, finite, is_inf
+from tideline.functions.skew import join_stats
 from tideline.operators.cleaning import unpivot
 
 
@@ -112,8 +113,7 @@ def mutual_information(
     y_edges = exact_quantiles(rows, keys, target, probs).select(*keys, edges("_ye"))
     below = lambda e, v: F.size(F.filter(F.col(e), lambda q: q < F.col(v)))
     cells = (
-        long.join(x_edges, [*keys, "feature"])
-        .join(y_edges, keys)
+        join_stats(join_stats(long, x_edges, [*keys, "feature"], salt=["value"]), y_edges, keys, salt=["value"])
         .groupBy(*keys, "feature", below("_xe", "value").alias("_bx"), below("_ye", "_y").alias("_by"))
         .agg(F.count(F.lit(1)).alias("_k"))
     )
