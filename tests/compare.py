@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
+from multiprocessing.pool import ThreadPool
 
 import duckdb
 import numpy as np
@@ -67,25 +69,28 @@ def main(sf: str, names: list[str]) -> int:
     con = connection(sf)
     queries, sql = entry.queries(), entry.oracle_sql()
     chosen = [n for n in queries if not names or any(n == x or (x.endswith("*") and n.startswith(x[:-1])) for x in names)]
-    failed = 0
-    for name in chosen:
+    if names == ["sql"]:
+        chosen = [n for n in queries if n in sql]
+
+    def one(name: str) -> int:
         t0 = time.time()
         try:
             got = queries[name](spark, sf).toPandas()
             t1 = time.time()
             if name not in sql:
                 print(f"ROWS {name} {len(got)} rows {t1 - t0:.1f}s", flush=True)
-                continue
-            note = differences(got, con.execute(sql[name]).df())
-            t2 = time.time()
+                return 0
+            note = differences(got, con.cursor().execute(sql[name]).df())
             nulls = [c for c in got.columns if len(got) and got[c].isna().all()]
-            failed += bool(note)
-            print(f"{'FAIL' if note else 'ok'} {name} {len(got)} rows {t1 - t0:.1f}s/{t2 - t1:.1f}s {note} {'ALLNULL ' + str(nulls) if nulls else ''}", flush=True)
+            print(f"{'FAIL' if note else 'ok'} {name} {len(got)} rows {t1 - t0:.1f}s {note} {'ALLNULL ' + str(nulls) if nulls else ''}", flush=True)
+            return int(bool(note))
         except Exception as err:
-            failed += 1
             print(f"ERROR {name} {type(err).__name__} {str(err)[:600]}", flush=True)
-        spark.catalog.clearCache()
-    print(f"{len(chosen)} queries, {failed} failed")
+            return 1
+
+    with ThreadPool(int(os.environ.get("COMPARE_THREADS", "1"))) as pool:
+        failed = sum(pool.map(one, chosen, chunksize=1))
+    print(f"{len(chosen)} queries, {failed} failed", flush=True)
     return failed
 
 

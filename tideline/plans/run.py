@@ -15,6 +15,7 @@ from tideline.operators.folds import adaptive_splits, fold_frames, fold_index, l
 from tideline.operators.metrics import fold_summary, leaderboard, naive_predictions, rank_ic, regression_metrics
 from tideline.operators.reports import comparison_table, performance_summary
 from tideline.plans.evaluate import fit_predict_folds
+from tideline.session import materialise
 from tideline.sources.store import ResultStore
 
 SUMMARY = ("mse", "rmse", "mae", "mape", "smape", "r2")
@@ -38,7 +39,7 @@ def feature_table(
     fixed = ("asset", "ts", "vol5", "next_close", "next_return", "target_vol5", "target_vol5_log", "regime", "regime_code", "regime_threshold", "regime_strict", "regime_by_vol", "ret")
     names = [c for c in base.columns if c not in fixed]
     target = "target_vol5_log" if cfg.use_log_target else "target_vol5"
-    out = base.select("asset", "ts", *names, F.col(target).alias("y"), "ret", "regime_code", "regime")
+    out = materialise(base.select("asset", "ts", *names, F.col(target).alias("y"), "ret", "regime_code", "regime"), "base")
     partners = [a for a in settings.assets if a != index_asset]
     if len(partners) > 1:
         pairs = align.asset_pairs(partners)
@@ -47,14 +48,16 @@ def feature_table(
         out = align.join_by_date(out, corr)
         names += [c for c in corr.columns if c != "ts"]
     if index_asset is not None:
-        out = align.join_index(out, bars.filter(F.col("asset") == index_asset), series)
+        level = align.join_index(out.select("asset", "ts"), bars.filter(F.col("asset") == index_asset), series)
+        out = materialise(out.join(level, ["asset", "ts"], "left"), "index")
         names += ["index_level", "index_change"]
     if proxy_asset is not None and in_proxy_market is not None:
         proxy = align.join_proxy(out.select("asset", "ts"), bars.filter(F.col("asset") == proxy_asset), in_proxy_market, series)
         out = out.join(proxy, ["asset", "ts"], "left")
         names += ["proxy_vol", "proxy_vol_change"]
-    out = out.withColumns({c: F.col(c).cast("double") for c in names})
-    out = cleaning.fill_missing(cleaning.infinite_to_median(out, names), names, series)
+    out = materialise(out.withColumns({c: F.col(c).cast("double") for c in names}), "joined")
+    out = materialise(cleaning.infinite_to_median(out, names), "finite")
+    out = materialise(cleaning.fill_missing(out, names, series), "filled")
     out = out.withColumn("y", labels.clip_target("y"))
     out = labels.drop_degenerate(labels.align_targets(out, ["y", "regime_code"]), "y", "regime_code")
     return out, names

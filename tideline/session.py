@@ -58,3 +58,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="tideline-run-", dir=os.environ.get("TMPDIR", "/tmp"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df as a table in the shared folder and read it back.
+
+    Long chains of operators that each look at their input more than once multiply the plan;
+    a written table ends the chain, keeps column pruning, and survives lost executors.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

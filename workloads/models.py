@@ -93,24 +93,6 @@ def fit_predict_folds(spark, sf):
     return _preds(evaluate.fit_predict_folds(rows, folds_of(rows, 5), NAMES, ["naive", "linear", "arx", "garch"]))
 
 
-@query("full_run")
-def full_run(spark, sf):
-    from tideline.config import Settings
-    from tideline.plans.run import full_run as run
-    from tideline.session import shared_folder
-    from tideline.sources.store import ResultStore
-    from workloads.fixtures import INDEX_ASSET, PROXY_ASSET
-
-    store = ResultStore(spark, shared_folder(spark, "run"))
-    market = ~F.col("asset").isin(*US_ASSETS)
-    tables = run(
-        priority_bars(spark, sf), Settings(assets=ASSETS), store, "run-1", ("naive", "linear", "garch"),
-        index_asset=INDEX_ASSET, proxy_asset=PROXY_ASSET, in_proxy_market=market,
-    )
-    cols = ("mse", "rmse", "mae", "r2", "baseline_mse")
-    return shown(tables["metrics"], {c: 4 for c in cols}, ("asset", "model", "task", "n_splits"))
-
-
 @query("uniform_eval")
 def uniform_eval(spark, sf):
     bars = priority_bars(spark, sf)
