@@ -9,9 +9,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tideline.functions.layout import with_position  # noqa: E402
 from tideline.operators.features import features  # noqa: E402
-from tideline.session import local_session  # noqa: E402
+from tideline.operators.labels import quartile_labels  # noqa: E402
+from tideline.session import local_session, materialise  # noqa: E402
 from workloads import QUERIES  # noqa: E402
 from workloads.fixtures import brand_bars  # noqa: E402
 
@@ -34,15 +34,33 @@ HEADLINE = (
 )
 
 
+TABLES = {}
+
+
+def _brand_bars(spark, sf):
+    """Bars are built once and kept as a table; features and labels read that table."""
+    TABLES["bars"] = materialise(brand_bars(spark, sf), "bars")
+    return TABLES["bars"]
+
+
 def _brand_features(spark, sf):
-    return features(brand_bars(spark, sf))
+    return features(TABLES["bars"])
 
 
 def _brand_labels(spark, sf):
-    return features(brand_bars(spark, sf), ["targets", "regimes"])
+    return features(TABLES["bars"], ["targets", "regimes"])
+
+
+def _brand_quartiles(spark, sf):
+    return quartile_labels(features(TABLES["bars"], ["targets"]), "vol5")
 
 
-EXTRA = {"brand_bars": brand_bars, "brand_features": _brand_features, "brand_labels": _brand_labels}
+EXTRA = {
+    "brand_bars": _brand_bars,
+    "brand_features": _brand_features,
+    "brand_labels": _brand_labels,
+    "brand_quartiles": _brand_quartiles,
+}
 
 
 def main() -> None:

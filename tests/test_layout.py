@@ -31,6 +31,23 @@ def test_chunks_equal_whole_series(long_df):
             same(a[c].astype(float), b[c].astype(float), 1e-7)
 
 
+def test_dense_series_get_shorter_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.functions.layout import fitted
+
+    ticks = spark.range(5000).select(
+        F.lit("a").alias("asset"),
+        F.expr("timestamp_ntz'2001-01-01' + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)))").alias("ts"),
+    ).persist()
+    fit = fitted(ticks, Series(chunk_rows=256))
+    assert fit.bucket_seconds and fit.bucket_seconds <= 256
+    chunks = spread(ticks, fit, 10).groupBy("_chunk").count()
+    assert chunks.agg(F.max("count")).first()[0] <= 256 + 2 * fit.bucket_seconds + 10
+    got = with_position(ticks, fit).orderBy("ts").toPandas()
+    assert got.rn.tolist() == list(range(5000))
+
+
 def test_lookahead_rows_reach_into_next_chunk(long_df, long_bars):
     got = collect(over_series(long_df, lambda d, w: d.withColumn("x", F.lead("close", 7).over(w)), TINY, 0, 7))
     same(got.x, long_bars.groupby("asset").close.shift(-7))

@@ -17,7 +17,7 @@ fill, running sum) carry one value per bucket through the same kind of small tab
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Series:
-    """How rows form series: keys, time column, bucket length in days, rows per chunk."""
+    """How rows form series: keys, time column, bucket length, rows per chunk.
+
+    The bucket length (days, or seconds where given) should hold at most about
+    ``chunk_rows`` rows of one series; ``fitted`` makes sure of it.
+    """
 
     keys: tuple[str, ...] = ("asset",)
     time: str = "ts"
     bucket_days: int = 64
     chunk_rows: int = 16384
+    bucket_seconds: int | None = None
 
     @property
     def chunked(self) -> WindowSpec:
@@ -42,8 +47,28 @@ HOURLY = Series(bucket_days=8)
 
 
 def bucket_of(series: Series) -> Column:
-    day = F.datediff(F.col(series.time).cast("date"), F.lit("1970-01-01").cast("date"))
-    return F.floor(day / F.lit(series.bucket_days)).cast("bigint")
+    t = F.col(series.time)
+    day = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date"))
+    if series.bucket_seconds is None:
+        return F.floor(day / F.lit(series.bucket_days)).cast("bigint")
+    second = day.cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return F.floor(second / F.lit(series.bucket_seconds)).cast("bigint")
+
+
+def fitted(df: DataFrame, series: Series = DAILY) -> Series:
+    """The series with buckets short enough that none holds more than ``chunk_rows`` rows.
+
+    Each round reads one number, the largest bucket count (a partial aggregate). Bars on a
+    grid need no round beyond the first; dense series get buckets down to one second.
+    """
+    while True:
+        rows = df.groupBy(*series.keys, bucket_of(series).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        largest = rows.agg(F.max("_c")).first()[0] or 0
+        seconds = series.bucket_seconds or series.bucket_days * 86400
+        if largest <= series.chunk_rows or seconds == 1:
+            return series
+        shorter = max(1, min(seconds // 2, seconds * series.chunk_rows // (2 * largest)))
+        series = replace(series, bucket_seconds=shorter)
 
 
 def bucket_counts(df: DataFrame, series: Series) -> DataFrame:

@@ -26,7 +26,7 @@ def model_rows(spark, sf):
     """(asset, ts, rn, n, ret, y, up, features) without gaps, renumbered."""
     df = features(priority_bars(spark, sf), ["lagged", "performance", "statistical", "targets", "simple_targets", "cached"])
     rows = df.select("asset", "ts", F.col("log_returns").alias("ret"), F.col("target_vol5").alias("y"), F.col("up_5").alias("up"), *NAMES).na.drop()
-    return with_position(rows)
+    return with_position(rows).persist()  # every job reads it several times
 
 
 def folds_of(rows, n_splits):
@@ -39,17 +39,17 @@ def _preds(df):
 
 @query("fit_gbt")
 def fit_gbt(spark, sf):
-    rows = model_rows(spark, sf).persist()
+    rows = model_rows(spark, sf)
     folds = folds_of(rows, 1)
-    reg = trees.tree_folds(rows, folds, NAMES, "y", "gbt", "regression", maxIter=10)
-    clf = trees.tree_folds(rows, folds, NAMES, "up", "gbt", "classification", maxIter=5)
+    reg = trees.tree_folds(rows, folds, NAMES, "y", "gbt", "regression", maxIter=5)
+    clf = trees.tree_folds(rows, folds, NAMES, "up", "gbt", "classification", maxIter=3)
     tagged = [_preds(d).withColumn("task", F.lit(t)) for d, t in ((reg, "regression"), (clf, "classification"))]
     return tagged[0].unionByName(tagged[1])
 
 
 @query("fit_forest")
 def fit_forest(spark, sf):
-    rows = model_rows(spark, sf).persist()
+    rows = model_rows(spark, sf)
     folds = folds_of(rows, 1)
     return _preds(trees.tree_folds(rows, folds, NAMES, "y", "forest", "regression", numTrees=100))
 
@@ -89,7 +89,7 @@ def regime_mixture(spark, sf):
 
 @query("fit_predict_folds")
 def fit_predict_folds(spark, sf):
-    rows = model_rows(spark, sf).persist()
+    rows = model_rows(spark, sf)
     return _preds(evaluate.fit_predict_folds(rows, folds_of(rows, 5), NAMES, ["naive", "linear", "arx", "garch"]))
 
 
@@ -115,14 +115,14 @@ def transfer_matrix(spark, sf):
 
 @query("grid_search")
 def grid_search(spark, sf):
-    rows = model_rows(spark, sf).persist()
+    rows = model_rows(spark, sf)
     out = trees.grid_search(rows, X.time_series_splits(X.lengths(rows), 3), NAMES, "y", {"maxDepth": [2, 3], "maxIter": [5]})
     return shown(out, {"rmse_mean": 4, "rmse_std": 4}, ("params", "folds", "is_best"))
 
 
 @query("perm_importance")
 def perm_importance(spark, sf):
-    rows = model_rows(spark, sf).persist()
+    rows = model_rows(spark, sf)
     model = trees.fit(rows, NAMES, "y", "gbt", "regression", maxIter=5)
     split = trees.feature_importances(model, spark, NAMES)
     out = trees.permutation_importance(model, rows, NAMES, "y").join(split, "feature")
