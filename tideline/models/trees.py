@@ -15,6 +15,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,9 @@ def fit(train: DataFrame, features: Sequence[str], target: str, kind: str, task:
 
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     out = model.transform(rows.na.drop(subset=[*features, target]))
+    # probability of the last class (the positive one of two), where the model gives any
+    prob = F.element_at(vector_to_array("probability"), -1) if "probability" in out.columns else F.lit(None).cast("double")
+    out = out.withColumn("y_prob", prob)
     drop = [c for c in ("features", "rawPrediction", "probability") if c in out.columns]
     return out.withColumn("y_true", F.col(target)).withColumn("y_pred", F.col("prediction")).drop("prediction", *drop)
 
@@ -76,7 +80,7 @@ def tree_folds(
             here = here.filter(F.col(c) == v)
         model = fit(here.filter(F.col("role") == "train"), features, target, kind, task, classes, **params)
         scored = predict(model, here.filter(F.col("role") == "test"), features, target)
-        return scored.select("asset", F.lit(kind).alias("model"), "fold", "ts", "y_true", "y_pred")
+        return scored.select("asset", F.lit(kind).alias("model"), "fold", "ts", "y_true", "y_pred", "y_prob")
 
     with ThreadPool(threads) as pool:
         return reduce(DataFrame.unionByName, pool.map(one, jobs))

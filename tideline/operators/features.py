@@ -201,21 +201,31 @@ def _technical_lookback(cfg: FeatureSettings) -> int:
 
 def statistical(c: Context) -> Stages:
     """Annualised volatility, skew and excess kurtosis of returns shifted by window + separation."""
-    first, second, third = {}, {}, {}
-    moments = {"_n": F.count, "_v": F.var_pop, "_g1": F.skewness, "_g2": F.kurtosis}
+    # Frames are re-read for every row, so each aggregate costs its frame length per row: one
+    # count and four plain sums of powers serve all three columns. Returns lie about zero, so
+    # powers about zero lose no digits; a spread below 1e-12 of the square counts as none.
+    first, powers, sums, central, out = {}, {}, {}, {}, {}
     for k in c.cfg.volatility_windows:
-        x = f"_x{k}"
+        x, frame = f"_x{k}", last_rows(c.w, k)
         first[x] = c.shift("ret", k + c.cfg.separation)
-        for name, agg in moments.items():
-            second[f"{name}{x}"] = agg(x).over(last_rows(c.w, k))
-        n, v = F.col(f"_n{x}"), F.col(f"_v{x}")
+        powers |= {f"{x}_{p}": F.col(x) ** p for p in (2, 3, 4)}
+        sums[f"_n{x}"] = F.count(x).over(frame)
+        mean = lambda p, x=x, frame=frame: F.avg(x if p == 1 else f"{x}_{p}").over(frame)
+        sums |= {f"_e{p}{x}": mean(p) for p in (1, 2, 3, 4)}
+        n, e1, e2, e3, e4 = (F.col(f"{name}{x}") for name in ("_n", "_e1", "_e2", "_e3", "_e4"))
+        spread = e2 - e1 * e1
+        central |= {
+            f"_m2{x}": F.when(spread > e2 * 1e-12, spread).when(e2.isNotNull(), 0.0),
+            f"_m3{x}": e3 - 3 * e1 * e2 + 2 * e1**3,
+            f"_m4{x}": e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1**4,
+        }
+        m2, m3, m4 = (F.col(f"_m{p}{x}") for p in (2, 3, 4))
         enough = n >= k // 2
-        # one variance serves all three; a constant stretch has no skew or kurtosis
-        std = F.when(n > 1, F.sqrt(F.try_divide(v * n, n - 1)))
-        third[f"volatility_{k}d"] = F.when(enough, std * ANNUAL)
-        third[f"skew_{k}d"] = F.when(enough & (v > 0), adjusted_skew(F.col(f"_g1{x}"), n))
-        third[f"kurt_{k}d"] = F.when(enough & (v > 0), adjusted_kurtosis(F.col(f"_g2{x}"), n))
-    return [first, second, third]
+        out[f"volatility_{k}d"] = F.when(enough & (n > 1), F.sqrt(F.try_divide(m2 * n, n - 1)) * ANNUAL)
+        skewed = enough & (m2 > 0)
+        out[f"skew_{k}d"] = F.when(skewed, adjusted_skew(F.try_divide(m3, m2**1.5), n))
+        out[f"kurt_{k}d"] = F.when(skewed, adjusted_kurtosis(F.try_divide(m4, m2 * m2) - 3, n))
+    return [first, powers, sums, central, out]
 
 
 def calendar(c: Context) -> Stages:
@@ -470,13 +480,21 @@ def lag_prices(
     return out.select(*series.keys, series.time, *names)
 
 
-def sequences(bars: DataFrame, length: int, target: Column, series: Series = DAILY, lookahead: int = 1) -> DataFrame:
-    """``x_seq``: the ``length`` closes before each row; ``y``: target of that row."""
+def sequences(
+    bars: DataFrame, length: int, cols: Iterable[str] = ("close",), target: Column | None = None, series: Series = DAILY, lookahead: int = 1
+) -> DataFrame:
+    """``x_seq``: the ``length`` rows before each row, row by row; ``y``: target of that row.
+
+    ``target`` is a window function such as a lead of at most ``lookahead`` rows.
+    """
+    cols = list(cols)
+    item = F.col(cols[0]).cast("double") if len(cols) == 1 else F.array(*[F.col(c).cast("double") for c in cols])
 
     def build(rows: DataFrame, w: WindowSpec) -> DataFrame:
-        return rows.withColumns(
-            {"x_seq": F.collect_list("close").over(w.rowsBetween(-length, -1)), "y": target.over(w) if target is not None else F.lit(None)}
-        )
+        seen = F.collect_list(item).over(w.rowsBetween(-length, -1))
+        y = F.lit(None).cast("double") if target is None else target.over(w)
+        return rows.withColumns({"x_seq": seen, "y": y})
 
-    out = over_series(bars, build, series, length + 1, lookahead)
-    return out.filter(F.size("x_seq") == length).select(*series.keys, series.time, F.col("_rn").alias("rn"), "x_seq", "y")
+    out = over_series(bars, build, series, length + 1, lookahead).filter(F.size("x_seq") == length)
+    flat = F.col("x_seq") if len(cols) == 1 else F.flatten("x_seq")
+    return out.select(*series.keys, series.time, F.col("_rn").alias("rn"), flat.alias("x_seq"), "y")

@@ -67,7 +67,7 @@ def uniform_eval(
     ``models``: name -> ridge share. ``targets``: (asset, ts, y).
     """
     cfg, models = cfg or WindowSettings(), models or {"linear": 0.0, "ridge": 0.1}
-    rows = sequences(bars, cfg.lookback, None, series).drop("y").join(targets.select("asset", "ts", "y"), ["asset", "ts"])
+    rows = sequences(bars, cfg.lookback, series=series).drop("y").join(targets.select("asset", "ts", "y"), ["asset", "ts"])
     folds = sliding_splits(lengths(bars), cfg.train, cfg.val, cfg.step)
     frames = fold_frames(rows.filter(F.col("y").isNotNull()), folds)
     scaled = scale_sequences(frames, "x_seq", cfg.lookback, kind=cfg.scaling)

@@ -131,7 +131,7 @@ _POS = range(1, 11)
 def seq_scale(spark, sf):
     from tideline.operators.features import sequences
 
-    rows = sequences(priority_bars(spark, sf), 10, None).select("asset", "ts", "rn", "x_seq")
+    rows = sequences(priority_bars(spark, sf), 10).select("asset", "ts", "rn", "x_seq")
     out = X.scale_sequences(X.fold_frames(rows, sliding_folds(spark, sf)), "x_seq", 10)
     return out.select(
         "asset", "fold", "role", "ts",

@@ -43,7 +43,8 @@ def fit_gbt(spark, sf):
     folds = folds_of(rows, 1)
     reg = trees.tree_folds(rows, folds, NAMES, "y", "gbt", "regression", maxIter=5)
     clf = trees.tree_folds(rows, folds, NAMES, "up", "gbt", "classification", maxIter=3)
-    tagged = [_preds(d).withColumn("task", F.lit(t)) for d, t in ((reg, "regression"), (clf, "classification"))]
+    cols = {"y_true": 6, "y_pred": 6, "y_prob": 6}
+    tagged = [shown(d, cols, ("asset", "model", "fold", "ts")).withColumn("task", F.lit(t)) for d, t in ((reg, "regression"), (clf, "classification"))]
     return tagged[0].unionByName(tagged[1])
 
 

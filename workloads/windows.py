@@ -256,12 +256,23 @@ def vol_to_class(spark, sf):
 def seq_window(spark, sf):
     from tideline.operators.features import sequences
 
-    df = sequences(priority_bars(spark, sf), 10, None)
+    df = sequences(priority_bars(spark, sf), 10)
     nxt = features(priority_bars(spark, sf), ["targets"]).select("asset", "ts", "next_return")
     text = F.array_join(F.transform("x_seq", lambda v: F.format_string("%.2f", v)), "|")
     return df.drop("y").join(nxt, ["asset", "ts"]).select("asset", "ts", "rn", text.alias("x_seq"), rounded("next_return").alias("y"))
 
 
+@query("seq_features", with_sql(
+    f"s AS (SELECT asset, ts, rn, flatten(list([close, CAST(volume AS DOUBLE)]) OVER ({W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) AS x, lead(close) OVER ({W}) AS y FROM r)",
+    select="SELECT asset, ts, rn, list_aggregate(list_transform(x, lambda v: printf('%.2f', v)), 'string_agg', '|') AS x_seq, y FROM s WHERE len(x) = 10"))
+def seq_features(spark, sf):
+    from tideline.operators.features import sequences
+
+    df = sequences(priority_bars(spark, sf), 5, ["close", "volume"], F.lead("close", 1))
+    text = F.array_join(F.transform("x_seq", lambda v: F.format_string("%.2f", v)), "|")
+    return df.select("asset", "ts", "rn", text.alias("x_seq"), "y")
+
+
 @query("shift", with_sql(select=f"SELECT asset, ts, lag(close, 30) OVER ({W}) AS close_30, {rnd(f'lag(ret, 30) OVER ({W})', 'ret_30')} FROM r"))
 def shift(spark, sf):
     from tideline.functions.layout import over_series
