@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tideline.operators.features import features  # noqa: E402
 from tideline.operators.labels import quartile_labels  # noqa: E402
-from tideline.session import local_session, materialise  # noqa: E402
+from tideline.session import local_session, materialise, ship_package  # noqa: E402
 from workloads import QUERIES  # noqa: E402
 from workloads.fixtures import brand_bars  # noqa: E402
 
@@ -68,6 +68,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     QUERIES["sma"](spark, sf).write.format("noop").mode("overwrite").save()  # warm-up
     times = {}
     for name in (*EXTRA, *HEADLINE):
