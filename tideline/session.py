@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,8 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
+_ARCHIVE = "tideline.zip"
+_shipping = Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -63,14 +65,14 @@ def ship_package(spark: SparkSession) -> None:
     ``--py-files``): group jobs and the small solver import it there.
     """
     sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tideline-zip-"), "tideline.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
-                out.write(full, os.path.join("tideline", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+    with _shipping:
+        if _ARCHIVE in sc._python_includes:
+            return
+        root = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="tideline-zip-"), _ARCHIVE)
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.join("tideline", os.path.relpath(full, root)))
+        sc.addPyFile(path)
