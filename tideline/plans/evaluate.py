@@ -13,7 +13,7 @@ from tideline.functions.layout import DAILY, Series
 from tideline.models.garch import garch_folds
 from tideline.models.linear import arx_folds, fit_linear, linear_folds, predict_linear
 from tideline.models.trees import tree_folds
-from tideline.operators.features import sequences
+from tideline.operators.features import log_volatility, sequences
 from tideline.operators.folds import drop_bad_folds, fold_frames, lengths, scale_sequences, sliding_splits
 from tideline.operators.metrics import leaderboard, naive_predictions, rank_ic, regression_metrics
 
@@ -49,9 +49,21 @@ def job(name: str) -> Job:
     return JOBS[key]
 
 
-def fit_predict_folds(rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """Predictions of every model on every fold; folds with unusable predictions are dropped."""
-    parts = [job(m)(rows, folds, features).select(*PREDICTIONS) for m in models]
+def fit_predict_folds(
+    rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str], log_epsilon: float | None = None
+) -> DataFrame:
+    """Predictions of every model on every fold; folds with unusable predictions are dropped.
+
+    ``log_epsilon``: set where the target is a logged volatility. The volatility model works
+    on returns and not on the target, so its forecast is logged the same way.
+    """
+    parts = []
+    for name in models:
+        run = job(name)
+        preds = run(rows, folds, features).select(*PREDICTIONS)
+        if log_epsilon is not None and run is JOBS.get("garch"):
+            preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
+        parts.append(preds)
     return drop_bad_folds(reduce(DataFrame.unionByName, parts))
 
 

@@ -93,7 +93,8 @@ def full_run(
     folds = adaptive_splits(lengths(table), settings.splits)
     store.save("folds", folds, run_id, by=("asset",))
     folds = store.load("folds", run_id).drop("run_id")
-    preds = fit_predict_folds(table, folds, used, models).withColumn("task", F.lit("regression"))
+    logged = settings.features.log_epsilon if settings.features.use_log_target else None
+    preds = fit_predict_folds(table, folds, used, models, logged).withColumn("task", F.lit("regression"))
     store.save("predictions", preds, run_id)
     preds = store.load("predictions", run_id)
     per_fold = regression_metrics(preds, ["asset", "model", "task", "fold"])
