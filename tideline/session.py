@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,26 +24,36 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
-    return (
+    session = (
         builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
+    local_checkpoint_folder(session)
+    return session
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for tables of one run, below the session's shared checkpoint folder."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = _checkpoint_folder(spark)
     if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="tideline-run-", dir=os.environ.get("TMPDIR", "/tmp"))
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _checkpoint_folder(spark: SparkSession) -> str | None:
+    sc = spark.sparkContext
+    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def local_checkpoint_folder(spark: SparkSession) -> None:
+    """For tests and single-machine runs: a checkpoint folder where none is set. Does nothing on a cluster."""
+    if not _checkpoint_folder(spark) and re.match(r"local(\[|$)", spark.sparkContext.master):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-run-"))
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
