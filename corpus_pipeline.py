@@ -1,4 +1,8 @@
-"""Five stages over documents: quality rules, near-duplicates, benchmark passages, secrets, packing."""
+"""Five stages over documents: quality rules, near-duplicates, benchmark passages, secrets, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,38 +10,64 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tideline.llm import packing, secrets  # noqa: E402
+from tideline.llm import decontamination, packing, quality, secrets, simhash  # noqa: E402
 from tideline.session import local_checkpoint_folder, materialise, ship_package  # noqa: E402
 
 
-def _prepared(spark: SparkSession) -> None:
+def _prepare(spark: SparkSession) -> None:
     local_checkpoint_folder(spark)
     ship_package(spark)
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines above the limits go, and documents that fail the base rules or have too few words left."""
+    _prepare(spark)
+    kept = quality.cleaned(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest id (of rows that repeat it, one)."""
+    _prepare(spark)
+    return simhash.representatives(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    _prepare(spark)
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text; no document goes."""
-    _prepared(spark)
-    from pyspark.sql import functions as F
-
-    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    _prepare(spark)
+    return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all remaining documents in sequences of at most 2048 tokens."""
-    _prepared(spark)
+    _prepare(spark)
     return packing.pack(docs)
 
 
-STAGES = [("secrets", secret_stage), ("packing", packing_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
+
+#: Fingerprints, groups and token ids have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _prepared(spark)
+    _prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

@@ -288,13 +288,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, settings: SimhashSettings | None = None, text: str = "text") -> DataFrame:
-    """``docs`` (without the text) with ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
-    s = settings or SimhashSettings()
+def _grouped(docs: DataFrame, s: SimhashSettings, text: str) -> DataFrame:
+    """``docs`` without the text, with ``fingerprint`` (a number), ``_root`` and ``component_id``."""
     hashed = materialise(with_fingerprint(docs.drop("component_id"), s, text).drop(text), "fingerprints")
     classes = materialise(hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")), "classes")
     roots = components(link_edges(classes.select("fingerprint"), s))
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
     names = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    found = rooted.join(names, "_root").select("fingerprint", "component_id")
-    return hashed.join(found, "fingerprint").withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+    found = rooted.join(names, "_root").select("fingerprint", "_root", "component_id")
+    return hashed.join(found, "fingerprint")
+
+
+def near_duplicates(docs: DataFrame, settings: SimhashSettings | None = None, text: str = "text") -> DataFrame:
+    """``docs`` (without the text) with ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
+    found = _grouped(docs, settings or SimhashSettings(), text).drop("_root")
+    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+def representatives(docs: DataFrame, settings: SimhashSettings | None = None, text: str = "text") -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest doc_id (nulls last), and of rows that share it the
+    one whose text has the smallest hash; of rows that are equal in both, one."""
+    last = (1 << 63) - 1
+    keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))}
+    marked = docs.withColumns(keys)
+    grouped = _grouped(marked.select("doc_id", "_id", "_hash", text), settings or SimhashSettings(), text)
+    chosen = grouped.groupBy("_root").agg(F.min(F.struct("_id", "_hash")).alias("_one")).select("_one.*")
+    return marked.join(materialise(chosen, "chosen"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop(*keys)
