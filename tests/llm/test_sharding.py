@@ -5,7 +5,7 @@ from tideline.session import shared_folder
 
 
 def test_rebalance_is_even_and_moves_little():
-    sizes = {s: (s * 7919) % 1000 + (50_000 if s == 3 else 1) for s in range(512)}
+    sizes = {s: (s * 7919) % 1000 + (30_000 if s == 3 else 1) for s in range(512)}
     first = even_map(512, 8)
     second = rebalance(first, sizes, 8)
     load = [sum(sizes[s] for s in range(512) if second.shards[s] == k) for k in range(8)]
@@ -14,6 +14,13 @@ def test_rebalance_is_even_and_moves_little():
     assert rebalance(second, sizes, 8, 0.02).shards == second.shards
 
 
+def test_a_hot_slot_leaves_the_others_even():
+    sizes = {s: 1_000_000 if s == 3 else 1 + s % 100 for s in range(512)}
+    final = rebalance(even_map(512, 8), sizes, 8)
+    load = sorted(sum(sizes[s] for s in range(512) if final.shards[s] == k) for k in range(8))
+    assert load[-1] >= 1_000_000 and load[-2] <= 1.05 * load[0]
+
+
 def test_rebalance_empties_lost_shards_and_fills_new_ones():
     sizes = dict.fromkeys(range(64), 10)
     fewer = rebalance(even_map(64, 4), sizes, 3)
@@ -23,7 +30,7 @@ def test_rebalance_empties_lost_shards_and_fills_new_ones():
 
 
 def _run(spark, rows, n=4):
-    df = spark.createDataFrame(rows, "doc_id long, size long, shard string, extra string")
+    df = spark.createDataFrame(rows, "doc_id long, size long, shard string, _before string")
     store = MapStore(spark, shared_folder(spark, "map"))
     return store, shard(df, ["doc_id"], F.col("size"), n, store, order=["doc_id", "size"], n_slots=64)
 

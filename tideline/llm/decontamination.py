@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.llm.rows import packed, unpacked
 from tideline.session import materialise
 
-#: Fixed value: runs of ASCII digits, ASCII letters (in lower case by then) and characters beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what parts words, anything but ASCII digits, ASCII letters (in lower case by then) and characters beyond ASCII.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: A term that no text holds; its posting says how many words a document has.
 END = " "
@@ -35,7 +36,7 @@ END = " "
 
 def words_of(text: Column) -> Column:
     lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
 @dataclass(frozen=True)
@@ -139,4 +140,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Da
     """``docs`` without the rows that hold a benchmark window."""
     index = build_index(docs, benchmark)
     bad = materialise(phrase_matches(index, width).select(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).distinct(), "contaminated")
-    return docs.join(bad, (F.xxhash64(docs["text"].cast("string")) == F.col("_t")) & docs["doc_id"].eqNullSafe(F.col("_d")), "left_anti")
+    frame = packed(docs, {"_doc": "doc_id", "_text": F.xxhash64(F.col("text").cast("string"))})
+    return unpacked(frame.join(bad, (F.col("_text") == F.col("_t")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_anti"), docs)

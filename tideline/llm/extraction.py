@@ -12,8 +12,8 @@ array. Identical pages of a host count once.
 
 Edge cases: a null or empty html gives an empty text; unclosed and stray tags are closed or ignored as browsers do, and
 a tag cut off by the end of the page is dropped; a null url, or one without ``://``, belongs to the host of no name;
-repeated rows are extracted alike; an empty table gives an empty result; other columns are passed through, and columns
-named ``host`` or ``text`` are replaced.
+repeated rows are extracted alike; an empty table gives an empty result; other columns are passed through
+whatever their names, but for ``host`` and ``text``, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.rows import packed, unpacked
 from tideline.session import materialise
 
 
@@ -166,8 +167,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, int]], list[Node]]:
         main = inside.main or tag == "main" or 'role="main"' in attributes
         nodes.append(Node(tag, path, above, bool(named) or tag not in PLAIN, inside.article or tag == "article", main))
         stack.append((tag, len(nodes) - 1))
-    if not skip:
-        flush()
+    flush()
     return blocks, nodes
 
 
@@ -261,5 +261,7 @@ def extract(pages: DataFrame, settings: ExtractSettings | None = None) -> DataFr
         return pa.array(out, pa.string())
 
     removed = removed_branches(pages, settings)
-    hosted = pages.withColumn("host", host_of(F.col("url"))).join(removed, F.col("host") == F.col("_host"), "left")
-    return hosted.withColumn("text", F.arrow_udf(texts, "string")(F.col("html").cast("string"), F.col("_removed"))).drop("_host", "_removed")
+    frame = packed(pages, {"html": "html", "host": host_of(F.col("url"))}, ("html", "host", "text"))
+    hosted = frame.join(removed, F.col("host") == F.col("_host"), "left")
+    text = F.arrow_udf(texts, "string")(F.col("html").cast("string"), F.col("_removed"))
+    return unpacked(hosted.withColumn("text", text), pages, ("host", "text"), html="html", host="host", text="text")

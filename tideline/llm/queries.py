@@ -68,7 +68,7 @@ w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
 win AS (SELECT r, i, array_to_string(words[i:i+4], ' ') AS x FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS c FROM win) , range(5) AS t(k) WHERE c > 1 GROUP BY r),
 l AS (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
-lw AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, trim(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lw AS (SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, trim(lower(line), concat(' ', chr(9), chr(11), chr(12), chr(13))) AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 h AS (SELECT *, CAST('0x' || substr(md5(norm), 1, 15) AS BIGINT) AS h FROM lw),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw GROUP BY r),
 per AS (SELECT r, any_value(source) AS source, list_sort(list(DISTINCT h)) AS hs FROM h GROUP BY r),

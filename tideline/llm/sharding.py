@@ -7,7 +7,7 @@ until sizes are near equal, and every edited map is stored as a new version besi
 
 Edge cases: a null or empty text counts no bytes (its record still counts one, so that empty records spread too); null
 keys hash like a value of their own; repeated rows share a slot; an empty table gives an empty result and an even map;
-other columns are passed through, and columns named ``virtual_slot``, ``shard`` or ``slot`` are replaced.
+other columns are passed through whatever their names, but for ``virtual_slot``, ``shard`` and ``slot``, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.llm.rows import packed, unpacked
+
 
 @dataclass(frozen=True)
 class SlotMap:
@@ -69,8 +71,12 @@ def rebalance(current: SlotMap, sizes: dict[int, int], n_shards: int, tolerance:
         if load[high] <= mean * (1 + tolerance) and load[low] >= mean * (1 - tolerance):
             break
         movable = [x for x in held[high] if 0 < sizes.get(x, 0) < gap]
-        if not movable:
-            break
+        if not movable:  # a shard of one hot slot; the others go on without it
+            del load[high]
+            if len(load) < 2:
+                break
+            mean = sum(load.values()) / len(load)
+            continue
         slot = min(movable, key=lambda x: (abs(2 * sizes[x] - gap), x))
         held[high].remove(slot)
         held[low].append(slot)
@@ -102,8 +108,11 @@ class MapStore:
         return SlotMap(version, tuple(shard for _, shard in rows))
 
 
-def assign(df: DataFrame, shards: DataFrame, rows_per_slot: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` (with ``virtual_slot``) plus ``shard`` and ``slot``, a gapless position in the shard.
+RESULT = ("virtual_slot", "shard", "slot")
+
+
+def _assign(frame: DataFrame, shards: DataFrame, rows_per_slot: DataFrame, order: list[str]) -> DataFrame:
+    """A packed frame with ``virtual_slot`` plus ``shard`` and ``slot``, a gapless position in the shard.
 
     Positions are numbered within a virtual slot and shifted by the rows of the shard's slots before it, so no task
     holds a shard.
@@ -111,19 +120,21 @@ def assign(df: DataFrame, shards: DataFrame, rows_per_slot: DataFrame, order: li
     placed = rows_per_slot.select("virtual_slot", "rows").join(shards, "virtual_slot")
     before = W.partitionBy("shard").orderBy("virtual_slot").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("virtual_slot").orderBy(*order)
-    numbered = df.drop("shard", "slot").withColumn("_row", F.row_number().over(within))
-    return numbered.join(F.broadcast(placed), "virtual_slot").withColumn("slot", F.col("_before") + F.col("_row") - 1).drop("_before", "_row")
+    within = W.partitionBy("virtual_slot").orderBy(*[F.col("whole")[c] for c in order])
+    numbered = frame.withColumn("_row", F.row_number().over(within))
+    # At most n_slots rows are broadcast.
+    return numbered.join(F.broadcast(placed), "virtual_slot").withColumn("slot", F.col("_before") + F.col("_row") - 1)
 
 
 def shard(df: DataFrame, keys: list[str], size: Column, n_shards: int, store: MapStore, order: list[str], n_slots: int = 4096) -> DataFrame:
-    """Hash, sum, rebalance and place; versions 0 (even) and 1 (by bytes) of the map are in ``store``."""
-    slotted = df.withColumn("virtual_slot", slot_of(keys, n_slots))
-    table = slot_table(slotted, size)
-    counts = table.collect()  # at most n_slots rows
+    """Hash, sum, rebalance and place: ``df`` with ``virtual_slot``, ``shard`` and ``slot``, a gapless position in the
+    shard by virtual slot and ``order``. Versions 0 (even) and 1 (by bytes) of the map are in ``store``."""
+    frame = packed(df, {"virtual_slot": slot_of(keys, n_slots), "_size": size}, RESULT)
+    counts = slot_table(frame, F.col("_size")).collect()  # at most n_slots rows
     first = even_map(n_slots, n_shards)
     final = rebalance(first, {r["virtual_slot"]: r["bytes"] for r in counts}, n_shards)
     store.save(first)
     store.save(final)
     rows = df.sparkSession.createDataFrame([(r["virtual_slot"], r["rows"]) for r in counts], "virtual_slot int, rows long")
-    return assign(slotted, store.table(final.version), rows, order)
+    placed = _assign(frame.drop("_size"), store.table(final.version), rows, order)
+    return unpacked(placed, df, RESULT, **{c: c for c in RESULT})

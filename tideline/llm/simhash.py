@@ -14,8 +14,8 @@ to the shared folder.
 
 Edge cases: null and empty texts have the fingerprint zero, which is linked like any other; equal texts, ties and
 repeated rows share a fingerprint and so a component; the id of a component is its smallest non-null doc_id (null if it
-has none); an empty table gives an empty result. Other columns are passed through; columns named ``fingerprint`` or
-``component_id`` are replaced.
+has none); an empty table gives an empty result. Other columns are passed through whatever their names, but for those
+named ``fingerprint`` or ``component_id``, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.rows import packed, unpacked
 from tideline.session import materialise
 
 
@@ -64,7 +65,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int(np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)).view(np.int64)) if len(bits) else 0
 
 
-def with_fingerprint(docs: DataFrame, settings: SimhashSettings, text: str = "text") -> DataFrame:
+def with_fingerprint(frame: DataFrame, settings: SimhashSettings) -> DataFrame:
     words = settings.words
 
     def hashed(texts):
@@ -72,7 +73,7 @@ def with_fingerprint(docs: DataFrame, settings: SimhashSettings, text: str = "te
 
         return pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
 
-    return docs.withColumn("fingerprint", F.arrow_udf(hashed, "long")(F.col(text).cast("string")))
+    return frame.withColumn("fingerprint", F.arrow_udf(hashed, "long")(F.col("text").cast("string")))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -288,9 +289,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _grouped(docs: DataFrame, s: SimhashSettings, text: str) -> DataFrame:
-    """``docs`` without the text, with ``fingerprint`` (a number), ``_root`` and ``component_id``."""
-    hashed = materialise(with_fingerprint(docs.drop("component_id"), s, text).drop(text), "fingerprints")
+def _grouped(frame: DataFrame, s: SimhashSettings) -> DataFrame:
+    """A frame with doc_id and text, the latter replaced by ``fingerprint`` (a number), ``_root`` and ``component_id``."""
+    hashed = materialise(with_fingerprint(frame, s).drop("text"), "fingerprints")
     classes = materialise(hashed.groupBy("fingerprint").agg(F.min("doc_id").alias("_first")), "classes")
     roots = components(link_edges(classes.select("fingerprint"), s))
     rooted = classes.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select("fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root"))
@@ -301,8 +302,9 @@ def _grouped(docs: DataFrame, s: SimhashSettings, text: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, settings: SimhashSettings | None = None, text: str = "text") -> DataFrame:
     """``docs`` (without the text) with ``fingerprint`` (16 hexadecimal digits) and ``component_id``."""
-    found = _grouped(docs, settings or SimhashSettings(), text).drop("_root")
-    return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+    without = (text, "fingerprint", "component_id")
+    found = _grouped(packed(docs, {"doc_id": "doc_id", "text": text}, without), settings or SimhashSettings())
+    return unpacked(found, docs, without, fingerprint=F.lower(F.lpad(F.hex("fingerprint"), 16, "0")), component_id="component_id")
 
 
 def representatives(docs: DataFrame, settings: SimhashSettings | None = None, text: str = "text") -> DataFrame:
@@ -310,7 +312,7 @@ def representatives(docs: DataFrame, settings: SimhashSettings | None = None, te
     one whose text has the smallest hash; of rows that are equal in both, one."""
     last = (1 << 63) - 1
     keys = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(last)), "_hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))}
-    marked = docs.withColumns(keys)
-    grouped = _grouped(marked.select("doc_id", "_id", "_hash", text), settings or SimhashSettings(), text)
+    grouped = _grouped(docs.select("doc_id", F.col(text).alias("text"), *[c.alias(n) for n, c in keys.items()]), settings or SimhashSettings())
     chosen = grouped.groupBy("_root").agg(F.min(F.struct("_id", "_hash")).alias("_one")).select("_one.*")
-    return marked.join(materialise(chosen, "chosen"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).drop(*keys)
+    kept = packed(docs, keys).join(materialise(chosen, "chosen"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return unpacked(kept, docs)

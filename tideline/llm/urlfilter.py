@@ -12,8 +12,8 @@ planner knows their sizes; a host with many pages is spread over its paths.
 
 Edge cases: a url that is null or without ``://`` has an empty host and path; an empty path, and a path of slashes only,
 have the root template; repeated rows and urls count as often as they occur and get equal verdicts; an empty table gives
-an empty result; without labels nothing is rejected. Other columns are passed through, and columns named ``host``,
-``path``, ``template``, ``branch``, ``purity`` or ``reject`` are replaced.
+an empty result; without labels nothing is rejected. Other columns are passed through
+whatever their names, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.rows import packed, unpacked
 from tideline.session import materialise
 
 
@@ -125,8 +126,9 @@ def judged(paths: DataFrame, settings: TemplateSettings | None = None) -> DataFr
 
 def filter_urls(pages: DataFrame, settings: TemplateSettings | None = None) -> DataFrame:
     """``pages`` (host, path, bad and others) with ``template``, ``branch``, ``purity`` and ``reject``."""
-    pages = pages.drop("template", "branch", "purity", "reject")
+    without = ("template", "branch", "purity", "reject")
     paths = materialise(templates(pages.select("host", "path", "bad"), settings), "templated")
     verdicts = materialise(judged(paths, settings), "verdicts")
     known = paths.select("host", "path", "template").join(verdicts, ["host", "template"])
-    return pages.join(known, ["host", "path"])
+    frame = packed(pages, {"host": "host", "path": "path"}, without)
+    return unpacked(frame.join(known, ["host", "path"]), pages, without, **{c: c for c in without})
