@@ -11,8 +11,8 @@ def table(spark, sizes):
 def test_adaptive_splits(spark):
     sizes = (90, 280, 450, 700, 1700, 2405, 6000)
     for expanding in (True, False):
-        cfg = SplitSettings(n_splits=12, gap=3, expanding=expanding)
-        rows = X.adaptive_splits(table(spark, sizes), cfg).collect()
+        cfg = SplitSettings(n_splits=12, gap=3, expanding=expanding, max_train=504, strategy="adaptive")
+        rows = X.walk_forward_splits(table(spark, sizes), cfg).collect()
         for r in rows:
             n = int(r["asset"][1:])
             assert 0 <= r["train_lo"] < r["train_hi"] <= r["test_lo"] < r["test_hi"] <= n
@@ -22,6 +22,20 @@ def test_adaptive_splits(spark):
             assert sum(r["asset"] == "s6000" for r in rows) == 12
 
 
+def test_fixed_splits(spark):
+    sizes = (90, 320, 700, 6000)
+    for expanding in (True, False):
+        cfg = SplitSettings(n_splits=3, gap=2, test_size=100, expanding=expanding)
+        folds = X.walk_forward_splits(table(spark, sizes), cfg)
+        rows = {(int(r["asset"][1:]), r["fold"]): r for r in folds.collect()}
+        assert sorted(rows) == [(320, 0), (320, 1), *((n, f) for n in (700, 6000) for f in range(3))]
+        for (n, fold), r in rows.items():
+            assert r["train_hi"] + 2 == r["test_lo"] and r["test_hi"] - r["test_lo"] == 100
+            assert (r["train_lo"] == 0) == (expanding or fold == 0)
+            assert rows[n, max(f for m, f in rows if m == n)]["test_hi"] == n
+        assert [r["asset"] for r in X.unsplit(table(spark, sizes), folds).collect()] == ["s90"]
+
+
 def test_sliding_splits_count(spark):
     rows = X.sliding_splits(table(spark, (259, 260, 320, 500000)), 200, 60, 60).groupBy("asset").count().collect()
     assert {r["asset"]: r["count"] for r in rows} == {"s260": 1, "s320": 2, "s500000": (500000 - 260) // 60 + 1}

@@ -39,6 +39,31 @@ def test_least_squares(design):
         assert abs(got[asset]["sse"] - res[0]) < 1e-5
 
 
+def test_moments_equal_numpy(spark):
+    from tideline.functions.gram import group_moments
+    from tideline.operators.selection import correlation_matrix
+
+    rng = np.random.default_rng(5)
+    k, n = 12, 4000
+    x = rng.normal(1e6, 1, (n, k)) @ np.diag(rng.uniform(0.1, 10, k)) + rng.normal(size=(n, 1))
+    x[rng.random((n, k)) < 0.1] = np.nan
+    x[:, 3] = 0.1
+    cols = [f"c{i}" for i in range(k)]
+    pdf = pd.DataFrame(x, columns=cols).assign(g=np.where(np.arange(n) % 10 < 8, "hot", "cold"))
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in cols) + ", g string").repartition(7)
+    for r in group_moments(df, cols, ["g"], cols).collect():
+        own = pdf[pdf.g == r["g"]][cols].dropna().to_numpy()
+        assert r["counts"][0] == len(own)
+        same(np.reshape(r["comoment"], (k, k)) / len(own), np.cov(own.T, ddof=0), 1e-9)
+        same(np.reshape(r["mean"], (k, k))[:, 0], own.mean(0), 1e-12)
+    want = pdf[pdf.g == "hot"][cols].corr()
+    for r in correlation_matrix(df, cols, ["g"]).filter("g = 'hot'").collect():
+        if "c3" in (r["feature_1"], r["feature_2"]):
+            assert r["corr"] is None
+        else:
+            assert abs(r["corr"] - want.loc[r["feature_1"], r["feature_2"]]) < 1e-9
+
+
 def test_collinear_features_stay_finite(design):
     _, df = design
     rows = df.withColumn("x3", F.col("x1") * 2).withColumn("zero", F.lit(0.0))
@@ -48,7 +73,7 @@ def test_collinear_features_stay_finite(design):
 
 def test_autoregression(design):
     _, df = design
-    folds = X.adaptive_splits(X.lengths(df), SplitSettings(n_splits=2))
+    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=2, test_size=60, gap=0))
     out = linear.arx_folds(df, folds, ["x1", "x2"], orders=(1, 2)).toPandas()
     want = folds.selectExpr("sum(test_hi - test_lo)").first()[0]
     assert len(out) == want and np.isfinite(out.y_pred).all()
@@ -68,7 +93,7 @@ def test_garch_chunks_equal_whole(long_df):
 
 def test_garch_folds(design):
     _, df = design
-    folds = X.adaptive_splits(X.lengths(df), SplitSettings(n_splits=2))
+    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=2, test_size=60, gap=0))
     out = garch.garch_folds(df, folds).toPandas()
     assert len(out) == folds.selectExpr("sum(test_hi - test_lo)").first()[0]
     assert (out.y_pred > 0).all() and (out.var_99 < out.var_95).all()
@@ -85,7 +110,7 @@ def test_permutation_is_one_to_one(design):
 
 def test_trees_predict_every_test_row(design):
     _, df = design
-    folds = X.adaptive_splits(X.lengths(df), SplitSettings(n_splits=1))
+    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=1, test_size=60))
     out = trees.tree_folds(df, folds, ["x1", "x2"], "y", "forest", "regression", numTrees=5).toPandas()
     assert len(out) == folds.selectExpr("sum(test_hi - test_lo)").first()[0] and np.isfinite(out.y_pred).all()
 

@@ -54,4 +54,22 @@ def test_store_runs_and_partitions(spark, tmp_path, small_df):
     s.save("bars", small_df, "r1", by=("asset",))
     s.save("bars", small_df.filter("asset = 'A'").limit(5), "r1", by=("asset",))
     counts = {r["asset"]: r["count"] for r in s.load("bars", "r1").groupBy("asset").count().collect()}
-    assert counts == {"A": 5, "B": 40, "C": 40, "D": 1}
+    assert counts == {"A": 5}  # a run is replaced whole
+
+
+def test_names_that_look_like_numbers_or_hold_reserved_characters(spark, tmp_path, small_df):
+    from pyspark.sql import functions as F
+
+    names = F.create_map(*[F.lit(x) for pair in zip("ABCD", ("0005", "^VIX", "BRK+B", "7203")) for x in pair])
+    bars = small_df.withColumn("asset", F.try_element_at(names, "asset"))
+    path = str(tmp_path / "bars")
+    B.write_bars(bars, path)
+    assert {r[0] for r in B.read_bars(spark, path).select("asset").distinct().collect()} == {"0005", "^VIX", "BRK+B", "7203"}
+    assert B.drop_bars(spark, path, ["^VIX", "0005"]) == 2
+    assert {r[0] for r in B.read_bars(spark, path).select("asset").distinct().collect()} == {"BRK+B", "7203"}
+    s = ResultStore(spark, str(tmp_path / "store"))
+    for run in ("007", "7", "a=b"):
+        s.start_run(run, {"step": 1})
+        s.save("metrics", bars.limit(3), run, by=("asset",))
+    assert s.runs().filter("run_id = '007'").count() == 1 and s.load("metrics", "007").count() == 3 and s.load("metrics", "a=b").count() == 3
+    assert s.run("7")["run_id"] == "7"

@@ -90,3 +90,32 @@ def test_module_registry(small_df):
     with pytest.raises(ValueError):
         features(small_df.drop("high"), ["technical"])
     assert features(small_df, cfg=FeatureSettings(only_price_lags=True)).columns[2:] == ["lag1", "lag2", "lag3", "lag5", "lag10"]
+
+
+def test_ewm_with_gaps_against_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from tideline.config import FeatureSettings
+    from tideline.functions.layout import Series, over_series
+    from tideline.operators.features import Context, ewm_lookback, ewm_stages
+
+    rng = np.random.default_rng(2)
+    x = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 1500)))
+    x[rng.random(1500) < 0.1] = np.nan
+    x[[0, 1, 400, 401, 402, 403]] = np.nan
+    x[600:900] = np.nan
+    pdf = pd.DataFrame({"asset": "A", "ts": pd.date_range("2001-01-01", periods=1500), "x": x})
+    df = spark.createDataFrame(pdf, "asset string, ts timestamp_ntz, x double").withColumn("x", F.nanvl("x", F.lit(None).cast("double")))
+    series = Series(bucket_days=16, chunk_rows=300)
+    for span in (1, 2, 12, 26):
+
+        def build(rows, w, span=span):
+            for stage in ewm_stages(Context(w, FeatureSettings(), series), "x", span, 0, "e"):
+                rows = rows.withColumns(stage)
+            return rows
+
+        got = over_series(df, build, series, ewm_lookback(span) if span > 1 else 400).toPandas().sort_values("ts")["e"].to_numpy(dtype=float)
+        want = pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
+        np.testing.assert_allclose(got, want, rtol=1e-9)

@@ -33,13 +33,37 @@ class FeatureSettings:
 
 @dataclass(frozen=True)
 class SplitSettings:
+    """Walk-forward splits.
+
+    The ``fixed`` strategy cuts up to ``n_splits`` test blocks of ``test_size`` rows from the end of a series, each after
+    ``gap`` rows left out and all earlier rows as train rows (``expanding``) or as many as the first fold has. A forward
+    target of h rows needs ``gap`` of at least h to keep train and test targets apart; the default target looks five rows
+    ahead. ``max_train`` is a cap for those who want one.
+
+    The ``adaptive`` strategy lets sizes follow the length n of a series by the numbers below.
+    """
+
     n_splits: int = 5
     test_size: int = 252
     min_train: int = 60
     min_test: int = 20
-    gap: int = 0
-    max_train: int = 504
+    gap: int = 5
+    max_train: int | None = None
     expanding: bool = True
+    strategy: str = "fixed"
+    #: adaptive: most splits at a length of at least so many rows, and below all of them
+    length_steps: tuple[tuple[int, int], ...] = ((5000, 12), (2000, 8), (1000, 5), (500, 3))
+    short_splits: int = 1
+    #: adaptive: a test block is n / test_share rows, at most most_test; with one split it is n / single_share
+    test_share: int = 10
+    most_test: int = 504
+    single_share: int = 5
+    #: adaptive: the first train part is n / first_share rows, between the two bounds
+    first_share: int = 8
+    first_least: int = 126
+    first_most: int = 756
+    #: adaptive: rows kept for training when the number of blocks is worked out, at least
+    reserve: int = 10
 
 
 @dataclass(frozen=True)
@@ -73,6 +97,10 @@ def _section(cls, values: dict):
         default, given = getattr(base, f.name), values[f.name]
         if isinstance(default, bool):
             out[f.name] = bool(given)
+        elif default is None:
+            out[f.name] = int(given) if isinstance(given, (int, float)) and int(given) >= 1 else None
+        elif f.name == "length_steps":
+            out[f.name] = tuple((int(n), int(k)) for n, k in given)
         elif isinstance(default, int):
             low = 0 if f.name in ("separation", "gap") else 1
             out[f.name] = int(given) if isinstance(given, (int, float)) and int(given) >= low else default

@@ -1,7 +1,7 @@
 """Least squares from partial aggregates, and autoregression with exogenous columns.
 
-Means and covariances are merged by Spark, so a training set of any size, hot asset or not,
-becomes one row per model; only a small k x k system per row is solved in numpy.
+Means and covariances come from one pass that merges matrices, so a training set of any size,
+hot asset or not, becomes one row per model; a small k x k system per row is solved in numpy.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
+from tideline.functions.gram import group_moments
 from tideline.functions.layout import DAILY, Series, over_series
 from tideline.functions.skew import join_stats
 from tideline.operators.folds import fold_frames
@@ -22,44 +22,37 @@ from tideline.operators.folds import fold_frames
 NORMAL_TWO_SIDED = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _solve(cov: pd.Series, cov_y: pd.Series) -> pd.Series:
-    out = []
-    for c, v in zip(cov, cov_y):
-        v = np.asarray(v, dtype=float)
-        k = len(v)
-        a = np.zeros((k, k))
-        a[np.triu_indices(k)] = np.asarray(c, dtype=float)
-        a = a + a.T - np.diag(a.diagonal())
-        scale = np.sqrt(np.where(a.diagonal() > 0, a.diagonal(), 1.0))
-        a = a / np.outer(scale, scale)
-        if not np.isfinite(a).all() or not np.isfinite(v).all():
-            out.append([0.0] * k)
-            continue
-        out.append((np.linalg.pinv(a + 1e-10 * np.eye(k), hermitian=True) @ (v / scale) / scale).tolist())
-    return pd.Series(out)
-
-
 def moments(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
-    """One row per group: count, means and covariances of the features and the target."""
-    clean = rows.na.drop(subset=[*features, target])
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("_my"), F.var_pop(target).alias("_vy")]
-    for i, f in enumerate(features):
-        aggs += [F.avg(f).alias(f"_m{i}"), F.covar_pop(f, target).alias(f"_b{i}")]
-        aggs += [F.covar_pop(f, features[j]).alias(f"_a{i}_{j}") for j in range(i, len(features))]
-    return (clean.groupBy(*keys) if keys else clean.groupBy()).agg(*aggs)
-
-
-def _coefficients(use: Sequence[int], ridge: float = 0.0) -> Column:
-    """Least squares of the chosen features from a moments row."""
-    cov = [F.col(f"_a{i}_{j}") * (1.0 + ridge if i == j else 1.0) for x, i in enumerate(use) for j in use[x:]]
-    return _solve(F.array(*cov), F.array(*[F.col(f"_b{i}") for i in use]))
-
-
-def _with_fit(use: Sequence[int], coefs: str) -> tuple[Column, Column]:
-    """Intercept and squared error sum of coefficients over a moments row."""
-    dot = lambda prefix: sum((F.col(coefs)[x] * F.col(f"{prefix}{i}") for x, i in enumerate(use)), F.lit(0.0))
-    return F.col("_my") - dot("_m"), F.greatest(F.lit(0.0), F.col("_vy") - dot("_b")) * F.col("n")
+    """One row per group: count, means and population covariances of the features and, last, the target."""
+    columns = [*features, target]
+    table = group_moments(rows, columns, keys, columns)
+    means = F.transform(F.sequence(F.lit(0), F.lit(len(features))), lambda i: F.get("mean", i * (len(columns) + 1)))
+    n = F.get("counts", F.lit(0))
+    return table.select(*keys, n.cast("bigint").alias("n"), means.alias("means"), F.transform("comoment", lambda x: x / n).alias("cov"))
+
+
+def least_squares(use: Sequence[int], ridge: float = 0.0):
+    """Struct (coefs, intercept, sse) of the chosen features from a moments row."""
+    use = list(use)
+
+    def solve(n: pd.Series, means: pd.Series, cov: pd.Series) -> pd.DataFrame:
+        out = []
+        for rows, mean, flat in zip(n, means, cov):
+            mean = np.asarray(mean, dtype=float)
+            a = np.reshape(np.asarray(flat, dtype=float), (len(mean), len(mean)))
+            v, y = a[use, -1], a[-1, -1]
+            a = a[np.ix_(use, use)]
+            a = a + np.diag(a.diagonal() * ridge)
+            scale = np.sqrt(np.where(a.diagonal() > 0, a.diagonal(), 1.0))
+            a = a / np.outer(scale, scale)
+            if np.isfinite(a).all() and np.isfinite(v).all():
+                coefs = np.linalg.pinv(a + 1e-10 * np.eye(len(use)), hermitian=True) @ (v / scale) / scale
+            else:
+                coefs = np.zeros(len(use))
+            out.append((coefs.tolist(), float(mean[-1] - coefs @ mean[use]), float(max(0.0, y - coefs @ v) * rows)))
+        return pd.DataFrame(out, columns=["coefs", "intercept", "sse"])
+
+    return F.pandas_udf(solve, "coefs array<double>, intercept double, sse double")("n", "means", "cov")
 
 
 def fit_linear(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str], ridge: float = 0.0) -> DataFrame:
@@ -67,10 +60,8 @@ def fit_linear(rows: DataFrame, features: Sequence[str], target: str, keys: Sequ
 
     ``ridge`` is added to each feature variance as a share of it.
     """
-    use = list(range(len(features)))
-    table = moments(rows, features, target, keys).withColumn("coefs", _coefficients(use, ridge))
-    intercept, sse = _with_fit(use, "coefs")
-    return table.select(*keys, "coefs", intercept.alias("intercept"), "n", sse.alias("sse"))
+    table = moments(rows, features, target, keys).withColumn("_fit", least_squares(range(len(features)), ridge))
+    return table.select(*keys, "_fit.coefs", "_fit.intercept", "n", "_fit.sse")
 
 
 def predict_linear(rows: DataFrame, model: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -84,14 +75,30 @@ def predict_linear(rows: DataFrame, model: DataFrame, features: Sequence[str], k
     return joined.withColumn("y_pred", value).drop("coefs", "intercept")
 
 
-def linear_folds(rows: DataFrame, folds: DataFrame, features: Sequence[str], target: str = "y", keys: Sequence[str] = ("asset",), name: str = "linear", ridge: float = 0.0) -> DataFrame:
-    """Walk-forward least squares: one model per (asset, fold), fitted on its train rows."""
-    frames = fold_frames(rows.na.drop(subset=[*features, target]), folds, keys)
+def linear_frames(frames: DataFrame, features: Sequence[str], target: str = "y", keys: Sequence[str] = ("asset",), name: str = "linear", ridge: float = 0.0) -> DataFrame:
+    """Walk-forward least squares on prepared frames (fold, role): one model per (asset, fold), fitted on its train rows."""
+    frames = frames.na.drop(subset=[*features, target])
     model = fit_linear(frames.filter(F.col("role") == "train"), features, target, [*keys, "fold"], ridge)
     test = predict_linear(frames.filter(F.col("role") == "test"), model, features, [*keys, "fold"])
     return test.select(*keys, F.lit(name).alias("model"), "fold", "ts", F.col(target).alias("y_true"), "y_pred")
 
 
+def linear_folds(rows: DataFrame, folds: DataFrame, features: Sequence[str], target: str = "y", keys: Sequence[str] = ("asset",), name: str = "linear", ridge: float = 0.0) -> DataFrame:
+    """As ``linear_frames``, from rows and folds."""
+    return linear_frames(fold_frames(rows.na.drop(subset=[*features, target]), folds, keys), features, target, keys, name, ridge)
+
+
+def linear_contribution_frames(frames: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
+    """(asset, model, fold, ts, feature, value, contribution) of test rows: coefficient times the distance from the train mean."""
+    frames = frames.na.drop(subset=[*features, target])
+    train = frames.filter(F.col("role") == "train")
+    model = fit_linear(train, features, target, ["asset", "fold"]).select("asset", "fold", "coefs")
+    means = train.groupBy("asset", "fold").agg(F.array(*[F.avg(f) for f in features]).alias("_means"))
+    test = join_stats(frames.filter(F.col("role") == "test"), model.join(means, ["asset", "fold"]), ["asset", "fold"])
+    cells = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), (F.col("coefs")[i] * (F.col(f) - F.col("_means")[i])).alias("contribution")) for i, f in enumerate(features)]
+    return test.select("asset", F.lit("linear").alias("model"), "fold", "ts", F.explode(F.array(*cells)).alias("_c")).select("asset", "model", "fold", "ts", "_c.*")
+
+
 # ---- autoregression -------------------------------------------------------------------
 
 
@@ -122,7 +129,7 @@ def _recursion(features: list[str], d: int, z: float):
             total += reach * reach
             psi.append(float(sum(phi[i] * psi[-1 - i] for i in range(min(p, len(psi))))))
             preds.append(level)
-            spread.append(sigma * np.sqrt(min(total, 1e12)))
+            spread.append(sigma * np.sqrt(total))
         preds, spread = np.asarray(preds), np.asarray(spread)
         out = pdf[["asset", "fold", "ts", "p"]].copy()
         out["y_true"], out["y_pred"], out["std"] = pdf["y"], preds, spread
@@ -161,13 +168,13 @@ def arx_folds(
     columns = [f"lag_{k}" for k in range(1, most + 1)] + features
     table = moments(train, columns, x, [*keys, "fold"])
     uses = {p: [*range(p), *range(most, len(columns))] for p in orders}
-    table = table.withColumns({f"_c{p}": _coefficients(use) for p, use in uses.items()})
+    table = table.withColumns({f"_c{p}": least_squares(use) for p, use in uses.items()})
     tries = []
     for p, use in uses.items():
-        intercept, sse = _with_fit(use, f"_c{p}")
-        mse = F.greatest(sse / F.col("n"), F.lit(1e-300))
+        fit = F.col(f"_c{p}")
+        mse = F.greatest(fit["sse"] / F.col("n"), F.lit(1e-300))
         aic = F.col("n") * F.log(mse) + 2.0 * (len(use) + 1)
-        tries.append(F.struct(aic.alias("aic"), F.lit(p).alias("p"), F.col(f"_c{p}").alias("coefs"), intercept.alias("intercept"), F.sqrt(mse).alias("sigma")))
+        tries.append(F.struct(aic.alias("aic"), F.lit(p).alias("p"), fit["coefs"].alias("coefs"), fit["intercept"].alias("intercept"), F.sqrt(mse).alias("sigma")))
     best = table.select(*keys, "fold", F.array_min(F.array(*tries)).alias("_m")).select(*keys, "fold", "_m.*").drop("aic")
     test = frames.filter(F.col("role") == "test").join(best, [*keys, "fold"])
     schema = "asset string, fold bigint, ts timestamp_ntz, p int, y_true double, y_pred double, std double, lower double, upper double"

@@ -1,8 +1,9 @@
-"""Tree ensembles with pyspark.ml: one fit per (asset, fold), or per parameter set.
+"""Tree ensembles with pyspark.ml: one fit per fold over all assets, or per parameter set.
 
-Every fit is itself a distributed job, so a hot asset is spread over the cluster. The
-driver only submits fits; the list of (asset, fold) pairs comes from the splitter, which
-makes at most twelve folds per asset.
+Every fit is itself a distributed job, so a hot asset is spread over the cluster. The rows of the folds are written
+once, partitioned by fold, so a fit reads its own files only; each fit writes its predictions to a table that is read
+back whole. The driver submits one fit per fold number, however many assets there are. ``per_asset=True`` asks for a
+model of each asset instead, which is one fit per (asset, fold) and meant for a few assets.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions.skew import join_stats
 from tideline.operators.folds import fold_frames
 from tideline.operators.metrics import regression_metrics
+from tideline.session import shared_folder
 
 
 def estimator(kind: str, task: str, classes: int = 2, seed: int = 42, **params):
@@ -53,6 +56,25 @@ def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str], targ
     return out.withColumn("y_true", F.col(target)).withColumn("y_pred", F.col("prediction")).drop("prediction", *drop)
 
 
+def balanced(train: DataFrame, target: str, ratio: float) -> tuple[DataFrame, str | None]:
+    """``train`` with a weight per class where the largest class has at least ``ratio`` times the rows of the smallest."""
+    counts = {r[0]: r[1] for r in train.groupBy(target).count().collect()}  # a row per class
+    if len(counts) < 2 or max(counts.values()) < ratio * min(counts.values()):
+        return train, None
+    total, weight = sum(counts.values()), F.lit(1.0)
+    for value, n in counts.items():
+        weight = F.when(F.col(target) == F.lit(value), total / (len(counts) * n)).otherwise(weight)
+    return train.withColumn("_weight", weight), "_weight"
+
+
+def _written(frames: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[dict]]:
+    """The rows as a table partitioned by the jobs' keys, and the keys."""
+    path = shared_folder(frames.sparkSession, "frames")
+    frames.repartition(*by, F.pmod(F.xxhash64("ts"), F.lit(16))).write.partitionBy(*by).parquet(path)
+    table = frames.sparkSession.read.schema(frames.schema).parquet(path)
+    return table, [r.asDict() for r in table.select(*by).distinct().orderBy(*by).collect()]
+
+
 def tree_folds(
     rows: DataFrame,
     folds: DataFrame,
@@ -61,29 +83,56 @@ def tree_folds(
     kind: str = "gbt",
     task: str = "regression",
     classes: int = 2,
+    **options,
+) -> DataFrame:
+    """As ``tree_frames``, from rows and folds."""
+    return tree_frames(fold_frames(rows, folds), features, target, kind, task, classes, **options)
+
+
+def tree_frames(
+    frames: DataFrame,
+    features: Sequence[str],
+    target: str = "y",
+    kind: str = "gbt",
+    task: str = "regression",
+    classes: int = 2,
     threads: int = 4,
-    pooled: bool = False,
+    per_asset: bool = False,
+    imbalance: float = 5.0,
     **params,
 ) -> DataFrame:
-    """Walk-forward predictions of one tree model per (asset, fold).
+    """Walk-forward predictions of one tree model per fold over all assets, on prepared frames (fold, role).
 
-    With ``pooled`` there is one model per fold number over all assets, for universes too
-    wide for a fit each.
+    Each asset's mean train target of the fold is a feature, so the model tells assets apart. Classes are weighted where
+    the largest train class is ``imbalance`` times the smallest or more.
     """
-    frames = fold_frames(rows, folds).select("asset", "fold", "role", "ts", target, *features).persist()
-    by = ["fold"] if pooled else ["asset", "fold"]
-    jobs = [r.asDict() for r in folds.select(*by).distinct().orderBy(*by).toLocalIterator()]
+    spark = frames.sparkSession
+    frames = frames.select("asset", "fold", "role", "ts", target, *features).na.drop(subset=[target, *features])
+    by, used = (["asset", "fold"] if per_asset else ["fold"]), list(features)
+    if not per_asset:
+        level = frames.filter(F.col("role") == "train").groupBy("asset", "fold").agg(F.avg(target).alias("_level"))
+        frames, used = join_stats(frames, level, ["asset", "fold"]), [*used, "_level"]
+    table, jobs = _written(frames, by)
+    out = shared_folder(spark, "predictions")
 
-    def one(chosen):
-        here = frames
+    def one(job):
+        number, chosen = job
+        here = table
         for c, v in chosen.items():
             here = here.filter(F.col(c) == v)
-        model = fit(here.filter(F.col("role") == "train"), features, target, kind, task, classes, **params)
-        scored = predict(model, here.filter(F.col("role") == "test"), features, target)
-        return scored.select("asset", F.lit(kind).alias("model"), "fold", "ts", "y_true", "y_pred", "y_prob")
+        train, weight = here.filter(F.col("role") == "train"), None
+        if task == "classification":
+            train, weight = balanced(train, target, imbalance)
+        model = fit(train, used, target, kind, task, classes, weight, **params)
+        scored = predict(model, here.filter(F.col("role") == "test"), used, target)
+        scored.select("asset", "fold", "ts", F.col("y_true").cast("double"), "y_pred", "y_prob").write.parquet(f"{out}/job={number}")
 
     with ThreadPool(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, jobs))
+        pool.map(one, list(enumerate(jobs)))
+    kinds = dict(frames.dtypes)
+    schema = f"asset string, fold {kinds['fold']}, ts {kinds['ts']}, y_true double, y_pred double, y_prob double, job int"
+    scored = spark.read.schema(schema).parquet(out) if jobs else spark.createDataFrame([], schema)
+    return scored.select("asset", F.lit(kind).alias("model"), "fold", "ts", "y_true", "y_pred", "y_prob")
 
 
 def grid_search(
@@ -97,23 +146,24 @@ def grid_search(
 ) -> DataFrame:
     """Cross-validated RMSE per parameter set over expanding time folds: mean, deviation, rank.
 
-    All assets are pooled; each fold takes its own position range of every asset.
+    All assets are pooled; each fold takes its own position range of every asset. A fit sends one row, its error.
     """
-    frames = fold_frames(rows, folds).select("asset", "fold", "role", "ts", target, *features).persist()
-    ids = [r["fold"] for r in folds.select("fold").distinct().orderBy("fold").toLocalIterator()]
+    spark = rows.sparkSession
+    frames = fold_frames(rows, folds).select("asset", "fold", "role", "ts", target, *features)
+    table, jobs = _written(frames, ["fold"])
     sets = [dict(zip(grid, values)) for values in product(*grid.values())]
 
     def one(job):
-        params, fold = job
-        here = frames.filter(F.col("fold") == fold)
+        params, chosen = job
+        here = table.filter(F.col("fold") == chosen["fold"])
         model = fit(here.filter(F.col("role") == "train"), features, target, kind, "regression", **params)
         scored = predict(model, here.filter(F.col("role") == "test"), features, target)
         label = ", ".join(f"{k}={v}" for k, v in params.items())
-        return scored.select(F.lit(label).alias("params"), "fold", "y_true", "y_pred")
+        return label, chosen["fold"], regression_metrics(scored, []).select("rmse").first()[0]
 
     with ThreadPool(threads) as pool:
-        scored = reduce(DataFrame.unionByName, pool.map(one, [(s, f) for s in sets for f in ids]))
-    per = regression_metrics(scored, ["params", "fold"])
+        errors = pool.map(one, [(s, f) for s in sets for f in jobs])
+    per = spark.createDataFrame(errors, "params string, fold long, rmse double")
     out = per.groupBy("params").agg(F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"), F.count(F.lit(1)).alias("folds"))
     best = out.agg(F.min_by("params", "rmse_mean").alias("p")).scalar()
     return out.withColumn("is_best", F.col("params") == best)

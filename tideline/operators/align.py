@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,6 @@ from tideline.functions.layout import DAILY, Series, forward_fill, over_series
 from tideline.functions.safe import ANNUAL, ratio, rolling, rolling_corr, safe_log
 from tideline.operators.cleaning import group_zscore
 
-CALENDAR = Series(keys=())
-
 
 def plain_name(symbol: str) -> str:
     """Symbol without the characters ``^ . -`` (and blanks, for column names)."""
@@ -38,36 +37,65 @@ def align_outer(rets: DataFrame, assets: Sequence[str], value: str = "ret") -> D
     return rets.groupBy("ts").agg(*cells)
 
 
+Pairs = Sequence[tuple[str, str]]
+
+
 def asset_pairs(assets: Sequence[str], leave_out: Sequence[str] = ()) -> list[tuple[str, str]]:
-    """Unordered pairs of the configured symbols, without the external index."""
+    """Unordered pairs of the named symbols without those left out; for universes small enough to want all of them."""
     return list(combinations([a for a in assets if a not in leave_out], 2))
 
 
-def pair_overlap(wide: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(asset_1, asset_2, days, common_days) per configured pair, in one aggregate."""
-    both = [
-        F.count_if(F.col(plain_name(a)).isNotNull() & F.col(plain_name(b)).isNotNull()).alias(f"_{i}")
-        for i, (a, b) in enumerate(pairs)
+def pairs_with(partner: str, assets: Sequence[str]) -> list[tuple[str, str]]:
+    """Each asset against one partner, such as the index: as many pairs as assets."""
+    return [(a, partner) for a in assets if a != partner]
+
+
+def _pair_table(rets: DataFrame, pairs: Pairs) -> DataFrame:
+    return rets.sparkSession.createDataFrame(list(pairs), "asset_1 string, asset_2 string")
+
+
+def _sides(rets: DataFrame, pairs: Pairs, value: str) -> DataFrame:
+    """(asset_1, asset_2, ts, x, y): one row per pair and date on which either has a bar.
+
+    Each side is an equality join on the asset with the pairs it takes part in; the two sides meet in an aggregate on
+    (pair, date), so rows are spread over dates and no series is gathered.
+    """
+    table = _pair_table(rets, pairs)
+    sides = [
+        rets.join(table, F.col("asset") == F.col(f"asset_{k}")).select("asset_1", "asset_2", "ts", *[(F.col(value) if k == i else F.lit(None).cast("double")).alias(n) for i, n in ((1, "x"), (2, "y"))])
+        for k in (1, 2)
     ]
-    counts = wide.agg(F.count(F.lit(1)).alias("days"), *both)
-    rows = F.array(
-        *[F.struct(F.lit(a).alias("asset_1"), F.lit(b).alias("asset_2"), F.col(f"_{i}").alias("common_days")) for i, (a, b) in enumerate(pairs)]
-    )
-    return counts.select("days", F.explode(rows).alias("p")).select("p.asset_1", "p.asset_2", "days", "p.common_days")
+    return sides[0].unionByName(sides[1]).groupBy("asset_1", "asset_2", "ts").agg(F.max("x").alias("x"), F.max("y").alias("y"))
+
+
+def pair_overlap(rets: DataFrame, pairs: Pairs, value: str = "ret") -> DataFrame:
+    """(asset_1, asset_2, days, common_days): dates of the whole table, and dates on which both have a value."""
+    days = rets.select("ts").distinct().agg(F.count(F.lit(1)).alias("days")).scalar()
+    both = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return _sides(rets, pairs, value).groupBy("asset_1", "asset_2").agg(both.alias("common_days")).select("asset_1", "asset_2", days.alias("days"), "common_days")
 
 
-def pair_correlations(wide: DataFrame, pairs: Sequence[tuple[str, str]], window: int = 30) -> DataFrame:
-    """Rolling correlation of each pair on the union calendar, one column per pair.
+def pair_correlations(rets: DataFrame, pairs: Pairs, window: int = 30, value: str = "ret", series: Series = DAILY) -> DataFrame:
+    """Long (asset_1, asset_2, ts, corr): rolling correlation of each pair over the last ``window`` dates of the table.
 
-    Pairs are columns over one row per date: no pair of rows is ever formed, and the number
-    of columns is set by the configured universe, not by the data.
+    Pairs are rows and partition the windows together with the chunks of the calendar.
     """
-    names = {f"{plain_name(a)}_{plain_name(b)}_corr": (plain_name(a), plain_name(b)) for a, b in pairs}
+    listed = F.array(*[F.struct(F.lit(a).alias("asset_1"), F.lit(b).alias("asset_2")) for a, b in pairs])
+    dates = rets.select("ts").distinct().select("ts", F.explode(listed).alias("_p")).select("_p.asset_1", "_p.asset_2", "ts")
+    rows = dates.join(_sides(rets, pairs, value), ["asset_1", "asset_2", "ts"], "left")
+    keyed = replace(series, keys=("asset_1", "asset_2"))
+    out = over_series(rows, lambda d, w: d.withColumn("corr", rolling_corr("x", "y", w, window)), keyed, window - 1)
+    return out.select("asset_1", "asset_2", "ts", "corr")
+
+
+def corr_name(a: str, b: str) -> str:
+    return f"{plain_name(a)}_{plain_name(b)}_corr"
 
-    def build(rows, w):
-        return rows.withColumns({n: rolling_corr(a, b, w, window) for n, (a, b) in names.items()})
 
-    return over_series(wide, build, CALENDAR, window).select("ts", *names)
+def pair_columns(correlations: DataFrame, pairs: Pairs) -> DataFrame:
+    """One row per date and a column per named pair, for features that a caller wants side by side."""
+    cells = [F.max(F.when((F.col("asset_1") == a) & (F.col("asset_2") == b), F.col("corr"))).alias(corr_name(a, b)) for a, b in pairs]
+    return correlations.groupBy("ts").agg(*cells)
 
 
 def join_by_date(features: DataFrame, other: DataFrame) -> DataFrame:

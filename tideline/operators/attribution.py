@@ -155,7 +155,8 @@ def evaluation_sample(rows: DataFrame, n: int = 20, keys: Sequence[str] = ("asse
 
     Rank limits are applied per partition before the shuffle.
     """
-    w = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *keys, time), time)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *keys, F.date_format(time, "yyyy-MM-dd HH:mm:ss")).cast("binary"))
+    w = Window.partitionBy(*keys).orderBy(digest, time)
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 

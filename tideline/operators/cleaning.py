@@ -63,7 +63,7 @@ def impute_for_training(
 
 
 def validate_bars(bars: DataFrame, least: int = 100, share: float = 0.05) -> DataFrame:
-    """Per asset: rows, close outliers beyond 1.5 IQR, validity flag and list of issues."""
+    """Per asset: rows, close outliers beyond 1.5 IQR, validity flag and issue codes (``few:n``, ``wild:n``)."""
     edges = exact_quantiles(bars, ["asset"], "close", {"_q1": 0.25, "_q3": 0.75}).drop("n")
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("close") < F.col("_q1") - 1.5 * iqr) | (F.col("close") > F.col("_q3") + 1.5 * iqr)
@@ -72,10 +72,10 @@ def validate_bars(bars: DataFrame, least: int = 100, share: float = 0.05) -> Dat
         .groupBy("asset")
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(out).alias("outliers"))
     )
-    few = F.when(F.col("rows") < least, F.format_string("Insufficient data points: %d", "rows"))
-    wild = F.when(F.col("outliers") > F.col("rows") * share, F.format_string("Too many outliers: %d", "outliers"))
+    few = F.when(F.col("rows") < least, F.format_string("few:%d", "rows"))
+    wild = F.when(F.col("outliers") > F.col("rows") * share, F.format_string("wild:%d", "outliers"))
     issues = F.filter(F.array(few, wild), lambda x: x.isNotNull())
-    return stats.withColumn("issues", F.array_join(issues, "; ")).withColumn("is_valid", F.col("issues") == "")
+    return stats.withColumn("issues", F.array_join(issues, " ")).withColumn("is_valid", F.col("issues") == "")
 
 
 def quality_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:

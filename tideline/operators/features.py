@@ -7,6 +7,7 @@ modules is one shuffle and one sort. Names starting with ``_`` are helpers and d
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -96,31 +97,42 @@ _BLOCK = 128
 def ewm_stages(c: Context, x: str, span: int, first_row: int, out: str) -> Stages:
     """Exponential mean, adjust=False, as sums over blocks of 128 positions.
 
-    Inside a block the mean is d^j times a running sum of x d^-j; the state entering a block
-    is built from the ends of the blocks before it until their weight is below 1e-16.
-    ``first_row`` is the position of the first value, which gets weight one.
+    A value g rows after the one before it keeps d^g / (alpha + d^g) of the old mean, so a row without a value carries
+    the mean and older values still lose weight. Inside a block the mean is a running sum of values over their running
+    product of kept shares; the state entering a block is built from the ends of the blocks before it until their
+    weight is below 1e-16. A run without values that is longer than the look-back has no mean at its end. Values before position ``first_row`` are left out, and the first value has weight one.
     """
     alpha = 2.0 / (span + 1.0)
     d = 1.0 - alpha
+    value = F.when(F.col("_rn") >= first_row, F.col(x))
+    if d == 0.0:
+        return [{out: F.last(value, ignorenulls=True).over(so_far(c.w))}]
     back = 1
     while d ** (_BLOCK * back) > 1e-16:
         back += 1
-    j = F.col("_rn") % _BLOCK
     blk = F.floor(F.col("_rn") / _BLOCK)
-    weight = F.when(F.col("_rn") == first_row, F.lit(1.0)).otherwise(F.lit(alpha))
-    in_block = so_far(
-        Window.partitionBy(*c.series.keys, "_chunk", blk).orderBy(c.series.time)
-    )
-    part, whole, carry = f"_s_{out}", f"_f_{out}", f"_c_{out}"
-    ends = F.col(part)
+    in_block = so_far(Window.partitionBy(*c.series.keys, "_chunk", blk).orderBy(c.series.time))
+    at_end = F.col("_rn") % _BLOCK == _BLOCK - 1
+    here = F.when(value.isNotNull(), F.col("_rn"))
+    gap, share, near, far = f"_g_{out}", f"_k_{out}", f"_b_{out}", f"_a_{out}"
+    part, whole, carry, mark = f"_s_{out}", f"_f_{out}", f"_c_{out}", f"_m_{out}"
+    old = F.pow(F.lit(d), F.col(gap))
+    ends = F.coalesce(F.col(part), F.lit(0.0))
     for i in range(1, back + 1):
-        ends = ends + F.coalesce(F.lag(part, _BLOCK * i).over(c.w), F.lit(0.0)) * (d ** (_BLOCK * i))
+        ends = ends + F.coalesce(F.lag(part, _BLOCK * i).over(c.w) * F.exp(F.col(far) - F.lag(far, _BLOCK * i).over(c.w)), F.lit(0.0))
+    recent = c.w.rowsBetween(-_BLOCK, -1)
+    state = F.coalesce(F.col(part), F.lit(0.0)) + F.coalesce(F.col(carry) * F.exp(F.col(far) - F.col(mark)), F.lit(0.0))
     return [
-        {part: F.pow(F.lit(d), j) * F.sum(F.col(x) * weight * F.pow(F.lit(d), -j)).over(in_block)},
-        {whole: F.when(j == _BLOCK - 1, ends)},
-        {carry: F.last(whole, ignorenulls=True).over(c.w.rowsBetween(-_BLOCK, -1))},
-        {out: F.coalesce(F.col(part), F.lit(0.0)) + F.coalesce(F.col(carry), F.lit(0.0)) * F.pow(F.lit(d), j + 1)},
-        {out: F.when(F.col("_rn") >= first_row, F.col(out))},
+        {gap: F.col("_rn") - F.last(here, ignorenulls=True).over(c.w.rowsBetween(Window.unboundedPreceding, -1))},
+        # logarithm of the kept share; rows without a value keep all
+        # (below e^-300 none is kept)
+        {share: F.when(value.isNotNull() & F.col(gap).isNotNull(), F.greatest(F.col(gap) * math.log(d) - F.log(alpha + old), F.lit(-300.0))).otherwise(F.lit(0.0))},
+        {near: F.sum(share).over(in_block), far: F.sum(share).over(so_far(c.w))},
+        {part: F.exp(F.col(near)) * F.sum(value * F.coalesce(alpha / (alpha + old), F.lit(1.0)) * F.exp(-F.col(near))).over(in_block)},
+        {whole: F.when(at_end, ends), mark: F.when(at_end, F.col(far))},
+        {carry: F.last(whole, ignorenulls=True).over(recent), mark: F.last(mark, ignorenulls=True).over(recent)},
+        {out: F.when(value.isNotNull(), state)},
+        {out: F.last(out, ignorenulls=True).over(so_far(c.w))},
     ]
 
 

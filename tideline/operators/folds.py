@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.config import SplitSettings
 from tideline.functions.safe import finite
+from tideline.functions.skew import join_stats
 from tideline.operators.align import range_join
 
 RANGES = ("train_lo", "train_hi", "test_lo", "test_hi")
@@ -46,25 +47,58 @@ def _div(a: Column, b) -> Column:
     return F.floor(a / b)
 
 
+def walk_forward_splits(sizes: DataFrame, cfg: SplitSettings | None = None) -> DataFrame:
+    """Splits by the strategy of the settings."""
+    cfg = cfg or SplitSettings()
+    strategies = {"fixed": fixed_splits, "adaptive": adaptive_splits}
+    if cfg.strategy not in strategies:
+        raise ValueError(f"unknown strategy {cfg.strategy!r}; available: {sorted(strategies)}")
+    return strategies[cfg.strategy](sizes, cfg)
+
+
+def fixed_splits(sizes: DataFrame, cfg: SplitSettings) -> DataFrame:
+    """Test blocks of ``test_size`` rows that end with the series, as many as leave ``min_train`` rows for the first."""
+    keys = [c for c in sizes.columns if c != "n"]
+    n, gap, test = F.col("n"), max(0, cfg.gap), cfg.test_size
+    count = F.least(F.lit(cfg.n_splits), F.greatest(F.lit(0), _div(n - gap - cfg.min_train, test)))
+    rows = _numbered(sizes.withColumn("_s", count), F.col("_s"), "fold")
+    test_lo = n - (F.col("_s") - F.col("fold")) * test
+    first = n - F.col("_s") * test - gap
+    train_hi = test_lo - gap
+    train_lo = F.lit(0) if cfg.expanding else train_hi - first
+    if cfg.max_train:
+        train_lo = F.greatest(train_lo, train_hi - cfg.max_train)
+    out = rows.withColumns({"train_lo": train_lo.cast("bigint"), "train_hi": train_hi.cast("bigint"), "test_lo": test_lo.cast("bigint"), "test_hi": (test_lo + test).cast("bigint")})
+    return valid_splits(out, cfg.min_train, cfg.min_test).select(*keys, "fold", *RANGES)
+
+
+def unsplit(sizes: DataFrame, folds: DataFrame) -> DataFrame:
+    """Series without any fold, with their length: what an evaluation leaves out."""
+    keys = [c for c in sizes.columns if c != "n"]
+    return sizes.join(folds.select(*keys).distinct(), keys, "left_anti")
+
+
 def adaptive_splits(sizes: DataFrame, cfg: SplitSettings | None = None) -> DataFrame:
     """Walk-forward splits whose test size, count and first train size follow the length.
 
     With a single split the train size is worked out after the test block has grown, and
-    the minimum train size never exceeds the train cap; otherwise short or long series
+    the minimum train size never exceeds a train cap; otherwise short or long series
     would lose all their folds.
     """
-    cfg = cfg or SplitSettings()
+    cfg = cfg or SplitSettings(strategy="adaptive")
     keys = [c for c in sizes.columns if c != "n"]
     n, gap = F.col("n"), max(0, cfg.gap)
     wanted = max(cfg.min_test, cfg.test_size)
-    by_share = F.greatest(F.lit(cfg.min_test), F.least(F.lit(504), F.greatest(F.lit(1), _div(n, 10))))
+    by_share = F.greatest(F.lit(cfg.min_test), F.least(F.lit(cfg.most_test), F.greatest(F.lit(1), _div(n, cfg.test_share))))
     block = F.least(F.lit(wanted), by_share)
-    by_length = F.when(n >= 5000, 12).when(n >= 2000, 8).when(n >= 1000, 5).when(n >= 500, 3).otherwise(1)
-    feasible = F.greatest(F.lit(1), _div(n - max(cfg.min_train, 10), F.greatest(F.lit(1), F.col("_block"))))
+    by_length = F.lit(cfg.short_splits)
+    for least, count in sorted(cfg.length_steps):
+        by_length = F.when(n >= least, count).otherwise(by_length)
+    feasible = F.greatest(F.lit(1), _div(n - max(cfg.min_train, cfg.reserve), F.greatest(F.lit(1), F.col("_block"))))
     splits = F.least(F.lit(max(1, cfg.n_splits)), by_length, feasible)
-    single = F.greatest(F.lit(cfg.min_test), F.least(F.lit(wanted), F.greatest(F.lit(1), _div(n, 5))))
+    single = F.greatest(F.lit(cfg.min_test), F.least(F.lit(wanted), F.greatest(F.lit(1), _div(n, cfg.single_share))))
     first = F.when(F.col("_s") == 1, F.greatest(F.lit(cfg.min_train), n - F.col("_test") - gap)).otherwise(
-        F.greatest(F.lit(cfg.min_train), F.least(F.lit(756), F.greatest(F.lit(126), _div(n, 8))))
+        F.greatest(F.lit(cfg.min_train), F.least(F.lit(cfg.first_most), F.greatest(F.lit(cfg.first_least), _div(n, cfg.first_share))))
     )
     base = (
         sizes.withColumn("_block", block)
@@ -130,6 +164,28 @@ def fold_index(frames: DataFrame, keys: Sequence[str] = ("asset",), time: str =
     return frames.groupBy(*keys, "fold").agg(*cols)
 
 
+def impute_frames(frames: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset",), accuracy: int = 10000) -> DataFrame:
+    """Missing and infinite cells become the median of their fold's train rows, else 0.
+
+    Medians are mergeable sketches (off by at most a rank share of 1 / accuracy), so a fold of any size is an aggregate.
+    """
+    train = F.col("role") == "train"
+    meds = frames.groupBy(*keys, "fold").agg(*[F.percentile_approx(F.when(train, finite(c)), 0.5, accuracy).alias(f"_med_{c}") for c in cols])
+    fixed = {c: F.coalesce(finite(c), F.col(f"_med_{c}"), F.lit(0.0)) for c in cols}
+    return join_stats(frames, meds, [*keys, "fold"]).withColumns(fixed).select(*frames.columns)
+
+
+def select_frames(frames: DataFrame, dropped: DataFrame, cols: Sequence[str], keys: Sequence[str] = ("asset",)) -> DataFrame:
+    """Features dropped for a fold are held constant in it, so no model can use them there.
+
+    ``dropped``: (keys, fold, feature).
+    """
+    lists = dropped.groupBy(*keys, "fold").agg(F.collect_set("feature").alias("_gone"))  # at most the configured features
+    out = join_stats(frames, lists, [*keys, "fold"], "left")
+    gone = lambda c: F.coalesce(F.array_contains("_gone", c), F.lit(False))
+    return out.withColumns({c: F.when(gone(c), F.lit(0.0)).otherwise(F.col(c)) for c in cols}).select(*frames.columns)
+
+
 def finite_targets(frames: DataFrame, target: str = "y") -> DataFrame:
     return frames.filter(finite(target).isNotNull())
 

@@ -27,14 +27,14 @@ def quantile_labels(
     return join_stats(df, edges, keys, "left").withColumn(out, cut_three(value, "_q33", "_q67")).drop("_q33", "_q67")
 
 
-def quartile_labels(df: DataFrame, value: str, keys: Sequence[str] = ("asset",), out: str = "quartile") -> DataFrame:
-    """Q1..Q4 by quartile edges; groups of under four values split at their mean."""
+def quartile_labels(df: DataFrame, value: str, keys: Sequence[str] = ("asset",), out: str = "quartile", least: int = 4) -> DataFrame:
+    """Q1..Q4 by quartile edges; groups of under ``least`` values, which have no quartiles, split at their mean."""
     edges = exact_quantiles(df, keys, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}).withColumnRenamed("n", "_k")
     means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     c = F.col(value)
     by_edge = F.when(c <= F.col("_q1"), "Q1").when(c <= F.col("_q2"), "Q2").when(c <= F.col("_q3"), "Q3").otherwise("Q4")
     by_mean = F.when(c <= F.col("_mean"), "Q1").otherwise("Q4")
-    label = F.when(c.isNotNull(), F.when(F.col("_k") < 4, by_mean).otherwise(by_edge))
+    label = F.when(c.isNotNull(), F.when(F.col("_k") < least, by_mean).otherwise(by_edge))
     small = edges.join(means, list(keys))
     return join_stats(df, small, keys, "left").withColumn(out, label).drop("_q1", "_q2", "_q3", "_k", "_mean")
 
@@ -88,6 +88,12 @@ def align_targets(df: DataFrame, targets: Sequence[str], keys: Sequence[str] = (
     return join_stats(rows, enough.select(*keys), keys, "left_semi")
 
 
+def left_out(before: DataFrame, after: DataFrame, reason: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
+    """(keys, rows, reason) of the series that a step removed whole."""
+    gone = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).join(after.select(*keys).distinct(), list(keys), "left_anti")
+    return gone.withColumn("reason", F.lit(reason))
+
+
 def drop_degenerate(df: DataFrame, target: str, label: str, keys: Sequence[str] = ("asset",)) -> DataFrame:
     """Series whose target has no variance or whose label has a single class are left out."""
     stats = df.groupBy(*keys).agg(F.stddev_samp(target).alias("_sd"), F.min(label).alias("_lo"), F.max(label).alias("_hi"))

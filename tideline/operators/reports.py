@@ -14,6 +14,7 @@ def market_of(asset: str | Column, us_assets: Sequence[str]) -> Column:
     return F.when(col(asset).isin(*us_assets), "US").otherwise("AU")
 
 
+# Metric names, and those of which more is better.
 MAXIMISE = ("r2", "accuracy", "f1", "precision", "recall")
 METRICS = ("mse", "rmse", "mae", "r2", "accuracy", "f1", "precision", "recall")
 
@@ -81,17 +82,21 @@ def performance_summary(results: DataFrame) -> DataFrame:
     ).select("task", "metric", F.col("_b.model").alias("best_model"), F.col("_b.asset").alias("best_asset"), F.col("_b.value").alias("best_value"), "mean", "std", "assets", "models")
 
 
+#: Digits of the texts: six for errors, four for scores and shares, two for seconds.
+DIGITS = {"mse": 6, "rmse": 6, "mae": 6, "mape": 6, "baseline_mse": 6, "r2": 4, "accuracy": 4, "f1": 4, "precision": 4, "recall": 4, "fit_time_s": 2, "pred_time_s": 2}
+_SCORES = ("accuracy", "f1", "precision", "recall")
+
+
 def comparison_table(results: DataFrame) -> DataFrame:
-    """Formatted "mean ± deviation" texts per asset, model and task."""
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    text = lambda c, digits: F.format_string(f"%.{digits}f ± %.{digits}f", zero(c), zero(f"{c}_std"))
+    """"mean ± deviation" texts per asset, model and task; times where the table has them."""
+    have = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in results.columns else F.lit(0.0)
+    text = lambda c: F.format_string(f"%.{DIGITS[c]}f ± %.{DIGITS[c]}f", have(c), have(f"{c}_std"))
     clf = F.col("task") == "classification"
-    cols = {}
-    for c, digits in (("mse", 4), ("rmse", 4), ("mae", 4), ("r2", 4)):
-        cols[c] = F.when(~clf, text(c, digits))
-    for c in ("accuracy", "f1", "precision", "recall"):
-        cols[c] = F.when(clf, text(c, 4))
-    return results.select("asset", "model", "task", *[v.alias(f"{k}_text") for k, v in cols.items()])
+    cols = []
+    for c in DIGITS:
+        if c in results.columns:
+            cols.append((text(c) if c.endswith("_s") else F.when(clf if c in _SCORES else ~clf, text(c))).alias(f"{c}_text"))
+    return results.select("asset", "model", "task", *cols)
 
 
 def best_rows(results: DataFrame) -> DataFrame:
@@ -109,13 +114,9 @@ def best_rows(results: DataFrame) -> DataFrame:
 
 
 def key_findings(summary: DataFrame) -> DataFrame:
-    """One sentence per task from the performance summary."""
-    label = F.when(F.col("task") == "classification", "Accuracy").otherwise("R²")
-    main = ((F.col("task") == "classification") & (F.col("metric") == "accuracy")) | (
-        (F.col("task") != "classification") & (F.col("metric") == "r2")
-    )
-    text = F.format_string("Best %s model: %s on %s (%s: %.4f)", "task", "best_model", "best_asset", label, "best_value")
-    return summary.filter(main).select("task", text.alias("finding"))
+    """The best model of each task by its main metric: task, model, asset, metric, value."""
+    main = F.when(F.col("task") == "classification", "accuracy").otherwise("r2")
+    return summary.filter(F.col("metric") == main).select("task", F.col("best_model").alias("model"), F.col("best_asset").alias("asset"), "metric", F.col("best_value").alias("value"))
 
 
 def export_summary(results: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.gram import group_moments
 from tideline.functions.ranks import exact_quantiles
 from tideline.functions.safe import corr, finite, is_inf
 from tideline.functions.skew import join_stats
@@ -37,11 +38,13 @@ def target_correlations(
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Long (keys, feature_1, feature_2, corr) over the pairs of the named columns."""
-    pairs = list(combinations(cols, 2))
-    aggs = [corr(a, b).alias(f"_r{i}") for i, (a, b) in enumerate(pairs)]
-    cells = [F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.col(f"_r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-    wide = (df.groupBy(*keys) if keys else df.groupBy()).agg(*aggs)
-    return wide.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
+    k = len(cols)
+    table = group_moments(df, cols, keys)
+    cell = lambda name, i, j: F.get(name, i * k + j)
+    # the squares of two columns over their common rows
+    value = lambda i, j: F.when(cell("counts", i, j) > 1, F.try_divide(cell("comoment", i, j), F.sqrt(cell("square", i, j)) * F.sqrt(cell("square", j, i))))
+    cells = [F.struct(F.lit(cols[i]).alias("feature_1"), F.lit(cols[j]).alias("feature_2"), value(i, j).alias("corr")) for i, j in combinations(range(k), 2)]
+    return table.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.*")
 
 
 def high_pairs(matrix: DataFrame, limit: float = 0.95) -> DataFrame:
@@ -74,9 +77,12 @@ def select_by_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.
     return variances(df, cols, keys).filter(F.col("variance") >= threshold)
 
 
-def kept_features(table: DataFrame, limit: float = 0.8, keep: bool = False, keys: Sequence[str] = ("asset",)) -> DataFrame:
-    """Features left after dropping those beyond ``limit``; up to six dropped ones come back
-    (in table order) where fewer than 35 would remain. Nothing is dropped with ``keep``."""
+def kept_features(table: DataFrame, limit: float = 0.8, keep: bool = False, keys: Sequence[str] = ("asset",), least: int = 0, restore: int = 0) -> DataFrame:
+    """Features with whether they are dropped, which are those beyond ``limit`` (none with ``keep``).
+
+    ``least`` and ``restore``: where fewer than ``least`` features would remain, up to ``restore`` of the dropped ones
+    come back, in order of their names. By default none do.
+    """
     if keep:
         return table.withColumn("dropped", F.lit(False))
     high = table.withColumn("_high", F.coalesce(F.col("abs_corr") > limit, F.lit(False)))
@@ -84,7 +90,7 @@ def kept_features(table: DataFrame, limit: float = 0.8, keep: bool = False, keys
     w = Window.partitionBy(*keys)
     left = F.count_if(~F.col("_high")).over(w)
     order = F.row_number().over(w.orderBy(F.col("_high").desc(), "feature"))
-    back = F.col("_high") & (left < 35) & (order <= 6)
+    back = F.col("_high") & (left < least) & (order <= restore)
     return high.withColumn("dropped", F.col("_high") & ~back).drop("_high")
 
 

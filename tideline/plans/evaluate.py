@@ -16,6 +16,7 @@ from tideline.models.trees import tree_folds
 from tideline.operators.features import log_volatility, sequences
 from tideline.operators.folds import drop_bad_folds, fold_frames, lengths, scale_sequences, sliding_splits
 from tideline.operators.metrics import leaderboard, naive_predictions, rank_ic, regression_metrics
+from tideline.session import materialise
 
 PREDICTIONS = ("asset", "model", "fold", "ts", "y_true", "y_pred")
 Job = Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]
@@ -49,22 +50,39 @@ def job(name: str) -> Job:
     return JOBS[key]
 
 
+#: Models that leave out rows which lack a feature.
+ON_FEATURES = ("linear", "arx", "gbt", "forest")
+
+
+def expected_sizes(rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """(asset, fold, model, test_size): test rows that a model has to predict."""
+    test = fold_frames(rows.filter(F.col("y").isNotNull()), folds).filter(F.col("role") == "test")
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    sizes = test.groupBy("asset", "fold").agg(F.count(F.lit(1)).alias("_all"), F.count_if(whole).alias("_whole"))
+    cells = [F.struct(F.lit(m).alias("model"), F.col("_whole" if job(m) in [JOBS[k] for k in ON_FEATURES] else "_all").alias("test_size")) for m in models]
+    return sizes.select("asset", "fold", F.explode(F.array(*cells)).alias("_c")).select("asset", "fold", "_c.*")
+
+
 def fit_predict_folds(
     rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str], log_epsilon: float | None = None
 ) -> DataFrame:
-    """Predictions of every model on every fold; folds with unusable predictions are dropped.
+    """Predictions of every model on every fold; folds with unusable predictions, or too few, are dropped.
 
     ``log_epsilon``: set where the target is a logged volatility. The volatility model works
-    on returns and not on the target, so its forecast is logged the same way.
+    on returns and not on the target, so its forecast is logged the same way. Predictions are
+    written before they are tested, so no model is fitted twice.
     """
     parts = []
     for name in models:
         run = job(name)
-        preds = run(rows, folds, features).select(*PREDICTIONS)
+        preds = run(rows, folds, features).select(*PREDICTIONS).withColumn("model", F.lit(name))
         if log_epsilon is not None and run is JOBS.get("garch"):
             preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
         parts.append(preds)
-    return drop_bad_folds(reduce(DataFrame.unionByName, parts))
+    written = materialise(reduce(DataFrame.unionByName, parts), "predictions")
+    return drop_bad_folds(written, expected=expected_sizes(rows, folds, features, models))
 
 
 def uniform_eval(

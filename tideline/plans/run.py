@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Settings
-from tideline.functions.layout import DAILY, Series, with_position
+from tideline.functions.layout import DAILY, Series, forward_fill, with_position
+from tideline.functions.safe import finite
+from tideline.models.linear import linear_contribution_frames, linear_frames
+from tideline.models.trees import tree_frames
 from tideline.operators import align, cleaning, labels, selection
-from tideline.operators.features import DEFAULT_MODULES, features
-from tideline.operators.folds import adaptive_splits, fold_frames, fold_index, lengths
-from tideline.operators.metrics import fold_summary, leaderboard, naive_predictions, rank_ic, regression_metrics
+from tideline.operators.attribution import importance
+from tideline.operators.ensemble import majority_vote, weighted_mean
+from tideline.operators.features import DEFAULT_MODULES, features, log_volatility
+from tideline.operators.folds import drop_bad_folds, fold_frames, fold_index, impute_frames, lengths, scale_folds, select_frames, unsplit, walk_forward_splits
+from tideline.operators.metrics import classification_metrics, fold_summary, last_train_value, leaderboard, rank_ic, regime_metrics, regression_metrics
 from tideline.operators.reports import comparison_table, performance_summary
-from tideline.plans.evaluate import fit_predict_folds
+from tideline.plans.evaluate import job
+from tideline.plans.transfer import transfer_matrix
 from tideline.session import materialise
+from tideline.sources.bars import preprocess
 from tideline.sources.store import ResultStore
 
-SUMMARY = ("mse", "rmse", "mae", "mape", "smape", "r2")
+ERRORS = ("mse", "rmse", "mae", "mape", "smape", "r2")
+SCORES = ("accuracy", "f1", "precision", "recall")
+KEYS = ("asset", "model", "task")
+#: Not features: keys, targets and what targets are made of.
+FIXED = ("asset", "ts", "vol5", "next_close", "next_return", "target_vol5", "target_vol5_log", "regime", "regime_code", "regime_threshold", "regime_strict", "regime_by_vol", "ret")
 
 
 def feature_table(
@@ -28,23 +41,26 @@ def feature_table(
     proxy_asset: str | None = None,
     in_proxy_market: Column | None = None,
     series: Series = DAILY,
-) -> tuple[DataFrame, list[str]]:
-    """Cleaned features of every asset with targets and regime code, and the feature names.
+    pairs: align.Pairs = (),
+    modules: Sequence[str] | None = None,
+    least: int = 100,
+) -> tuple[DataFrame, list[str], DataFrame]:
+    """Features of every asset with target, regime and its code; the feature names; and the series left out, with reasons.
 
-    The external index asset takes part as a joined column and not as a pair partner.
+    Missing features are carried forward only: nothing is filled from rows that come later. ``pairs``: which correlations
+    become columns, such as ``align.pairs_with(index, assets)``. The external index asset takes part as a joined column.
+    ``least``: rows with a target that a series needs.
     """
     cfg = settings.features
-    modules = ("lagged",) if cfg.only_price_lags else DEFAULT_MODULES
+    modules = modules or (("lagged",) if cfg.only_price_lags else DEFAULT_MODULES)
     base = features(bars, [*modules, "targets", "regimes"], cfg, series, extra=["ret"])
-    fixed = ("asset", "ts", "vol5", "next_close", "next_return", "target_vol5", "target_vol5_log", "regime", "regime_code", "regime_threshold", "regime_strict", "regime_by_vol", "ret")
-    names = [c for c in base.columns if c not in fixed]
+    names = [c for c in base.columns if c not in FIXED]
     target = "target_vol5_log" if cfg.use_log_target else "target_vol5"
     out = materialise(base.select("asset", "ts", *names, F.col(target).alias("y"), "ret", "regime_code", "regime"), "base")
-    partners = [a for a in settings.assets if a != index_asset]
-    if len(partners) > 1:
-        pairs = align.asset_pairs(partners)
+    if pairs:
+        partners = sorted({a for pair in pairs for a in pair})
         rets = align.returns(bars.filter(F.col("asset").isin(*partners)), series)
-        corr = align.pair_correlations(align.align_outer(rets, partners), pairs, cfg.correlation_window)
+        corr = align.pair_columns(align.pair_correlations(rets, pairs, cfg.correlation_window, series=series), pairs)
         out = align.join_by_date(out, corr)
         names += [c for c in corr.columns if c != "ts"]
     if index_asset is not None:
@@ -55,21 +71,71 @@ def feature_table(
         proxy = align.join_proxy(out.select("asset", "ts"), bars.filter(F.col("asset") == proxy_asset), in_proxy_market, series)
         out = out.join(proxy, ["asset", "ts"], "left")
         names += ["proxy_vol", "proxy_vol_change"]
-    out = materialise(out.withColumns({c: F.col(c).cast("double") for c in names}), "joined")
-    out = materialise(cleaning.infinite_to_median(out, names), "finite")
-    out = materialise(cleaning.fill_missing(out, names, series), "filled")
-    out = out.withColumn("y", labels.clip_target("y"))
-    out = labels.drop_degenerate(labels.align_targets(out, ["y", "regime_code"]), "y", "regime_code")
-    return out, names
+    out = materialise(out.withColumns({c: finite(F.col(c).cast("double")) for c in names}), "joined")
+    out = forward_fill(out, names, series).withColumn("y", labels.clip_target("y"))
+    long = labels.align_targets(out, ["y", "regime_code"], least=least)
+    varied = labels.drop_degenerate(long, "y", "regime_code")
+    gone = labels.left_out(out, long, f"under {least} rows with a target").unionByName(labels.left_out(long, varied, "target or regime without variation"))
+    return varied, names, gone
 
 
-def chosen_features(table: DataFrame, names: Sequence[str], limit: float, keep: bool) -> list[str]:
-    """Features not dropped for any asset; the table read holds one row per (asset, feature)."""
-    corr = selection.target_correlations(table, names, ["y"])
-    kept = selection.kept_features(corr, limit, keep)
-    bad = kept.groupBy("feature").agg(F.bool_or("dropped").alias("bad")).filter("bad")
-    dropped = {r["feature"] for r in bad.toLocalIterator()}
-    return [n for n in names if n not in dropped]
+def prepared_frames(table: DataFrame, folds: DataFrame, names: Sequence[str], limit: float = 0.8, keep: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Frames whose features are imputed, selected and scaled by the train rows of their fold, and the table of dropped
+    features (asset, fold, feature). Nothing in it depends on test rows."""
+    frames = materialise(impute_frames(fold_frames(table, folds), names), "frames")
+    train = frames.filter(F.col("role") == "train")
+    on = ("asset", "fold")
+    corr = selection.target_correlations(train, names, ["y"], on)
+    dropped = selection.kept_features(corr, limit, keep, on).filter("dropped").select(*on, "feature")
+    dropped = materialise(dropped, "dropped")
+    return scale_folds(select_frames(frames, dropped, names), names), dropped
+
+
+#: Models that use features take prepared frames: (frames, features, target, classes) -> predictions. With classes they classify.
+FRAME_JOBS: dict[str, Callable[[DataFrame, Sequence[str], str, int], DataFrame]] = {
+    "linear": lambda frames, names, target, classes: linear_frames(frames, names, target),
+    "gbt": lambda frames, names, target, classes: tree_frames(frames, names, target, "gbt", "classification" if classes else "regression", classes),
+    "forest": lambda frames, names, target, classes: tree_frames(frames, names, target, "forest", "classification" if classes else "regression", classes),
+}
+
+
+def _last_class(frames: DataFrame) -> DataFrame:
+    last = last_train_value(frames, "regime_code")
+    test = frames.filter(F.col("role") == "test").join(last, ["asset", "fold"])
+    return test.select("asset", "fold", "ts", F.col("regime_code").cast("double").alias("y_true"), F.col("last_value").cast("double").alias("y_pred"))
+
+
+def predictions(
+    table: DataFrame, folds: DataFrame, frames: DataFrame, names: Sequence[str], models: Sequence[str], classifiers: Sequence[str], log_epsilon: float | None
+) -> tuple[DataFrame, DataFrame]:
+    """(asset, model, task, fold, ts, y_true, y_pred) of every model, and (model, task, seconds).
+
+    Each model's predictions are written when it has run, so none is fitted twice. Seconds are those of fitting and
+    predicting all folds, as Spark does the two together.
+    """
+    spark, parts, times = table.sparkSession, [], []
+    columns = ("asset", "model", "task", "fold", "ts", "y_true", "y_pred")
+    for task, chosen in (("regression", models), ("classification", classifiers)):
+        for name in chosen:
+            started = time.perf_counter()
+            if task == "classification":
+                preds = _last_class(frames) if name == "last" else FRAME_JOBS[name](frames, names, "regime_code", 3)
+            elif name in FRAME_JOBS:
+                preds = FRAME_JOBS[name](frames, names, "y", 0)
+            else:
+                preds = job(name)(table, folds, [])
+                if name == "garch" and log_epsilon is not None:
+                    preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
+            tagged = preds.withColumns({"model": F.lit(name), "task": F.lit(task), "y_true": F.col("y_true").cast("double"), "y_pred": F.col("y_pred").cast("double")})
+            parts.append(materialise(tagged.select(*columns), f"predictions-{name}"))
+            times.append((name, task, time.perf_counter() - started))
+    both = reduce(DataFrame.unionByName, parts)
+    for task, combine in (("regression", lambda p, m: weighted_mean(p, dict.fromkeys(m, 1.0))), ("classification", lambda p, m: majority_vote(p))):
+        chosen = [n for n, t, _ in times if t == task and n not in ("naive", "last")]
+        if len(chosen) > 1:
+            voted = combine(both.filter((F.col("task") == task) & F.col("model").isin(*chosen)), chosen)
+            both = both.unionByName(voted.withColumns({"task": F.lit(task), "model": F.lit("ensemble")}).select(*columns))
+    return both, spark.createDataFrame(times, "model string, task string, seconds double")
 
 
 def full_run(
@@ -77,39 +143,73 @@ def full_run(
     settings: Settings,
     store: ResultStore,
     run_id: str,
-    models: Sequence[str] = ("linear", "arx", "garch", "gbt", "forest"),
+    models: Sequence[str] = ("naive", "linear", "arx", "garch", "gbt", "forest"),
+    classifiers: Sequence[str] = ("last", "gbt", "forest"),
+    sources: Sequence[str] = (),
+    export: bool = False,
+    features_used: Sequence[str] | None = None,
     **context,
 ) -> dict[str, DataFrame]:
     """Run everything and write it below the store; returns the written tables.
 
-    Features and predictions are written and read back, which cuts the lineage at shared
-    storage: the fits behind them are not repeated when executors are lost.
+    Features, frames and predictions are written and read back, which cuts the lineage at shared storage: the fits behind
+    them are not repeated when executors are lost. ``sources``: assets whose linear models are scored on all others.
+    ``features_used``: only these of the built features. A run that is repeated under its name replaces its tables.
     """
-    store.start_run(run_id, {"settings": settings.to_json(), "models": list(models)})
-    table, names = feature_table(bars, settings, **context)
-    store.save("features", with_position(table), run_id, by=("asset",))
-    table = store.load("features", run_id)
-    used = chosen_features(table, names, 0.8, settings.features.keep_high_correlation)
-    folds = adaptive_splits(lengths(table), settings.splits)
+    store.start_run(run_id, {"settings": settings.to_json(), "models": list(models), "classifiers": list(classifiers)})
+    cfg = settings.features
+    clean = preprocess(bars)
+    store.save("bar_checks", cleaning.validate_bars(clean), run_id, by=())
+    table, names, gone = feature_table(clean, settings, **context)
+    names = [n for n in names if features_used is None or n in features_used]
+    store.save("features", with_position(table.select("asset", "ts", *names, "y", "ret", "regime_code", "regime")), run_id, by=("asset",))
+    table = store.load("features", run_id).drop("run_id")
+    sizes = lengths(table)
+    folds = walk_forward_splits(sizes, settings.splits)
     store.save("folds", folds, run_id, by=("asset",))
     folds = store.load("folds", run_id).drop("run_id")
-    logged = settings.features.log_epsilon if settings.features.use_log_target else None
-    preds = fit_predict_folds(table, folds, used, models, logged).withColumn("task", F.lit("regression"))
-    store.save("predictions", preds, run_id)
-    preds = store.load("predictions", run_id)
-    per_fold = regression_metrics(preds, ["asset", "model", "task", "fold"])
-    base = regression_metrics(naive_predictions(fold_frames(table, folds)), ["asset", "fold"])
+    short = unsplit(sizes, folds).select("asset", F.col("n").alias("rows"), F.lit("too short for a fold").alias("reason"))
+    store.save("left_out", gone.unionByName(short), run_id, by=())
+    frames, dropped = prepared_frames(table, folds, names, keep=cfg.keep_high_correlation)
+    frames = materialise(frames, "prepared")
+    store.save("dropped_features", dropped, run_id, by=())
+
+    preds, times = predictions(table, folds, frames, names, models, classifiers, cfg.log_epsilon if cfg.use_log_target else None)
+    expected = frames.filter(F.col("role") == "test").groupBy("asset", "fold").agg(F.count(F.lit(1)).alias("test_size"))
+    store.save("predictions", drop_bad_folds(preds, ("asset", "model", "task", "fold"), expected), run_id)
+    preds = store.load("predictions", run_id).drop("run_id")
+    reg, clf = preds.filter(F.col("task") == "regression"), preds.filter(F.col("task") == "classification")
+    on = ["asset", "model", "task", "fold"]
+    last = last_train_value(frames).join(frames.filter(F.col("role") == "test"), ["asset", "fold"])
+    base = regression_metrics(last.select("asset", "fold", F.col("y").alias("y_true"), F.col("last_value").alias("y_pred")), ["asset", "fold"])
     base = base.select("asset", "fold", *[F.col(c).alias(f"baseline_{c}") for c in ("mse", "mae", "r2")])
-    store.save("fold_metrics", per_fold.join(base, ["asset", "fold"], "left"), run_id)
-    per_fold = store.load("fold_metrics", run_id)
-    summary = fold_summary(per_fold, [*SUMMARY, "baseline_mse", "baseline_mae", "baseline_r2"], ["asset", "model", "task"])
+    errors = regression_metrics(reg, on).join(base, ["asset", "fold"], "left")
+    per_fold = errors.unionByName(classification_metrics(clf, on), allowMissingColumns=True)
+    per_fold = per_fold.join(times, ["model", "task"], "left").withColumnRenamed("seconds", "model_seconds")
+    store.save("fold_metrics", per_fold, run_id)
+    per_fold = store.load("fold_metrics", run_id).drop("run_id")
+    summary = fold_summary(per_fold, [*ERRORS, *SCORES, "baseline_mse", "baseline_mae", "baseline_r2", "model_seconds"], KEYS)
     store.save("metrics", summary, run_id)
-    summary = store.load("metrics", run_id)
-    on = ["asset", "model", "fold"]
-    store.save_leaderboard(leaderboard(per_fold.join(rank_ic(preds, on), on)))
-    wide = summary.withColumns({c: F.lit(None).cast("double") for c in ("accuracy", "f1", "precision", "recall", "accuracy_std", "f1_std", "precision_std", "recall_std")})
-    store.save("performance", performance_summary(wide), run_id, by=())
-    store.save("comparison", comparison_table(wide), run_id, by=())
-    store.save("fold_index", fold_index(fold_frames(table, folds)), run_id, by=("asset",))
-    names_out = ("features", "folds", "predictions", "fold_metrics", "metrics", "performance", "comparison", "fold_index")
-    return {n: store.load(n, run_id) for n in names_out} | {"leaderboard": store.load("leaderboard")}
+    summary = store.load("metrics", run_id).drop("run_id")
+    ranked = per_fold.filter(F.col("task") == "regression").join(rank_ic(reg, on), on, "left")
+    store.save_leaderboard(leaderboard(ranked.withColumnRenamed("model_seconds", "fit_time_s")))
+    store.save("performance", performance_summary(summary), run_id, by=())
+    store.save("comparison", comparison_table(summary), run_id, by=())
+    store.save("fold_index", fold_index(frames), run_id, by=("asset",))
+    regimes = reg.join(table.select("asset", "ts", "regime"), ["asset", "ts"], "left")
+    store.save("regime_metrics", regime_metrics(regimes, KEYS, least=1), run_id)
+    whole = selection.target_correlations(frames.filter(F.col("role") == "train"), names, ["y", "regime_code"])
+    store.save("leakage", selection.leakage_table(whole, "y"), run_id, by=())
+    written = ["bar_checks", "features", "folds", "left_out", "dropped_features", "predictions", "fold_metrics", "metrics", "performance", "comparison", "fold_index", "regime_metrics", "leakage"]
+    if "linear" in models:
+        contributions = linear_contribution_frames(frames, names).withColumn("task", F.lit("regression"))
+        store.save("contributions", contributions, run_id)
+        store.save("importance", importance(store.load("contributions", run_id), KEYS), run_id)
+        written += ["contributions", "importance"]
+    if sources:
+        rows = cleaning.fill_missing(table, names)
+        store.save("transfer", transfer_matrix(rows, names, "y", sources), run_id, by=())
+        written.append("transfer")
+    if export:
+        store.export_all(run_id, summary)
+    return {n: store.load(n, run_id) for n in written} | {"leaderboard": store.load("leaderboard")}

@@ -1,15 +1,16 @@
 """Cross-asset transfer: models fitted on a source are scored on targets.
 
-A model is fitted on its source alone. Source models form one small table; every target
-row is read once and the errors of all configured sources are aggregated side by side, so
-no (row, source) pair is ever produced.
+A model is fitted on its source alone. The configured source models are a small table that every task holds; a task
+multiplies its rows by all models at once and sends error sums per (source, target), so no (row, source) pair is
+ever produced and a hot target is summed where its rows are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.models.linear import fit_linear, predict_linear
@@ -19,47 +20,47 @@ def source_means(rows: DataFrame, target: str, sources: Sequence[str]) -> DataFr
     return rows.filter(F.col("asset").isin(*sources)).groupBy("asset").agg(F.avg(target).alias("value"))
 
 
-def _models_array(models: DataFrame, field: str) -> Column:
-    """All source models in one literal-like array; one entry per configured source."""
-    return models.agg(F.collect_list(F.struct("asset", field)).alias("_m")).scalar()
-
-
-def _score(rows: DataFrame, sources: Sequence[str], target: str, forecast: Callable[[str], Column], name: str) -> DataFrame:
-    y, aggs, cells = F.col(target), [F.var_pop(target).alias("_v"), F.count(target).alias("_n")], []
-    for i, s in enumerate(sources):
-        e = y - F.col(f"_p{i}")
-        aggs += [F.avg(e * e).alias(f"_mse{i}"), F.avg(F.abs(e)).alias(f"_mae{i}")]
-        r2 = 1 - F.try_divide(F.col(f"_mse{i}"), F.col("_v"))
-        cells.append(F.struct(F.lit(s).alias("source"), F.col(f"_mse{i}").alias("mse"), F.col(f"_mae{i}").alias("mae"), r2.alias("r2")))
-    wide = rows.withColumns({f"_p{i}": forecast(s) for i, s in enumerate(sources)}).groupBy(F.col("asset").alias("target")).agg(*aggs)
-    long = wide.select("target", "_n", F.explode(F.array(*cells)).alias("_c"))
-    return long.select(
-        "_c.source", "target", F.lit(name).alias("model"), F.lit("regression").alias("task"), "_c.mse", F.sqrt("_c.mse").alias("rmse"), "_c.mae", "_c.r2", F.col("_n").alias("n")
+def _score(rows: DataFrame, features: Sequence[str], target: str, models: list[tuple[str, list[float], float]], name: str) -> DataFrame:
+    """(source, target, metrics); ``models``: source, coefficients, intercept of each configured source."""
+    sources = [m[0] for m in models]
+    coefs, base = np.reshape([m[1] for m in models], (len(models), len(features))), np.array([m[2] for m in models])
+
+    def sums(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            assets = batch.column(0).dictionary_encode()
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.column_stack([np.zeros((len(y), 0)), *(batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(len(features)))])
+            error = x @ coefs.T + base - y[:, None]
+            code = assets.indices.to_numpy()
+            for k, asset in enumerate(assets.dictionary.to_pylist()):
+                mine = error[code == k]
+                yield pa.RecordBatch.from_pydict({"source": sources, "target": [asset] * len(sources), "se": (mine * mine).sum(0), "ae": np.abs(mine).sum(0)})
+
+    clean = rows.select(F.col("asset"), F.col(target).cast("double"), *[F.col(f).cast("double") for f in features]).na.drop()
+    spread = clean.groupBy(F.col("asset").alias("target")).agg(F.var_pop(target).alias("_v"), F.count(F.lit(1)).alias("n"))
+    if not models:
+        return spread.selectExpr("cast(null as string) source", "target", f"'{name}' model", "'regression' task", "_v mse", "_v rmse", "_v mae", "_v r2", "n").limit(0)
+    errors = clean.mapInArrow(sums, "source string, target string, se double, ae double").groupBy("source", "target").agg(F.sum("se").alias("_se"), F.sum("ae").alias("_ae"))
+    mse = F.col("_se") / F.col("n")
+    return errors.join(spread, "target").select(
+        "source", "target", F.lit(name).alias("model"), F.lit("regression").alias("task"), mse.alias("mse"), F.sqrt(mse).alias("rmse"), (F.col("_ae") / F.col("n")).alias("mae"), (1 - F.try_divide(mse, "_v")).alias("r2"), "n"
     )
 
 
-def _pick(source: str, field: str) -> Column:
-    return F.element_at(F.filter("_models", lambda m: m["asset"] == source), 1)[field]
-
-
 def score_constants(rows: DataFrame, constants: DataFrame, sources: Sequence[str], target: str, name: str = "mean") -> DataFrame:
     """Every target predicted by the constant of every source."""
-    rows = rows.withColumn("_models", _models_array(constants, "value"))
-    return _score(rows, sources, target, lambda s: _pick(s, "value"), name)
+    known = constants.filter(F.col("asset").isin(*sources)).collect()  # a row per configured source
+    return _score(rows, [], target, [(r["asset"], [], r["value"]) for r in known], name)
 
 
 def transfer_matrix(rows: DataFrame, features: Sequence[str], target: str, sources: Sequence[str]) -> DataFrame:
     """Linear models fitted per source and scored on every asset: (source, target, metrics)."""
     clean = rows.na.drop(subset=[*features, target])
-    models = fit_linear(clean.filter(F.col("asset").isin(*sources)), features, target, ["asset"])
-    models = models.withColumn("model", F.struct("coefs", "intercept"))
-    clean = clean.withColumn("_models", _models_array(models, "model"))
-
-    def forecast(s: str) -> Column:
-        m = _pick(s, "model")
-        return sum((m["coefs"][i] * F.col(f) for i, f in enumerate(features)), m["intercept"])
-
-    return _score(clean, sources, target, forecast, "linear")
+    fitted = fit_linear(clean.filter(F.col("asset").isin(*sources)), features, target, ["asset"])
+    known = fitted.select("asset", "coefs", "intercept").collect()  # a row per configured source
+    return _score(clean, features, target, [(r["asset"], r["coefs"], r["intercept"]) for r in known], "linear")
 
 
 def transfer_pool(rows: DataFrame, features: Sequence[str], target: str, sources: Sequence[str], targets: Sequence[str]) -> DataFrame:

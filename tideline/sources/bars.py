@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tideline.functions.layout import DAILY, Series
 from tideline.functions.safe import col
@@ -32,9 +34,14 @@ def bars_from_rows(
     )
 
 
+def symbol_of_path(path: Column) -> Column:
+    """Symbol part of ``.../{symbol}_{start}_{end}.csv``, percent forms undone."""
+    name = F.regexp_extract(path, r"([^/]+?)_[^_/]*_[^_/]*\.\w+$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def symbol_of_file() -> Column:
-    """Symbol part of ``{symbol}_{start}_{end}.csv``."""
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)_[^_]*_[^_]*\.\w+$", 1)
+    return symbol_of_path(F.col("_metadata.file_path"))
 
 
 def to_utc(x: str | Column) -> Column:
@@ -60,11 +67,18 @@ def read_csv_bars(spark: SparkSession, path: str, adjusted: bool = False) -> Dat
     return raw.select(symbol_of_file().alias("asset"), to_utc("Date").alias("ts"), *cols, F.col("Volume").alias("volume"))
 
 
+def read_table(spark: SparkSession, path: str, text: Sequence[str]) -> DataFrame:
+    """A Parquet table whose partition columns named in ``text`` stay strings (``0005`` is no number)."""
+    schema = spark.read.parquet(path).schema
+    kinds = [StructField(f.name, StringType(), f.nullable) if f.name in text else f for f in schema]
+    return spark.read.schema(StructType(kinds)).parquet(path)
+
+
 def read_bars(
     spark: SparkSession, path: str, assets: Sequence[str] | None = None, start: str | None = None, end: str | None = None
 ) -> DataFrame:
     """Parquet bars partitioned by asset; asset and date filters reach the scan."""
-    return universe(spark.read.parquet(path), assets, start, end)
+    return universe(read_table(spark, path, ["asset"]), assets, start, end)
 
 
 def universe(
@@ -82,9 +96,9 @@ def universe(
 
 
 def list_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """Sorted distinct symbols of the cached files."""
-    files = spark.read.schema(BARS_SCHEMA).option("header", True).csv(path)
-    return files.select(F.split("_metadata.file_name", "_")[0].alias("asset")).distinct().orderBy("asset")
+    """Sorted distinct symbols of the cached files; only names are listed, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    return files.select(symbol_of_path(F.col("path")).alias("asset")).distinct().orderBy("asset")
 
 
 def cache_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -117,11 +131,12 @@ def drop_bars(spark: SparkSession, path: str, assets: Sequence[str] | None = Non
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(conf)
-    wanted = None if assets is None else {f"asset={a}" for a in assets}
+    wanted = None if assets is None else set(assets)
     removed = 0
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if name.startswith("asset=") and (wanted is None or name in wanted):
+        # Spark writes characters that paths cannot hold in percent form
+        if name.startswith("asset=") and (wanted is None or unquote(name.removeprefix("asset=")) in wanted):
             removed += int(fs.delete(status.getPath(), True))
     return removed
 

@@ -7,15 +7,23 @@ asset, model and task), runs (one row per run and revision), leaderboard (replac
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.sources.bars import read_table
+
 KEYS = ("asset", "model", "task")
 SPLIT = 8
 
 
+def path_name(value: str) -> str:
+    """A value as Spark spells it in a partition folder: control and reserved characters in percent form."""
+    return "".join(f"%{ord(c):02X}" if ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in value) or "__HIVE_DEFAULT_PARTITION__"
+
+
 class ResultStore:
     """Reads and writes the tables of one or more runs."""
 
@@ -34,15 +42,22 @@ class ResultStore:
         if by and spread_on:
             # a hot (asset, model, task) is split over several files
             df = df.withColumn("_s", F.pmod(F.xxhash64(*spread_on), F.lit(SPLIT))).repartition(*by, "_s").drop("_s")
-        writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy(*by) if by else writer).parquet(self.path(table))
+        path, by = self.path(table), list(by)
+        if run_id is not None and mode == "overwrite":
+            # the run's folder is replaced whole, so nothing of a former run of the same name is left
+            path, by, df = f"{path}/run_id={path_name(run_id)}", by[1:], df.drop("run_id")
+            writer = df.write.mode(mode).option("partitionOverwriteMode", "static")
+        else:
+            writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (writer.partitionBy(*by) if by else writer).parquet(path)
 
     def save(self, table: str, df: DataFrame, run_id: str | None = None, by: Sequence[str] = KEYS) -> None:
-        """Write a table; partitions that appear in df are replaced, others stay."""
+        """Write a table. What it held of the same run is replaced whole; without a run, partitions that appear in df are
+        replaced and others stay."""
         self._write(df, table, run_id, by, "overwrite")
 
     def load(self, table: str, run_id: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(self.path(table))
+        df = read_table(self.spark, self.path(table), ("run_id", *KEYS))
         return df if run_id is None else df.filter(F.col("run_id") == run_id)
 
     def save_model_results(self, run_id: str, predictions: DataFrame, fold_metrics: DataFrame, folds: DataFrame) -> None:
@@ -77,7 +92,7 @@ class ResultStore:
 
     def runs(self) -> DataFrame:
         """Latest revision of every run."""
-        df = self.spark.read.parquet(self.path("runs"))
+        df = read_table(self.spark, self.path("runs"), ["run_id"])
         pick = F.max_by(F.struct("revision", "config", "metadata", "written_at"), "revision")
         return df.groupBy("run_id").agg(pick.alias("_r")).select("run_id", "_r.*")
 
@@ -119,21 +134,23 @@ class ResultStore:
         return {name: self.export_table(df, name) for name, df in tables.items()}
 
 
-def save_model(model, spark: SparkSession, root: str, asset: str, name: str, task: str) -> str:
-    """Persist a pyspark.ml model and add it to the model registry table."""
-    path = f"{root.rstrip('/')}/models/{asset.replace(' ', '_')}/{name}/{task}"
-    model.write().overwrite().save(path)
-    row = spark.createDataFrame([(asset, name, task, path)], "asset string, model string, task string, path string")
-    row.coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/model_registry")
+def save_model(model, spark: SparkSession, root: str, run_id: str, asset: str, name: str, task: str) -> str:
+    """Persist a pyspark.ml model of a run and add it to the model registry table; models are never overwritten."""
+    parts = "/".join(path_name(p) for p in (run_id, asset, name, task))
+    path = f"{root.rstrip('/')}/models/{parts}/{uuid.uuid4().hex}"
+    model.write().save(path)
+    row = spark.createDataFrame([(run_id, asset, name, task, path)], "run_id string, asset string, model string, task string, path string")
+    row.withColumn("written_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/model_registry")
     return path
 
 
-def load_model(spark: SparkSession, root: str, asset: str, name: str, task: str):
-    """Latest registered model of (asset, model, task)."""
+def load_model(spark: SparkSession, root: str, run_id: str, asset: str, name: str, task: str):
+    """Latest registered model of (run, asset, model, task)."""
     from pyspark.ml import PipelineModel
 
     registry = spark.read.parquet(f"{root.rstrip('/')}/model_registry")
-    row = registry.filter((F.col("asset") == asset) & (F.col("model") == name) & (F.col("task") == task)).first()
-    if row is None:
-        raise KeyError((asset, name, task))
-    return PipelineModel.load(row["path"])
+    mine = (F.col("run_id") == run_id) & (F.col("asset") == asset) & (F.col("model") == name) & (F.col("task") == task)
+    path = registry.filter(mine).agg(F.max_by("path", F.struct("written_at", "path"))).first()[0]
+    if path is None:
+        raise KeyError((run_id, asset, name, task))
+    return PipelineModel.load(path)

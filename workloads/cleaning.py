@@ -77,7 +77,7 @@ def drop_missing(spark, sf):
 @query("validate_bars", with_sql(
     "q AS (SELECT asset, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.75) AS q3 FROM bars GROUP BY asset)",
     "s AS (SELECT asset, count(*) AS rows, count(*) FILTER (WHERE close < q1 - 1.5 * (q3 - q1) OR close > q3 + 1.5 * (q3 - q1)) AS outliers FROM bars JOIN q USING (asset) GROUP BY asset)",
-    "i AS (SELECT *, concat_ws('; ', CASE WHEN rows < 100 THEN 'Insufficient data points: ' || rows END, CASE WHEN outliers > rows * 0.05 THEN 'Too many outliers: ' || outliers END) AS issues FROM s)",
+    "i AS (SELECT *, concat_ws(' ', CASE WHEN rows < 100 THEN 'few:' || rows END, CASE WHEN outliers > rows * 0.05 THEN 'wild:' || outliers END) AS issues FROM s)",
     select="SELECT asset, rows, outliers, issues, issues = '' AS is_valid FROM i", bars=HOURLY_SQL))
 def validate_bars(spark, sf):
     return C.validate_bars(hourly_bars(spark, sf))

@@ -52,28 +52,35 @@ ADAPT = (
     "a4 AS (SELECT *, CASE WHEN s = 1 THEN greatest(60, n - test) ELSE greatest(60, least(756, greatest(126, n // 8))) END AS mt FROM a3)",
     "a5 AS (SELECT *, unnest(range(0, s)) AS fold FROM a4)",
 )
-EXPANDING = (
-    *ADAPT,
-    "a6 AS (SELECT *, CASE WHEN s = 1 THEN n - test ELSE mt + ((n - test - mt) * (fold + 1)) // s END AS train_hi FROM a5)",
-    "a7 AS (SELECT asset, n, mt, fold, greatest(0, train_hi - 504) AS train_lo, train_hi, train_hi AS test_lo, least(train_hi + test, n) AS test_hi FROM a6)",
-    f"adaptive AS (SELECT {FOLD_COLS} FROM a7 WHERE test_hi <= n AND train_hi - train_lo >= least(mt, 504) AND test_hi - test_lo >= 20)",
+FIXED = (
+    SIZES,
+    "f1 AS (SELECT asset, n, least(5, greatest(0, (n - 5 - 60) // 252)) AS s FROM sizes)",
+    "f2 AS (SELECT *, unnest(range(0, s)) AS fold FROM f1)",
+    "f3 AS (SELECT *, n - (s - fold) * 252 AS test_lo FROM f2)",
 )
-ROLLING = (
+EXPANDING = (*FIXED, "adaptive AS (SELECT asset, fold, CAST(0 AS BIGINT) AS train_lo, test_lo - 5 AS train_hi, test_lo, test_lo + 252 AS test_hi FROM f3)")
+ROLLING = (*FIXED, "adaptive AS (SELECT asset, fold, test_lo - 5 - (n - s * 252 - 5) AS train_lo, test_lo - 5 AS train_hi, test_lo, test_lo + 252 AS test_hi FROM f3)")
+ADAPTIVE = (
     *ADAPT,
-    "a6 AS (SELECT *, mt + fold * test AS train_hi FROM a5 WHERE n - test > mt)",
-    "a7 AS (SELECT asset, n, mt, fold, greatest(0, train_hi - least(mt, 504)) AS train_lo, train_hi, train_hi AS test_lo, train_hi + test AS test_hi FROM a6)",
-    f"adaptive AS (SELECT {FOLD_COLS} FROM a7 WHERE test_hi <= n AND train_hi - train_lo >= least(mt, 504) AND test_hi - test_lo >= 20)",
+    "a6 AS (SELECT *, CASE WHEN s = 1 THEN n - test ELSE mt + ((n - test - mt) * (fold + 1)) // s END AS train_hi FROM a5)",
+    "a7 AS (SELECT asset, n, mt, fold, CAST(0 AS BIGINT) AS train_lo, train_hi, train_hi AS test_lo, least(train_hi + test, n) AS test_hi FROM a6)",
+    f"adaptive AS (SELECT {FOLD_COLS} FROM a7 WHERE test_hi <= n AND train_hi - train_lo >= mt AND test_hi - test_lo >= 20)",
 )
 
 
 @query("splits_expanding", with_sql(*EXPANDING, select=f"SELECT {FOLD_COLS} FROM adaptive"))
 def splits_expanding(spark, sf):
-    return X.adaptive_splits(sizes(spark, sf), CFG)
+    return X.walk_forward_splits(sizes(spark, sf), CFG)
 
 
 @query("splits_rolling", with_sql(*ROLLING, select=f"SELECT {FOLD_COLS} FROM adaptive"))
 def splits_rolling(spark, sf):
-    return X.adaptive_splits(sizes(spark, sf), SplitSettings(expanding=False))
+    return X.walk_forward_splits(sizes(spark, sf), SplitSettings(expanding=False))
+
+
+@query("splits_adaptive", with_sql(*ADAPTIVE, select=f"SELECT {FOLD_COLS} FROM adaptive"))
+def splits_adaptive(spark, sf):
+    return X.walk_forward_splits(sizes(spark, sf), SplitSettings(strategy="adaptive", gap=0))
 
 
 @query("split_validity", with_sql(*PREDS[:3], SIZES,
@@ -194,7 +201,7 @@ _INFO_ROUND = {c: 6 for c in ("train_mean", "train_std", "test_mean", "test_std"
 
 @query("split_info", with_sql(*EXPANDING, select=_INFO))
 def split_info(spark, sf):
-    return shown(X.split_info(X.adaptive_splits(sizes(spark, sf), CFG)), _INFO_ROUND, _INFO_KEEP)
+    return shown(X.split_info(X.walk_forward_splits(sizes(spark, sf), CFG)), _INFO_ROUND, _INFO_KEEP)
 
 
 @query("fold_overlap", with_sql(*EXPANDING,
@@ -204,7 +211,7 @@ def split_info(spark, sf):
     select=f"""SELECT asset, {rnd('min(tr)', 'train_overlap_min')}, {rnd('max(tr)', 'train_overlap_max')}, {rnd('avg(tr)', 'train_overlap_mean')},
   {rnd('min(te)', 'test_overlap_min')}, {rnd('max(te)', 'test_overlap_max')}, {rnd('avg(te)', 'test_overlap_mean')} FROM ov GROUP BY asset"""))
 def fold_overlap(spark, sf):
-    out = X.fold_overlap(X.adaptive_splits(sizes(spark, sf), CFG))
+    out = X.fold_overlap(X.walk_forward_splits(sizes(spark, sf), CFG))
     return shown(out, {c: 6 for c in out.columns if c != "asset"}, ("asset",))
 
 
@@ -216,4 +223,4 @@ def validation_summary(spark, sf):
     from tideline.plans.validation import validation_summary as summarise
 
     rows = features(priority_bars(spark, sf), ["targets"]).withColumnRenamed("target_vol5", "y")
-    return summarise(rows, X.adaptive_splits(sizes(spark, sf), CFG), ["y"]).select("asset", "n_splits", "total_samples", "missing", "infinite", "is_valid")
+    return summarise(rows, X.walk_forward_splits(sizes(spark, sf), CFG), ["y"]).select("asset", "n_splits", "total_samples", "missing", "infinite", "is_valid")

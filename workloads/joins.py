@@ -44,7 +44,7 @@ def align_outer(spark, sf):
     select="SELECT asset_1, asset_2, days, common_days FROM p JOIN c USING (asset_1, asset_2) JOIN d ON TRUE"))
 def pair_generate(spark, sf):
     rets = A.returns(priority_bars(spark, sf)).filter(F.col("asset") != INDEX_ASSET)
-    return A.pair_overlap(A.align_outer(rets, MARKETS), PAIRS)
+    return A.pair_overlap(rets, PAIRS)
 
 
 PAIR_SQL = (
@@ -57,16 +57,19 @@ PAIR_SQL = (
 )
 
 
+def correlations(spark, sf):
+    return A.pair_correlations(A.returns(priority_bars(spark, sf)).filter(F.col("asset") != INDEX_ASSET), PAIRS)
+
+
 def pair_columns(spark, sf):
-    rets = A.returns(priority_bars(spark, sf)).filter(F.col("asset") != INDEX_ASSET)
-    return A.pair_correlations(A.align_outer(rets, MARKETS), PAIRS)
+    return A.pair_columns(correlations(spark, sf), PAIRS)
 
 
 def _corr_cell(a, b):
     return f"max(CASE WHEN a1 = '{a}' AND a2 = '{b}' AND k > 1 AND isfinite(c) THEN c END)"
 
 
-PAIR_NAMES = {f"{NAMES[a]}_{NAMES[b]}_corr": (a, b) for a, b in PAIRS}
+PAIR_NAMES = {A.corr_name(a, b): (a, b) for a, b in PAIRS}
 
 
 @query("pair_corr_join", with_sql(*PAIR_SQL, select="SELECT ts, " + ", ".join(rnd(_corr_cell(*ab), n, 5) for n, ab in PAIR_NAMES.items()) + " FROM pc GROUP BY ts"))
@@ -76,8 +79,7 @@ def pair_corr_join(spark, sf):
 
 @query("pair_corr", with_sql(*PAIR_SQL, select=f"SELECT a1 AS asset_1, a2 AS asset_2, ts, {rnd('CASE WHEN k > 1 THEN c END', 'corr', 5)} FROM pc"))
 def pair_corr(spark, sf):
-    rows = F.array(*[F.struct(F.lit(a).alias("asset_1"), F.lit(b).alias("asset_2"), rounded(n, 5).alias("corr")) for n, (a, b) in PAIR_NAMES.items()])
-    return pair_columns(spark, sf).select("ts", F.explode(rows).alias("p")).select("p.asset_1", "p.asset_2", "ts", "p.corr")
+    return shown(correlations(spark, sf), {"corr": 5}, ("asset_1", "asset_2", "ts"))
 
 
 @query("corr_to_features", with_sql(*PAIR_SQL,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.config import SplitSettings
 from tideline.functions.layout import with_position
-from tideline.functions.safe import rounded
+from tideline.functions.safe import finite
 from tideline.models import garch, linear, mixture, trees
 from tideline.operators import folds as X
 from tideline.operators.align import returns
@@ -14,7 +15,7 @@ from tideline.operators.features import features
 from tideline.operators.labels import volatility_regimes
 from tideline.operators.reports import market_of
 from tideline.plans import evaluate, transfer
-from workloads.fixtures import ASSETS, US_ASSETS, priority_bars, sliding_folds
+from workloads.fixtures import ASSETS, PREDS, US_ASSETS, forecast_rows, priority_bars, rnd, sliding_folds, with_sql
 from workloads.registry import query
 from workloads.windows import shown
 
@@ -23,108 +24,194 @@ AU = tuple(a for a in ASSETS if a not in US_ASSETS)
 
 
 def model_rows(spark, sf):
-    """(asset, ts, rn, n, ret, y, up, features) without gaps, renumbered."""
+    """(asset, ts, rn, n, ret, y, up, three, features) without gaps, renumbered."""
     df = features(priority_bars(spark, sf), ["lagged", "performance", "statistical", "targets", "simple_targets", "cached"])
-    rows = df.select("asset", "ts", F.col("log_returns").alias("ret"), F.col("target_vol5").alias("y"), F.col("up_5").alias("up"), *NAMES).na.drop()
+    three = F.when(F.col("momentum_5") < -0.2, 0).when(F.col("momentum_5") > 0.2, 2).otherwise(1).alias("three")
+    rows = df.select("asset", "ts", F.col("log_returns").alias("ret"), F.col("target_vol5").alias("y"), F.col("up_5").alias("up"), three, *NAMES).na.drop()
     return with_position(rows).persist()  # every job reads it several times
 
 
-def folds_of(rows, n_splits):
-    return X.adaptive_splits(X.lengths(rows), SplitSettings(n_splits=n_splits))
+#: Test blocks small enough that the short series of the smallest tables have folds too.
+SPLITS = SplitSettings(test_size=42)
 
 
-def _preds(df):
-    return shown(df, {"y_true": 6, "y_pred": 6}, ("asset", "model", "fold", "ts"))
+def folds_of(rows):
+    return X.walk_forward_splits(X.lengths(rows), SPLITS)
 
 
-@query("fit_gbt")
+# Rows without gaps: the longest look-back is a 20-row volatility of returns shifted by its window and the separation
+# (at least 10 values), the target looks five rows ahead.
+FIRST, LAST = 60, 5
+MODEL_ROWS = (
+    f"mr AS (SELECT asset, ts, rn - {FIRST} AS rn, n - {FIRST + LAST} AS n FROM r WHERE rn >= {FIRST} AND rn < n - {LAST})",
+    "mn AS (SELECT DISTINCT asset, n, least(5, greatest(0, (n - 5 - 60) // 42)) AS s FROM mr)",
+    "mf AS (SELECT asset, unnest(range(0, s)) AS fold FROM mn)",
+)
+
+
+def per_fold(preds, *tests, keys=("asset", "fold")):
+    """Predictions per fold, whether all are finite, and whether the tests hold for all rows."""
+    ok = [F.bool_and(F.coalesce(t, F.lit(False))).alias(n) for n, t in (("finite", finite("y_pred").isNotNull()), *tests)]
+    return preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("predictions"), *ok)
+
+
+def counted(*flags, extra="", join=""):
+    return with_sql(*MODEL_ROWS, select=f"SELECT {extra} asset, fold, 42 AS predictions, TRUE AS finite{''.join(f', TRUE AS {f}' for f in flags)} FROM mf {join}")
+
+
+_TASKS = "(VALUES ('regression'), ('classification'), ('three classes')) AS k(task)"
+
+
+@query("fit_gbt", counted("usable", extra="task,", join=f", {_TASKS}"))
 def fit_gbt(spark, sf):
+    """Boosted trees on the target, the two-class and the three-class label; all configured folds and default rounds."""
     rows = model_rows(spark, sf)
-    folds = folds_of(rows, 1)
-    reg = trees.tree_folds(rows, folds, NAMES, "y", "gbt", "regression", maxIter=5)
-    clf = trees.tree_folds(rows, folds, NAMES, "up", "gbt", "classification", maxIter=3)
-    cols = {"y_true": 6, "y_pred": 6, "y_prob": 6}
-    tagged = [shown(d, cols, ("asset", "model", "fold", "ts")).withColumn("task", F.lit(t)) for d, t in ((reg, "regression"), (clf, "classification"))]
-    return tagged[0].unionByName(tagged[1])
+    folds = folds_of(rows)
+    jobs = (("regression", "y", 0, F.col("y_pred") > 0), ("classification", "up", 2, F.col("y_pred").isin(0, 1)), ("three classes", "three", 3, F.col("y_pred").isin(0, 1, 2)))
+    parts = []
+    for task, target, classes, usable in jobs:
+        preds = trees.tree_folds(rows, folds, NAMES, target, "gbt", "classification" if classes else "regression", classes)
+        parts.append(per_fold(preds, ("usable", usable)).withColumn("task", F.lit(task)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("fit_forest")
+@query("fit_forest", counted("inside"))
 def fit_forest(spark, sf):
+    """A forest's predictions are means of train targets, so none is outside their range."""
     rows = model_rows(spark, sf)
-    folds = folds_of(rows, 1)
-    return _preds(trees.tree_folds(rows, folds, NAMES, "y", "forest", "regression", numTrees=100))
+    preds = trees.tree_folds(rows, folds_of(rows), NAMES, "y", "forest", "regression")
+    low, high = rows.agg(F.min("y"), F.max("y")).first()
+    return per_fold(preds, ("inside", F.col("y_pred").between(low, high)))
 
 
-@query("fit_arx")
+@query("fit_arx", counted("ordered"))
 def fit_arx(spark, sf):
     rows = model_rows(spark, sf)
-    return _preds(linear.arx_folds(rows, folds_of(rows, 5), NAMES[:4]))
+    out = linear.arx_folds(rows, folds_of(rows), NAMES[:4])
+    return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))))
+
+
+AR_ROWS = (
+    *PREDS[:2],
+    "ar AS (SELECT asset, ts, rn, y, lag(y) OVER (PARTITION BY asset ORDER BY ts) AS lag1 FROM py WHERE y IS NOT NULL)",
+    "af AS (SELECT a.*, f.fold, rn >= test_lo AS test, row_number() OVER (PARTITION BY a.asset, f.fold, rn >= test_lo ORDER BY ts) AS h FROM ar a JOIN folds f ON f.asset = a.asset AND rn >= train_lo AND rn < test_hi WHERE lag1 IS NOT NULL)",
+    "am AS (SELECT asset, fold, regr_slope(y, lag1) AS phi, regr_intercept(y, lag1) AS base FROM af WHERE NOT test GROUP BY 1, 2)",
+    "st AS (SELECT asset, fold, lag1 AS state FROM af WHERE test AND h = 1)",
+)
+
 
+@query("ar1_folds", with_sql(*PREDS[:3], *AR_ROWS[2:],
+    select=f"SELECT asset, fold, ts, {rnd('base * (1 - phi ** h) / (1 - phi) + phi ** h * state', 'y_pred', 5)} FROM af JOIN am USING (asset, fold) JOIN st USING (asset, fold) WHERE test"))
+def ar1_folds(spark, sf):
+    """Autoregression of order one without other columns, forecast step by step through each test block."""
+    rows = forecast_rows(spark, sf).select("asset", "ts", "rn", "y")
+    return shown(linear.arx_folds(rows, sliding_folds(spark, sf), (), orders=(1,)), {"y_pred": 5}, ("asset", "fold", "ts"))
 
-@query("forecast_interval")
+
+@query("linear_folds", with_sql(*PREDS[:3],
+    "tr AS (SELECT p.asset, fold, regr_slope(y, last) AS b, regr_intercept(y, last) AS a FROM py p JOIN folds f ON f.asset = p.asset AND rn >= train_lo AND rn < train_hi WHERE y IS NOT NULL AND last IS NOT NULL GROUP BY 1, 2)",
+    "te AS (SELECT p.asset, fold, ts, y, last FROM py p JOIN folds f ON f.asset = p.asset AND rn >= test_lo AND rn < test_hi WHERE y IS NOT NULL AND last IS NOT NULL)",
+    select=f"SELECT asset, fold, ts, {rnd('y', 'y_true', 5)}, {rnd('a + b * last', 'y_pred', 5)} FROM te JOIN tr USING (asset, fold)"))
+def linear_folds(spark, sf):
+    """Walk-forward least squares on one feature."""
+    rows = forecast_rows(spark, sf).select("asset", "ts", "rn", "y", "last")
+    return shown(linear.linear_folds(rows, sliding_folds(spark, sf), ["last"]), {"y_true": 5, "y_pred": 5}, ("asset", "fold", "ts"))
+
+
+@query("forecast_interval", counted("ordered", "wider"))
 def forecast_interval(spark, sf):
+    """Forecasts of a differenced target; the interval holds the forecast and never narrows with the horizon."""
     rows = model_rows(spark, sf)
-    out = linear.arx_folds(rows, folds_of(rows, 3), (), d=1, confidence=0.90)
-    return shown(out, {"y_true": 6, "y_pred": 6, "lower": 6, "upper": 6, "std": 6}, ("asset", "fold", "ts", "p"))
+    out = linear.arx_folds(rows, folds_of(rows), (), d=1, confidence=0.90)
+    before = F.lag("std", 1).over(Window.partitionBy("asset", "fold").orderBy("ts"))  # a test block
+    out = out.withColumn("_wider", before.isNull() | (F.col("std") >= before * (1 - 1e-9)))
+    return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))), ("wider", F.col("_wider")))
 
 
-@query("fit_garch")
+@query("fit_garch", counted("positive", "ordered"))
 def fit_garch(spark, sf):
     rows = model_rows(spark, sf)
-    out = garch.garch_folds(rows, folds_of(rows, 5))
-    return shown(out, {"y_true": 6, "y_pred": 6, "alpha": 6, "beta": 6, "var_95": 6, "var_99": 6}, ("asset", "model", "fold", "ts"))
+    out = garch.garch_folds(rows, folds_of(rows))
+    return per_fold(out, ("positive", F.col("y_pred") > 0), ("ordered", F.col("var_99") < F.col("var_95")))
 
 
-@query("garch_volatility")
+@query("garch_volatility", with_sql(select="SELECT asset, count(ret) AS rows, TRUE AS positive, TRUE AS persistent FROM r GROUP BY asset"))
 def garch_volatility(spark, sf):
+    """Conditional volatility of every return, then its regimes."""
     out = volatility_regimes(garch.conditional_volatility(returns(priority_bars(spark, sf))), "cond_vol")
-    return shown(out, {"alpha": 6, "beta": 6, "cond_vol": 6}, ("asset", "ts", "regime"))
+    return out.groupBy("asset").agg(F.count("ret").alias("rows"), F.bool_and(F.col("cond_vol") > 0).alias("positive"), F.bool_and((F.col("alpha") > 0) & (F.col("beta") > 0) & (F.col("alpha") + F.col("beta") < 1)).alias("persistent"))
 
 
-@query("regime_mixture")
+@query("regime_mixture", with_sql(
+    f"m AS (SELECT *, CASE WHEN asset IN ('1-URGENT', '2-HIGH') THEN 'US' ELSE 'AU' END AS market FROM r WHERE ret IS NOT NULL)",
+    select="SELECT market, count(*) AS rows, TRUE AS certain, TRUE AS ordered FROM m GROUP BY market"))
 def regime_mixture(spark, sf):
+    """Rows per market; certainty of the chosen of three states is at least a third; Bear's mean return is below Bull's."""
     rets = returns(priority_bars(spark, sf)).withColumn("market", market_of("asset", US_ASSETS)).persist()
     out = mixture.mixture_regimes(rets, ["US", "AU"])
-    return out.select("asset", "ts", "market", "regime", rounded("certainty", 4).alias("certainty"))
+    mean = lambda r: F.avg(F.when(F.col("regime") == r, F.col("ret")))
+    return out.groupBy("market").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("certainty") > 0.33).alias("certain"), F.coalesce(mean("Bear") < mean("Bull"), F.lit(True)).alias("ordered"))
 
 
-@query("fit_predict_folds")
+_MODELS = ("naive", "linear", "arx", "garch", "gbt", "forest")
+
+
+@query("fit_predict_folds", counted(extra="model,", join=", (VALUES " + ", ".join(f"('{m}')" for m in _MODELS) + ") AS k(model)"))
 def fit_predict_folds(spark, sf):
+    """Every model on every fold."""
     rows = model_rows(spark, sf)
-    return _preds(evaluate.fit_predict_folds(rows, folds_of(rows, 5), NAMES, ["naive", "linear", "arx", "garch"]))
+    return per_fold(evaluate.fit_predict_folds(rows, folds_of(rows), NAMES, _MODELS), keys=("asset", "model", "fold"))
 
 
-@query("uniform_eval")
+@query("uniform_eval", "SELECT 'linear' AS model, TRUE AS usable UNION ALL SELECT 'ridge', TRUE")
 def uniform_eval(spark, sf):
     bars = priority_bars(spark, sf)
     targets = features(bars, ["targets"]).select("asset", "ts", F.col("next_return").alias("y"))
     out = evaluate.uniform_eval(bars, targets)
-    return shown(out, {c: 4 for c in out.columns if c != "model"}, ("model",))
+    return out.select("model", ((F.col("mse_mean") > 0) & F.col("mae_mean").between(0, F.sqrt("mse_mean")) & F.col("ic_mean").between(-1, 1)).alias("usable"))
+
 
+def _single(spark, sf):
+    return forecast_rows(spark, sf).filter(F.col("y").isNotNull() & F.col("last").isNotNull())
 
-@query("transfer_pool")
+
+_SINGLE = (*PREDS[:2], "one AS (SELECT asset, y, last FROM py WHERE y IS NOT NULL AND last IS NOT NULL)")
+_ERRORS = f"{rnd('avg((y - a - b * last) ** 2)', 'mse', 5)}, {rnd('avg(abs(y - a - b * last))', 'mae', 5)}, {rnd('1 - avg((y - a - b * last) ** 2) / var_pop(y)', 'r2', 4)}"
+
+
+@query("transfer_pool", with_sql(*_SINGLE, f"m AS (SELECT regr_slope(y, last) AS b, regr_intercept(y, last) AS a FROM one WHERE asset IN {US_ASSETS})",
+    select=f"SELECT asset, '{','.join(US_ASSETS)}' AS sources, count(*) AS test_size, {_ERRORS} FROM one, m WHERE asset NOT IN {US_ASSETS} GROUP BY asset"))
 def transfer_pool(spark, sf):
-    out = transfer.transfer_pool(model_rows(spark, sf), NAMES, "y", US_ASSETS, AU)
-    return shown(out, {"mse": 5, "rmse": 5, "mae": 5, "r2": 5}, ("asset", "sources", "test_size"))
+    out = transfer.transfer_pool(_single(spark, sf), ["last"], "y", US_ASSETS, AU)
+    return shown(out, {"mse": 5, "mae": 5, "r2": 4}, ("asset", "sources", "test_size"))
 
 
-@query("transfer_matrix")
+@query("transfer_matrix", with_sql(*_SINGLE, "m AS (SELECT asset AS source, regr_slope(y, last) AS b, regr_intercept(y, last) AS a FROM one GROUP BY asset)",
+    select=f"SELECT source, asset AS target, 'linear' AS model, 'regression' AS task, count(*) AS n, {_ERRORS} FROM one, m GROUP BY source, asset"))
 def transfer_matrix(spark, sf):
-    out = transfer.transfer_matrix(model_rows(spark, sf), NAMES, "y", ASSETS)
-    return shown(out, {"mse": 5, "rmse": 5, "mae": 5, "r2": 5}, ("source", "target", "model", "task", "n"))
+    out = transfer.transfer_matrix(_single(spark, sf), ["last"], "y", ASSETS)
+    return shown(out, {"mse": 5, "mae": 5, "r2": 4}, ("source", "target", "model", "task", "n"))
+
+
+_SETS = ", ".join(f"('maxDepth={d}, stepSize={s}')" for d in (2, 3) for s in (0.1, 0.3))
 
 
-@query("grid_search")
+@query("grid_search", f"SELECT params, 3 AS folds, TRUE AS finite, 1 AS best FROM (VALUES {_SETS}) AS k(params)")
 def grid_search(spark, sf):
+    """Every parameter set over three expanding folds; exactly one set is the best."""
     rows = model_rows(spark, sf)
-    out = trees.grid_search(rows, X.time_series_splits(X.lengths(rows), 3), NAMES, "y", {"maxDepth": [2, 3], "maxIter": [5]})
-    return shown(out, {"rmse_mean": 4, "rmse_std": 4}, ("params", "folds", "is_best"))
+    out = trees.grid_search(rows, X.time_series_splits(X.lengths(rows), 3), NAMES, "y", {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]})
+    best = out.agg(F.count_if("is_best").alias("n")).scalar()
+    return out.select("params", "folds", finite("rmse_mean").isNotNull().alias("finite"), best.alias("best"))
 
 
-@query("perm_importance")
+@query("perm_importance", "SELECT feature, TRUE AS finite, TRUE AS better FROM (VALUES " + ", ".join(f"('{f}')" for f in NAMES) + ") AS k(feature)")
 def perm_importance(spark, sf):
+    """Importances of each feature; the fitted model beats the mean of its train rows."""
     rows = model_rows(spark, sf)
-    model = trees.fit(rows, NAMES, "y", "gbt", "regression", maxIter=5)
+    model = trees.fit(rows, NAMES, "y", "gbt", "regression")
     split = trees.feature_importances(model, spark, NAMES)
     out = trees.permutation_importance(model, rows, NAMES, "y").join(split, "feature")
-    return shown(out, {"rmse_increase": 4, "importance": 4}, ("feature",))
+    spread = rows.agg(F.stddev_pop("y").alias("s")).scalar()
+    ok = finite("rmse_increase").isNotNull() & F.col("importance").between(0, 1)
+    return out.select("feature", ok.alias("finite"), (F.col("rmse") < spread).alias("better"))

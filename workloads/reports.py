@@ -144,11 +144,14 @@ def perf_summary(spark, sf):
     return shown(out, {"best_value": 6, "mean": 6, "std": 6}, ("task", "metric", "best_model", "best_asset", "assets", "models"))
 
 
-_TXT = lambda c: f"printf('%.4f ± %.4f', coalesce({c}, 0), coalesce({c}_std, 0))"
+def _text_sql(c):
+    from tideline.operators.reports import DIGITS
 
+    text = f"printf('%.{DIGITS[c]}f ± %.{DIGITS[c]}f', coalesce({c}, 0), coalesce({c}_std, 0))"
+    return f"CASE WHEN task {'=' if c in CLF else '<>'} 'classification' THEN {text} END AS {c}_text"
 
-@query("comparison_table", with_sql(*RES, select="SELECT asset, model, task, " + ", ".join(
-    [f"CASE WHEN task <> 'classification' THEN {_TXT(c)} END AS {c}_text" for c in REG] + [f"CASE WHEN task = 'classification' THEN {_TXT(c)} END AS {c}_text" for c in CLF]) + " FROM results"))
+
+@query("comparison_table", with_sql(*RES, select="SELECT asset, model, task, " + ", ".join(_text_sql(c) for c in (*REG, *CLF)) + " FROM results"))
 def comparison_table(spark, sf):
     return R.comparison_table(results(spark, sf))
 
@@ -161,10 +164,10 @@ def best_row(spark, sf):
     return shown(out, {"regression_value": 6, "classification_value": 6}, ("evaluations", "assets", "models", "regression_model", "regression_asset", "classification_model", "classification_asset"))
 
 
-@query("key_findings", with_sql(*RES, *PERF, select="""SELECT task, printf('Best %s model: %s on %s (%s: %.4f)', task, best_model, best_asset, CASE WHEN task = 'classification' THEN 'Accuracy' ELSE 'R²' END, best_value) AS finding
+@query("key_findings", with_sql(*RES, *PERF, select=f"""SELECT task, best_model AS model, best_asset AS asset, metric, {rnd('best_value', 'value')}
   FROM ps WHERE (task = 'classification' AND metric = 'accuracy') OR (task <> 'classification' AND metric = 'r2')"""))
 def key_findings(spark, sf):
-    return R.key_findings(R.performance_summary(results(spark, sf)))
+    return shown(R.key_findings(R.performance_summary(results(spark, sf))), {"value": 6}, ("task", "model", "asset", "metric"))
 
 
 @query("export_summary", with_sql(*RES, select="SELECT asset, count(*) AS models, string_agg(DISTINCT model, ',' ORDER BY model) AS model_types, string_agg(DISTINCT task, ',' ORDER BY task) AS tasks FROM results GROUP BY asset"))

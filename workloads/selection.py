@@ -96,7 +96,7 @@ def select_by_variance(spark, sf):
     select=f"SELECT asset, feature, {rnd('a', 'abs_corr')}, high AND NOT (kept < 35 AND k <= 6) AS dropped FROM o"))
 def drop_corr_features(spark, sf):
     table = corr_table(spark, sf).filter(F.col("target") == "y")
-    return shown(S.kept_features(table, 0.03), {"abs_corr": 6}, ("asset", "feature", "dropped"))
+    return shown(S.kept_features(table, 0.03, least=35, restore=6), {"abs_corr": 6}, ("asset", "feature", "dropped"))
 
 
 @query("kbest_corr", with_sql(*CORR, "k AS (SELECT asset, feature, abs(corr) AS a, row_number() OVER (PARTITION BY asset ORDER BY abs(corr) DESC NULLS LAST, feature) AS rank FROM ct WHERE target = 'y')",

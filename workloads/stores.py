@@ -17,7 +17,6 @@ from workloads.windows import shown
 
 _BARS = "SELECT asset, ts, open, high, low, close, volume FROM bars"
 _COLS = ("asset", "ts", "open", "high", "low", "close", "volume")
-_SCHEMA = "ts TIMESTAMP_NTZ, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume BIGINT, asset STRING"
 
 
 def stored_bars(spark, sf, fmt="parquet"):
@@ -26,14 +25,30 @@ def stored_bars(spark, sf, fmt="parquet"):
     return path
 
 
+def symbol_files(spark, sf):
+    """One ``{symbol}_{start}_{end}.csv`` per series: each asset's folder is written by one task and its file renamed."""
+    root = shared_folder(spark, "csv")
+    cols = [F.col("ts").cast("string").alias("Date"), *(F.col(c).alias(c.capitalize()) for c in ("open", "high", "low", "close", "volume"))]
+    bars = priority_bars(spark, sf).select("asset", *cols).repartition("asset")
+    bars.write.partitionBy("asset").option("header", True).csv(f"{root}/by_asset")
+    jvm = spark._jvm
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/by_asset")):
+        symbol = folder.getPath().getName().removeprefix("asset=")
+        if folder.isDirectory():
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{root}/{symbol}_1990-01-01_2025-10-08.csv"))
+    return f"{root}/*.csv"
+
+
 def store(spark):
     return ResultStore(spark, shared_folder(spark, "results"))
 
 
 @query("scan_bars", "WITH " + PRIORITY_SQL + " " + _BARS)
 def scan_bars(spark, sf):
-    path = stored_bars(spark, sf, "csv")
-    return spark.read.schema(_SCHEMA).csv(path).select(*_COLS)
+    return B.read_csv_bars(spark, symbol_files(spark, sf)).select(*_COLS)
 
 
 @query("write_bars", "WITH " + PRIORITY_SQL + " " + _BARS)
@@ -50,14 +65,13 @@ def drop_bars(spark, sf):
 
 @query("list_symbols", "SELECT DISTINCT o_orderpriority AS asset FROM orders ORDER BY 1")
 def list_symbols(spark, sf):
-    path = stored_bars(spark, sf)
-    name = F.regexp_extract("_metadata.file_path", r"asset=([^/]+)/", 1)
-    return spark.read.parquet(path).select(F.url_decode(name).alias("asset")).distinct().orderBy("asset")
+    return B.list_symbols(spark, symbol_files(spark, sf))
 
 
-@query("cache_info")
+@query("cache_info", "SELECT TRUE AS has_files, TRUE AS has_bytes")
 def cache_info(spark, sf):
-    return B.cache_info(spark, stored_bars(spark, sf))
+    """Whether the written bars are found; numbers of files follow the session's partitions."""
+    return B.cache_info(spark, stored_bars(spark, sf)).select((F.col("files") > 0).alias("has_files"), (F.col("total_mb") > 0).alias("has_bytes"))
 
 
 def fold_metrics(spark, sf):
@@ -97,7 +111,11 @@ def sink_export(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(paths["summary"])
 
 
-@query("sink_run_metadata")
+_RUN = '{{"step": {}, "train": 200, "val": 60}}'
+
+
+@query("sink_run_metadata", with_sql(select=f"""SELECT 'step60' AS run_id, 1 AS revision, '{_RUN.format(60)}' AS config, '{{"rows": ' || (SELECT count(*) FROM bars) || '}}' AS metadata
+  UNION ALL SELECT 'step30', 0, '{_RUN.format(30)}', '{{}}'"""))
 def sink_run_metadata(spark, sf):
     s = store(spark)
     for run_id, step in (("step60", 60), ("step30", 30)):
@@ -153,15 +171,23 @@ def load_run(spark, sf):
     return shown(out, {"mae": 6}, ("run_id", "asset", "model", "fold", "config"))
 
 
-@query("score_saved")
+def _score_sql():
+    from workloads.models import MODEL_ROWS
+
+    return with_sql(*MODEL_ROWS, select="SELECT asset, count(*) AS rows, TRUE AS finite FROM mr GROUP BY asset")
+
+
+@query("score_saved", _score_sql())
 def score_saved(spark, sf):
+    """A saved model, loaded again, scores every row."""
+    from tideline.functions.safe import finite
     from tideline.models import trees
     from workloads.models import NAMES, model_rows
 
     root = shared_folder(spark, "models")
     rows = model_rows(spark, sf)
-    model = trees.fit(rows.filter(F.col("asset") == "1-URGENT"), NAMES, "y", "gbt", "regression", maxIter=5)
-    save_model(model, spark, root, "1-URGENT", "gbt", "regression")
-    again = load_model(spark, root, "1-URGENT", "gbt", "regression")
+    model = trees.fit(rows.filter(F.col("asset") == "1-URGENT"), NAMES, "y", "gbt", "regression")
+    save_model(model, spark, root, "run-a", "1-URGENT", "gbt", "regression")
+    again = load_model(spark, root, "run-a", "1-URGENT", "gbt", "regression")
     out = trees.predict(again, rows, NAMES, "y")
-    return out.select("asset", "ts", rounded("y_true").alias("y_true"), rounded("y_pred").alias("y_pred"))
+    return out.groupBy("asset").agg(F.count(F.lit(1)).alias("rows"), F.bool_and(finite("y_pred").isNotNull()).alias("finite"))
