@@ -180,7 +180,7 @@ def coef_importance(spark, sf):
     return shown(X.coefficient_importance(coefs, scores), {"importance": 6}, ("asset", "model", "feature"))
 
 
-@query("eval_sample", with_sql(*FEAT, "ranked AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY md5('42|' || asset || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), ts) AS _k FROM feat)",
+@query("eval_sample", with_sql(*FEAT, "ranked AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY md5('42|' || asset || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), ts) AS _k FROM fx)",
     select=f"SELECT asset, ts, {rnd('lag1', 'lag1')} FROM ranked WHERE _k <= 20"))
 def eval_sample(spark, sf):
     return shown(X.evaluation_sample(rows(spark, sf)), {"lag1": 6}, ("asset", "ts"))
