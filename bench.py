@@ -31,6 +31,11 @@ HEADLINE = (
     "transfer_matrix",
     "fit_arx",
     "fit_garch",
+    "impute_train",
+    "kbest_mi",
+    "uniform_eval",
+    "fit_forest",
+    "full_run",
 )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.config import Settings
-from tideline.functions.layout import DAILY, Series, forward_fill, with_position
+from tideline.functions.layout import DAILY, Series, fitted, forward_fill, with_position
 from tideline.functions.safe import finite
 from tideline.models.linear import linear_contribution_frames, linear_frames
 from tideline.models.trees import tree_frames
@@ -159,10 +159,12 @@ def full_run(
     store.start_run(run_id, {"settings": settings.to_json(), "models": list(models), "classifiers": list(classifiers)})
     cfg = settings.features
     clean = preprocess(bars)
+    # buckets short enough that no chunk of a dense series grows beyond its size
+    context["series"] = fitted(clean, context.get("series", DAILY))
     store.save("bar_checks", cleaning.validate_bars(clean), run_id, by=())
     table, names, gone = feature_table(clean, settings, **context)
     names = [n for n in names if features_used is None or n in features_used]
-    store.save("features", with_position(table.select("asset", "ts", *names, "y", "ret", "regime_code", "regime")), run_id, by=("asset",))
+    store.save("features", with_position(table.select("asset", "ts", *names, "y", "ret", "regime_code", "regime"), context["series"]), run_id, by=("asset",))
     table = store.load("features", run_id).drop("run_id")
     sizes = lengths(table)
     folds = walk_forward_splits(sizes, settings.splits)
@@ -207,7 +209,7 @@ def full_run(
         store.save("importance", importance(store.load("contributions", run_id), KEYS), run_id)
         written += ["contributions", "importance"]
     if sources:
-        rows = cleaning.fill_missing(table, names)
+        rows = cleaning.fill_missing(table, names, context["series"])
         store.save("transfer", transfer_matrix(rows, names, "y", sources), run_id, by=())
         written.append("transfer")
     if export:
