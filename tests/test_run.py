@@ -22,7 +22,7 @@ def bars(spark):
 def test_all_stages(spark, bars, tmp_path):
     store = ResultStore(spark, str(tmp_path / "store"))
     models = ("naive", "linear", "arx", "garch", "forest")
-    tables = R.full_run(bars, SETTINGS, store, "007", models, ("last", "forest"), sources=("A",), export=True, modules=("lagged", "performance"), pairs=(("A", "IDX"),), index_asset="IDX")
+    tables = R.full_run(bars, SETTINGS, store, "007", models, ("last", "forest"), sources=("A",), export=True, modules=("lagged",), pairs=(("A", "IDX"),), index_asset="IDX")
     counts = {(r["asset"], r["model"], r["task"]): r["n"] for r in tables["predictions"].groupBy("asset", "model", "task").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {(a, m, "regression") for a in ("A", "B", "IDX") for m in (*models, "ensemble")} | {(a, m, "classification") for a in ("A", "B", "IDX") for m in ("last", "forest")}
     assert set(counts) >= {w for w in want if w[1] != "ensemble"} and set(counts.values()) == {60}
@@ -36,7 +36,7 @@ def test_all_stages(spark, bars, tmp_path):
 
 
 def test_nothing_prepared_depends_on_test_rows(spark, bars):
-    table, names, _ = R.feature_table(bars, SETTINGS, modules=("lagged", "performance"))
+    table, names, _ = R.feature_table(bars, SETTINGS, modules=("lagged", "nonlinear"))
     table = R.with_position(table).persist()
     folds = R.walk_forward_splits(R.lengths(table), SplitSettings(n_splits=1, test_size=40)).persist()
     start = folds.select("asset", "test_lo")

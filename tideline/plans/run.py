@@ -72,7 +72,7 @@ def feature_table(
         out = out.join(proxy, ["asset", "ts"], "left")
         names += ["proxy_vol", "proxy_vol_change"]
     out = materialise(out.withColumns({c: finite(F.col(c).cast("double")) for c in names}), "joined")
-    out = forward_fill(out, names, series).withColumn("y", labels.clip_target("y"))
+    out = materialise(forward_fill(out, names, series).withColumn("y", labels.clip_target("y")), "carried")
     long = labels.align_targets(out, ["y", "regime_code"], least=least)
     varied = labels.drop_degenerate(long, "y", "regime_code")
     gone = labels.left_out(out, long, f"under {least} rows with a target").unionByName(labels.left_out(long, varied, "target or regime without variation"))

@@ -87,3 +87,14 @@ def ship_package(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     out.write(full, os.path.join("tideline", os.path.relpath(full, root)))
         sc.addPyFile(path)
+
+
+#: Rows per Arrow batch for jobs on whole texts, which may be long.
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches in this session, so a Python worker holds few texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
