@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tideline.llm import decontamination, packing, quality, secrets, simhash  # noqa: E402
-from tideline.session import local_checkpoint_folder, materialise, ship_package  # noqa: E402
+from tideline.session import local_checkpoint_folder, materialise, ship_package, text_batches  # noqa: E402
 
 
 def _prepare(spark: SparkSession) -> None:
     local_checkpoint_folder(spark)
     ship_package(spark)
+    text_batches(spark)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,7 +164,7 @@ def _links(queries: np.ndarray, stored: np.ndarray, reach: int, leaf: int) -> It
             continue
         cut = _split(held) if len(held) > leaf else None
         if cut is None:
-            rows = max(1, (1 << 20) // len(held))
+            rows = max(1, (1 << 17) // len(held))
             for at in range(0, len(asked), rows):
                 block = asked[at : at + rows]
                 i, j = np.nonzero(np.bitwise_count(block[:, None] ^ held[None, :]) <= reach)
