@@ -88,7 +88,8 @@ FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 @query("op8_quality", QUALITY_SQL)
 def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Measures and verdict of every document."""
-    found = quality.verdicts(read(spark, sf, "documents").select("doc_id", "text", "source"))
+    rule = quality.QualitySettings(by_line=True)  # as the SQL counts
+    found = quality.verdicts(read(spark, sf, "documents").select("doc_id", "text", "source"), rule)
     return found.select("doc_id", *quality.MEASURES, "base_failed", "kept", "n_left")
 
 
