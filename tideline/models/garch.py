@@ -1,24 +1,27 @@
 """GARCH(1,1) by variance targeting and a likelihood grid, many series in parallel.
 
-Per fold the group is bounded by the splitter's train cap. A whole series is run in chunks
-with a burn-in of earlier rows: the log likelihoods of all grid points are added up over
-chunks, the best point per series is chosen, and a second pass gives the variance path.
+A series, or the train rows of a fold, is run in chunks with a burn-in of earlier rows, so no
+task holds a whole history: the log likelihoods of all grid points are added up over chunks and
+the best point per series is chosen. A fold's forecast starts from the variance after the last
+chunk; for a whole series a second pass gives the variance path.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.layout import DAILY, Series, spread
+from tideline.functions.layout import DAILY, Series, fitted, spread, with_position
 from tideline.functions.skew import join_stats
 from tideline.functions.safe import ANNUAL, NORMAL_LOWER
 from tideline.operators.folds import fold_frames
+from tideline.session import materialise
 
 ALPHAS = (0.02, 0.05, 0.08, 0.12, 0.16, 0.22)
 BETAS = (0.60, 0.70, 0.78, 0.84, 0.88, 0.92, 0.96)
@@ -42,41 +45,48 @@ def _loglik(r: np.ndarray, var: np.ndarray) -> np.ndarray:
     return -0.5 * np.sum(np.log(2 * math.pi * var) + (r * r)[:, None] / var, axis=0)
 
 
-def _fold_forecast(levels: Sequence[float]):
-    alpha = np.array([a for a, _ in GRID])
-    beta = np.array([b for _, b in GRID])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        r = pdf.loc[pdf["role"] == "train", "ret"].dropna().to_numpy(dtype=float)
-        test = pdf[(pdf["role"] == "test") & pdf["y"].notna()]
-        out = test[["asset", "fold", "ts"]].copy()
-        out["y_true"] = test["y"]
-        s2, mu = (float(np.mean(r * r)), float(np.mean(r))) if len(r) else (0.0, 0.0)
-        if len(r) < 20 or s2 <= 0:
-            out["alpha"], out["beta"], std = 0.0, 0.0, np.full(len(out), math.sqrt(s2))
-        else:
-            var = _paths(r, s2, alpha, beta)
-            best = int(np.argmax(_loglik(r, var[:-1])))
-            out["alpha"], out["beta"] = alpha[best], beta[best]
-            decay = (alpha[best] + beta[best]) ** np.arange(len(out))
-            std = np.sqrt(s2 + decay * (var[-1, best] - s2))
-        out["y_pred"] = std * ANNUAL
-        for c in levels:
-            out[f"var_{round(c * 100)}"] = mu + NORMAL_LOWER[c] * std
-        return out
-
-    return run
-
-
-def garch_folds(rows: DataFrame, folds: DataFrame, levels: Sequence[float] = (0.95, 0.99), keys: Sequence[str] = ("asset",)) -> DataFrame:
+def _fold_likelihood(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("_rn")
+    first, r = pdf.iloc[0], pdf["ret"].to_numpy(dtype=float)
+    own = ((pdf["_rn"] >= pdf["_lo"]) & (pdf["_rn"] < pdf["_hi"])).to_numpy()
+    alpha, beta = np.array([a for a, _ in GRID]), np.array([b for _, b in GRID])
+    var = _paths(r, float(first["s2"]), alpha, beta)
+    last = var[-1] if first["_hi"] == first["_n"] else np.full(len(GRID), np.nan)
+    return pd.DataFrame({"asset": first["asset"], "fold": first["fold"], "point": np.arange(len(GRID)), "loglik": _loglik(r[own], var[:-1][own]), "last": last})
+
+
+def fold_chunks(train: DataFrame, series: Series) -> DataFrame:
+    """Train rows of folds in their chunks, each with the rows of its burn-in."""
+    return spread(train, series, BURN_IN)
+
+
+def garch_folds(rows: DataFrame, folds: DataFrame, levels: Sequence[float] = (0.95, 0.99), keys: Sequence[str] = ("asset",), series: Series | None = None) -> DataFrame:
     """Annualised volatility forecast of every test row from the end of its train rows, with
-    value at risk. Needs ret and y; each fold is one group of at most train + test rows."""
-    frames = fold_frames(rows.select(*keys, "ts", "rn", "ret", "y"), folds, keys)
-    cols = ", ".join(f"var_{round(c * 100)} double" for c in levels)
-    schema = f"asset string, fold bigint, ts timestamp_ntz, y_true double, alpha double, beta double, y_pred double, {cols}"
-    out = frames.groupBy(*keys, "fold").applyInPandas(_fold_forecast(levels), schema)
-    return out.withColumn("model", F.lit("garch"))
+    value at risk. Needs ret and y; ``series`` sets the chunks (default: fitted to the rows)."""
+    frames = materialise(fold_frames(rows.select(*keys, "ts", "rn", "ret", "y"), folds, keys).drop("rn"), "garch_frames")
+    by = [*keys, "fold"]
+    series = replace(series or fitted(frames, replace(DAILY, keys=tuple(by))), keys=tuple(by))
+    ret = F.col("ret").cast("double")
+    train = frames.filter(F.col("role") == "train").select(*by, "ts", ret.alias("ret")).filter(F.col("ret").isNotNull() & ~F.isnan("ret"))
+    scale = materialise(train.groupBy(*by).agg(F.count("ret").alias("_rows"), F.avg(F.col("ret") * F.col("ret")).alias("s2"), F.avg("ret").alias("mu")), "garch_scale")
+    fit = scale.filter((F.col("_rows") >= 20) & (F.col("s2") > 0)).select(*by, "s2")
+    laid = join_stats(fold_chunks(train, series), fit, by)
+    parts = laid.groupBy(*by, "_chunk").applyInPandas(_fold_likelihood, "asset string, fold bigint, point bigint, loglik double, last double")
+    total = parts.groupBy(*by, "point").agg(F.sum("loglik").alias("loglik"), F.max(F.when(~F.isnan("last"), F.col("last"))).alias("last"))
+    best = total.groupBy(*by).agg(F.max(F.struct("loglik", (-F.col("point")).alias("_first"), "last")).alias("_m"))
+    grid = [F.array(*[F.lit(x[k]) for x in GRID]) for k in (0, 1)]
+    at = [F.get(g, (-F.col("_m._first")).cast("int")) for g in grid]
+    best = best.select(*by, at[0].alias("alpha"), at[1].alias("beta"), F.col("_m.last").alias("last"))
+    found = materialise(scale.join(best, by, "left"), "garch_fits")
+    test = frames.filter((F.col("role") == "test") & F.col("y").isNotNull() & ~F.isnan(F.col("y").cast("double")))
+    ahead = join_stats(with_position(test.select(*by, "ts", "y"), series), found, by, "left")
+    s2 = F.coalesce("s2", F.lit(0.0))
+    decay = F.pow(F.col("alpha") + F.col("beta"), F.col("rn"))
+    std = F.sqrt(F.when(F.col("last").isNull(), s2).otherwise(s2 + decay * (F.col("last") - s2)))
+    risk = [(F.coalesce("mu", F.lit(0.0)) + NORMAL_LOWER[c] * F.col("_std")).alias(f"var_{round(c * 100)}") for c in levels]
+    params = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("alpha", "beta")]
+    shown = [*keys, F.col("fold").cast("bigint").alias("fold"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("y").cast("double").alias("y_true")]
+    return ahead.withColumn("_std", std).select(*shown, *params, (F.col("_std") * ANNUAL).alias("y_pred"), *risk, F.lit("garch").alias("model"))
 
 
 def _chunk_likelihood(pdf: pd.DataFrame) -> pd.DataFrame:
