@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, extraction, packing, quality, secrets, sharding, simhash, token_files, toxicity, urlfilter
+from tideline.llm import decontamination, extraction, packing, quality, secrets, sharding, simhash, token_files, toxicity, urlfilter, whitening
 from tideline.llm.registry import QUERIES, SQL, query, read  # noqa: F401
 from tideline.session import materialise, shared_folder
 
@@ -173,3 +173,10 @@ def op7_url_filters(spark: SparkSession, sf: str) -> DataFrame:
     found = urlfilter.filter_urls(labelled)
     verdict = F.coalesce("_verdict", F.when(F.col("reject"), "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "branch")
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """First four whitened components of every embedding; a deviation beyond a long is null."""
+    found = whitening.whiten(read(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
