@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontamination, extraction, packing, quality, secrets, sharding, simhash, token_files, toxicity, urlfilter, whitening
+from tideline.llm import decontamination, extraction, line_dedup, packing, prefix_trie, quality, secrets, sharding, simhash, token_files, toxicity, urlfilter, whitening
 from tideline.llm.registry import QUERIES, SQL, query, read  # noqa: F401
 from tideline.session import materialise, shared_folder
 
@@ -180,3 +180,50 @@ def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
     """First four whitened components of every embedding; a deviation beyond a long is null."""
     found = whitening.whiten(read(spark, sf, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS long)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+TRIE_SQL = r"""
+WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS x FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, k: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 AS h FROM own),
+x AS (SELECT a.conv_id, list_concat(coalesce(b.x, [])[1:a.h], a.x[a.h + 1:]) AS x FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, len(x) AS n, unnest(range(len(x) + 1)) AS depth, x FROM x),
+m AS (SELECT x[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends FROM p GROUP BY ALL),
+k AS (SELECT path[1:depth - 1] AS up, count(*) AS n_children FROM m WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT m.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN depth > 0 THEN length(path[depth].text) ELSE 0 END AS own FROM m LEFT JOIN k ON m.path = k.up),
+a AS (SELECT path[1:d] AS top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(depth + 1)) AS d FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, sha256(v.ends) AS ends_sha256
+FROM v JOIN a ON v.path = a.top LEFT JOIN m u ON v.depth > 0 AND u.path = v.path[1:v.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The trie of all conversations, each with the first turns of the first conversation of its hundred."""
+    own = prefix_trie.turn_lists(read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
+    first = F.col("conv_id") - F.col("conv_id") % 100
+    heads = own.where(F.col("conv_id") == first).select(F.col("conv_id").alias("_first"), *(F.slice(c, 1, 5).alias(f"_{c}") for c in ("keys", "chars")))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    joined = own.join(heads, first == F.col("_first"), "left")
+    # A list without its first h turns; none where there are fewer.
+    parts = {c: (F.col(f"_{c}"), F.slice(c, h + 1, F.greatest(F.size(c) - h, F.lit(0)))) for c in ("keys", "chars")}
+    rebuilt = joined.select("conv_id", *(F.when(head.isNull(), rest).otherwise(F.concat(F.slice(head, 1, h), rest)).alias(c) for c, (head, rest) in parts.items()))
+    return prefix_trie.listed(prefix_trie.prefix_trie(rebuilt))
+
+
+LINE_SQL = r"""
+WITH l AS (SELECT r, doc_id, unnest(x) AS line, unnest(range(len(x))) AS place
+  FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
+@query("op13_line_dedup", LINE_SQL)
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of every document before, and the digest of those that stay."""
+    found = line_dedup.deduplicated(read(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
