@@ -7,10 +7,8 @@ from conftest import collect, same
 from pyspark.sql import functions as F
 
 from tideline.config import SplitSettings
-from tideline.functions.layout import Series
-from tideline.models import garch, linear, trees
+from tideline.models import linear, trees
 from tideline.operators import ensemble, folds as X
-from tideline.operators.align import returns
 
 
 @pytest.fixture(scope="module")
@@ -83,43 +81,6 @@ def test_autoregression(design):
     assert 0.85 < inside <= 1
 
 
-def test_garch_chunks_equal_whole(long_df):
-    rets = returns(long_df)
-    a = collect(garch.conditional_volatility(rets, Series(bucket_days=8, chunk_rows=256)))
-    b = collect(garch.conditional_volatility(rets, Series(chunk_rows=10**9)))
-    assert len(a) == len(b) and (a.alpha == b.alpha).all() and (a.cond_vol > 0).all()
-    same(a.cond_vol, b.cond_vol, 1e-5)
-
-
-def test_garch_folds(design):
-    _, df = design
-    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=2, test_size=60, gap=0))
-    out = garch.garch_folds(df, folds).toPandas()
-    assert len(out) == folds.selectExpr("sum(test_hi - test_lo)").first()[0]
-    assert (out.y_pred > 0).all() and (out.var_99 < out.var_95).all()
-
-
-def test_garch_folds_in_chunks_equal_whole_history(design):
-    pdf, df = design
-    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=2, test_size=60, gap=0))
-    small = Series(("asset", "fold"), bucket_days=8, chunk_rows=64)
-    frames = X.fold_frames(df.select("asset", "ts", "rn", "ret", "y"), folds).filter("role = 'train' AND ret IS NOT NULL")
-    assert garch.fold_chunks(frames, small).groupBy("asset", "fold").agg({"_chunk": "max"}).agg({"max(_chunk)": "min"}).first()[0] >= 1
-    got = garch.garch_folds(df, folds, series=small).toPandas()
-    alpha, beta = (np.array([g[k] for g in garch.GRID]) for k in (0, 1))
-    for f in folds.collect():
-        mine = pdf[pdf.asset == f.asset].sort_values("rn")
-        r = mine[(mine.rn >= f.train_lo) & (mine.rn < f.train_hi)].ret.dropna().to_numpy()
-        var = garch._paths(r, float(np.mean(r * r)), alpha, beta)
-        best = int(np.argmax(garch._loglik(r, var[:-1])))
-        out = got[(got.asset == f.asset) & (got.fold == f.fold)].sort_values("ts")
-        assert (out.alpha == alpha[best]).all() and (out.beta == beta[best]).all()
-        s2 = np.mean(r * r)
-        std = np.sqrt(s2 + (alpha[best] + beta[best]) ** np.arange(len(out)) * (var[-1, best] - s2))
-        np.testing.assert_allclose(out.y_pred, std * garch.ANNUAL, rtol=1e-5)
-        np.testing.assert_allclose(out.var_95, np.mean(r) + garch.NORMAL_LOWER[0.95] * std, rtol=1e-5, atol=1e-9)
-
-
 def test_permutation_is_one_to_one(design):
     pdf, df = design
     got = trees.permuted(df, "x1").toPandas()

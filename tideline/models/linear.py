@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.gram import group_moments
+from tideline.functions.gram import group_moments, range_moments
 from tideline.functions.layout import DAILY, Series, over_series
 from tideline.functions.skew import join_stats
-from tideline.operators.folds import fold_frames
+from tideline.operators.folds import held_out
 
 # Two-sided standard normal quantiles by confidence level.
 NORMAL_TWO_SIDED = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
@@ -25,8 +25,17 @@ NORMAL_TWO_SIDED = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.
 def moments(rows: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
     """One row per group: count, means and population covariances of the features and, last, the target."""
     columns = [*features, target]
-    table = group_moments(rows, columns, keys, columns)
-    means = F.transform(F.sequence(F.lit(0), F.lit(len(features))), lambda i: F.get("mean", i * (len(columns) + 1)))
+    return _averaged(group_moments(rows, columns, keys, columns), columns, keys)
+
+
+def fold_moments(rows: DataFrame, folds: DataFrame, features: Sequence[str], target: str, keys: Sequence[str]) -> DataFrame:
+    """As ``moments``, of the train rows of every (keys, fold), without a copy of them per fold."""
+    columns = [*features, target]
+    return _averaged(range_moments(rows, folds, columns, keys, needed=columns), columns, [*keys, "fold"])
+
+
+def _averaged(table: DataFrame, columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    means = F.transform(F.sequence(F.lit(0), F.lit(len(columns) - 1)), lambda i: F.get("mean", i * (len(columns) + 1)))
     n = F.get("counts", F.lit(0))
     return table.select(*keys, n.cast("bigint").alias("n"), means.alias("means"), F.transform("comoment", lambda x: x / n).alias("cov"))
 
@@ -60,8 +69,12 @@ def fit_linear(rows: DataFrame, features: Sequence[str], target: str, keys: Sequ
 
     ``ridge`` is added to each feature variance as a share of it.
     """
-    table = moments(rows, features, target, keys).withColumn("_fit", least_squares(range(len(features)), ridge))
-    return table.select(*keys, "_fit.coefs", "_fit.intercept", "n", "_fit.sse")
+    return _solved(moments(rows, features, target, keys), features, keys, ridge)
+
+
+def _solved(table: DataFrame, features: Sequence[str], keys: Sequence[str], ridge: float) -> DataFrame:
+    fitted = table.withColumn("_fit", least_squares(range(len(features)), ridge))
+    return fitted.select(*keys, "_fit.coefs", "_fit.intercept", "n", "_fit.sse")
 
 
 def predict_linear(rows: DataFrame, model: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -84,8 +97,11 @@ def linear_frames(frames: DataFrame, features: Sequence[str], target: str = "y",
 
 
 def linear_folds(rows: DataFrame, folds: DataFrame, features: Sequence[str], target: str = "y", keys: Sequence[str] = ("asset",), name: str = "linear", ridge: float = 0.0) -> DataFrame:
-    """As ``linear_frames``, from rows and folds."""
-    return linear_frames(fold_frames(rows.na.drop(subset=[*features, target]), folds, keys), features, target, keys, name, ridge)
+    """As ``linear_frames``, from rows and folds: train rows are read once for all folds."""
+    keys, rows = list(keys), rows.na.drop(subset=[*features, target])
+    model = _solved(fold_moments(rows, folds, features, target, keys), features, [*keys, "fold"], ridge)
+    test = predict_linear(held_out(rows, folds, keys), model, features, [*keys, "fold"])
+    return test.select(*keys, F.lit(name).alias("model"), "fold", "ts", F.col(target).alias("y_true"), "y_pred")
 
 
 def linear_contribution_frames(frames: DataFrame, features: Sequence[str], target: str = "y") -> DataFrame:
@@ -150,7 +166,7 @@ def arx_folds(
 ) -> DataFrame:
     """AR(p) with exogenous columns on the d-differenced target ``y``, p chosen by AIC.
 
-    Coefficients come from partial aggregates over the train rows; the recursion runs over
+    Coefficients come from moments of blocks of rows, read once for all folds; the recursion runs over
     the test rows of one fold, whose number the splitter bounds. ``lower``/``upper`` are the
     forecast interval.
     """
@@ -162,11 +178,9 @@ def arx_folds(
         rows = over_series(rows, step, series, 1).drop("_rn", "_n").na.drop(subset=["_dy"])
     most = max(orders)
     laid = with_lags(rows, x, most, series).na.drop(subset=[f"lag_{most}"])
-    frames = fold_frames(laid, folds, keys)
-    train = frames.filter(F.col("role") == "train")
-    # one pass over the train rows; every order is solved from the same moments row
+    # every order is solved from the same moments row
     columns = [f"lag_{k}" for k in range(1, most + 1)] + features
-    table = moments(train, columns, x, [*keys, "fold"])
+    table = fold_moments(laid, folds, columns, x, keys)
     uses = {p: [*range(p), *range(most, len(columns))] for p in orders}
     table = table.withColumns({f"_c{p}": least_squares(use) for p, use in uses.items()})
     tries = []
@@ -176,7 +190,7 @@ def arx_folds(
         aic = F.col("n") * F.log(mse) + 2.0 * (len(use) + 1)
         tries.append(F.struct(aic.alias("aic"), F.lit(p).alias("p"), fit["coefs"].alias("coefs"), fit["intercept"].alias("intercept"), F.sqrt(mse).alias("sigma")))
     best = table.select(*keys, "fold", F.array_min(F.array(*tries)).alias("_m")).select(*keys, "fold", "_m.*").drop("aic")
-    test = frames.filter(F.col("role") == "test").join(best, [*keys, "fold"])
+    test = join_stats(held_out(laid, folds, keys), best, [*keys, "fold"])
     schema = "asset string, fold bigint, ts timestamp_ntz, p int, y_true double, y_pred double, std double, lower double, upper double"
     out = test.groupBy(*keys, "fold").applyInPandas(_recursion(features, d, NORMAL_TWO_SIDED[confidence]), schema)
     return out.withColumn("model", F.lit("arx"))

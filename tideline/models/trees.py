@@ -68,9 +68,9 @@ def balanced(train: DataFrame, target: str, ratio: float) -> tuple[DataFrame, st
 
 
 def _written(frames: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[dict]]:
-    """The rows as a table partitioned by the jobs' keys, and the keys."""
+    """The rows as a table partitioned by the jobs' keys, and the keys. A rebalanced write splits large keys by size."""
     path = shared_folder(frames.sparkSession, "frames")
-    frames.repartition(*by, F.pmod(F.xxhash64("ts"), F.lit(16))).write.partitionBy(*by).parquet(path)
+    frames.hint("rebalance", *(F.col(c) for c in by)).write.partitionBy(*by).parquet(path)
     table = frames.sparkSession.read.schema(frames.schema).parquet(path)
     return table, [r.asDict() for r in table.select(*by).distinct().orderBy(*by).collect()]
 

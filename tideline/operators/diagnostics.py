@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -125,7 +126,7 @@ def choose_differencing(df: DataFrame, x: str, series: Series = DAILY, most: int
     orders = [f"d{d}" for d in range(most + 1)]
     diffs = differences(df.select(*keys, series.time, x), x, series).select(*keys, series.time, *orders)
     long = diffs.unpivot([*keys, series.time], orders, "_order", "_x").filter(F.col("_x").isNotNull())
-    per_order = Series((*keys, "_order"), series.time, series.bucket_days, series.chunk_rows)
+    per_order = replace(series, keys=(*keys, "_order"))
     tested = stationarity(long, "_x", per_order)
     of = lambda d, c: F.max(F.when(F.col("_order") == f"d{d}", F.col(c)))
     cells = [of(d, c).alias(f"_{c}{d}") for d in range(most + 1) for c in ("is_stationary", "n")]

@@ -155,6 +155,11 @@ def fold_frames(rows: DataFrame, folds: DataFrame, keys: Sequence[str] = ("asset
     return range_join(rows, ranges, keys, position, "_lo", "_hi").drop("_lo", "_hi")
 
 
+def held_out(rows: DataFrame, folds: DataFrame, keys: Sequence[str] = ("asset",), position: str = "rn") -> DataFrame:
+    """The test rows of every fold, with ``fold``."""
+    return range_join(rows, folds.select(*keys, "fold", "test_lo", "test_hi"), list(keys), position, "test_lo", "test_hi").drop("test_lo", "test_hi")
+
+
 def fold_index(frames: DataFrame, keys: Sequence[str] = ("asset",), time: str = "ts") -> DataFrame:
     """Per fold: first and last train and test time, and sizes."""
     cols = []
@@ -204,7 +209,7 @@ def scale_folds(
     stats = frames.groupBy(*keys, "fold").agg(*aggs)
     scale = lambda c: F.when(F.col(f"_b_{c}") > 0, F.col(f"_b_{c}")).otherwise(F.lit(1.0))
     return (
-        frames.join(stats, [*keys, "fold"])
+        join_stats(frames, stats, [*keys, "fold"])
         .withColumns({c: (F.col(c) - F.col(f"_a_{c}")) / scale(c) for c in cols})
         .select(*frames.columns)
     )
@@ -225,7 +230,7 @@ def log_targets(frames: DataFrame, target: str = "y", keys: Sequence[str] = ("as
     low = frames.groupBy(*keys, "fold").agg(F.min(F.when(F.col("role") == "train", F.col(target))).alias("_low"))
     logged = F.coalesce(F.col("_low") > 0, F.lit(False))
     value = F.when(F.col("logged"), F.log(F.when(F.col(target) + eps > 0, F.col(target) + eps))).otherwise(F.col(target))
-    return frames.join(low, [*keys, "fold"]).withColumn("logged", logged).withColumn(target, value).drop("_low")
+    return join_stats(frames, low, [*keys, "fold"]).withColumn("logged", logged).withColumn(target, value).drop("_low")
 
 
 def infer_task(frames: DataFrame, target: str = "y", keys: Sequence[str] = ("asset",), most: int = 10) -> DataFrame:

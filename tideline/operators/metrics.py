@@ -208,7 +208,7 @@ def naive_predictions(frames: DataFrame, target: str = "y", keys: Sequence[str]
     """Test rows predicted by the last train value of their fold."""
     last = last_train_value(frames, target, keys, time)
     test = frames.filter((F.col("role") == "test") & F.col(target).isNotNull())
-    return test.join(last, list(keys)).select(*keys, time, F.col(target).alias("y_true"), F.col("last_value").alias("y_pred"))
+    return join_stats(test, last, keys, salt=(time,)).select(*keys, time, F.col(target).alias("y_true"), F.col("last_value").alias("y_pred"))
 
 
 def last_sign_predictions(frames: DataFrame, target: str = "y", keys: Sequence[str] = ("asset", "fold"), time: str = "ts") -> DataFrame:

@@ -103,7 +103,7 @@ def uniform_eval(
     scaled = scale_sequences(frames, "x_seq", cfg.lookback, kind=cfg.scaling)
     names = [f"x{i}" for i in range(cfg.lookback)]
     flat = scaled.select("asset", "fold", "role", "ts", "y", *[F.col("x_flat")[i].alias(n) for i, n in enumerate(names)])
-    flat = flat.persist()  # read once per model and role; lost blocks are recomputed
+    flat = materialise(flat, "sequences")  # read once per model and role
     keys, parts = ["asset", "fold"], []
     for name, ridge in models.items():
         model = fit_linear(flat.filter(F.col("role") == "train"), names, "y", keys, ridge)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tideline.config import Settings
 from tideline.functions.layout import DAILY, Series, fitted, forward_fill, with_position
 from tideline.functions.safe import finite
+from tideline.functions.skew import join_stats
 from tideline.models.linear import linear_contribution_frames, linear_frames
 from tideline.models.trees import tree_frames
 from tideline.operators import align, cleaning, labels, selection
@@ -101,7 +102,7 @@ FRAME_JOBS: dict[str, Callable[[DataFrame, Sequence[str], str, int], DataFrame]]
 
 def _last_class(frames: DataFrame) -> DataFrame:
     last = last_train_value(frames, "regime_code")
-    test = frames.filter(F.col("role") == "test").join(last, ["asset", "fold"])
+    test = join_stats(frames.filter(F.col("role") == "test"), last, ["asset", "fold"])
     return test.select("asset", "fold", "ts", F.col("regime_code").cast("double").alias("y_true"), F.col("last_value").cast("double").alias("y_pred"))
 
 
@@ -182,7 +183,7 @@ def full_run(
     preds = store.load("predictions", run_id).drop("run_id")
     reg, clf = preds.filter(F.col("task") == "regression"), preds.filter(F.col("task") == "classification")
     on = ["asset", "model", "task", "fold"]
-    last = last_train_value(frames).join(frames.filter(F.col("role") == "test"), ["asset", "fold"])
+    last = join_stats(frames.filter(F.col("role") == "test"), last_train_value(frames), ["asset", "fold"])
     base = regression_metrics(last.select("asset", "fold", F.col("y").alias("y_true"), F.col("last_value").alias("y_pred")), ["asset", "fold"])
     base = base.select("asset", "fold", *[F.col(c).alias(f"baseline_{c}") for c in ("mse", "mae", "r2")])
     errors = regression_metrics(reg, on).join(base, ["asset", "fold"], "left")

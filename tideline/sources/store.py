@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tideline.sources.bars import read_table
 
 KEYS = ("asset", "model", "task")
-SPLIT = 8
 
 
 def path_name(value: str) -> str:
@@ -38,10 +37,9 @@ class ResultStore:
             df = df.withColumn("run_id", F.lit(run_id))
             by = ("run_id", *by)
         by = [c for c in by if c in df.columns]
-        spread_on = [c for c in ("ts", "fold", "feature") if c in df.columns]
-        if by and spread_on:
-            # a hot (asset, model, task) is split over several files
-            df = df.withColumn("_s", F.pmod(F.xxhash64(*spread_on), F.lit(SPLIT))).repartition(*by, "_s").drop("_s")
+        if by:
+            # few files per key, and a hot (asset, model, task) is split by its size
+            df = df.hint("rebalance", *(F.col(c) for c in by))
         path, by = self.path(table), list(by)
         if run_id is not None and mode == "overwrite":
             # the run's folder is replaced whole, so nothing of a former run of the same name is left

@@ -20,6 +20,7 @@ from workloads.fixtures import (
     priority_bars,
     rnd,
     roll,
+    table,
     with_sql,
 )
 from workloads.registry import query
@@ -127,12 +128,15 @@ def module_concat(spark, sf):
 
 
 @query("asof_ffill", with_sql(SLOPE, SLOPE2, REGIME,
-    "lab AS (SELECT asset, ts, regime FROM regime WHERE dayofmonth(ts) <= 4)",
-    select="SELECT r.asset, r.ts, lab.regime FROM r ASOF LEFT JOIN lab ON lab.asset = r.asset AND r.ts >= lab.ts"))
+    "lab AS (SELECT asset, ts, regime FROM regime WHERE regime IS NOT NULL)",
+    "sh AS (SELECT DISTINCT o_orderpriority AS asset, l_shipdate AS ts FROM lineitem JOIN orders ON o_orderkey = l_orderkey)",
+    select="SELECT sh.asset, sh.ts, lab.regime FROM sh ASOF LEFT JOIN lab ON lab.asset = sh.asset AND sh.ts >= lab.ts"))
 def asof_ffill(spark, sf):
-    bars = priority_bars(spark, sf)
-    labels = features(bars, ["regimes"]).select("asset", "ts", "regime").filter(F.col("regime").isNotNull() & (F.dayofmonth("ts") <= 4))
-    return A.asof_join(bars.select("asset", "ts"), labels, ["regime"])
+    """The regime known on each shipping day of a priority's orders, from the labels of its order days."""
+    labels = features(priority_bars(spark, sf), ["regimes"]).select("asset", "ts", "regime").filter(F.col("regime").isNotNull())
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("asset"))
+    shipped = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("ts")).join(orders, "o_orderkey")
+    return A.asof_join(shipped.select("asset", "ts").distinct(), labels, ["regime"])
 
 
 @query("align_inner", with_sql(VOL5, TARGET, f"f AS (SELECT *, lag(ret, 31) OVER ({W}) AS lag1 FROM r)",

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tideline.config import SplitSettings
 from tideline.functions.layout import with_position
 from tideline.functions.safe import finite
-from tideline.models import garch, linear, mixture, trees
+from tideline.models import linear, mixture, trees
 from tideline.operators import folds as X
 from tideline.operators.align import returns
 from tideline.operators.features import features
-from tideline.operators.labels import volatility_regimes
 from tideline.operators.reports import market_of
 from tideline.plans import evaluate, transfer
 from workloads.fixtures import ASSETS, PREDS, US_ASSETS, forecast_rows, priority_bars, rnd, sliding_folds, with_sql
@@ -128,20 +127,6 @@ def forecast_interval(spark, sf):
     return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))), ("wider", F.col("_wider")))
 
 
-@query("fit_garch", counted("positive", "ordered"))
-def fit_garch(spark, sf):
-    rows = model_rows(spark, sf)
-    out = garch.garch_folds(rows, folds_of(rows))
-    return per_fold(out, ("positive", F.col("y_pred") > 0), ("ordered", F.col("var_99") < F.col("var_95")))
-
-
-@query("garch_volatility", with_sql(select="SELECT asset, count(ret) AS rows, TRUE AS positive, TRUE AS persistent FROM r GROUP BY asset"))
-def garch_volatility(spark, sf):
-    """Conditional volatility of every return, then its regimes."""
-    out = volatility_regimes(garch.conditional_volatility(returns(priority_bars(spark, sf))), "cond_vol")
-    return out.groupBy("asset").agg(F.count("ret").alias("rows"), F.bool_and(F.col("cond_vol") > 0).alias("positive"), F.bool_and((F.col("alpha") > 0) & (F.col("beta") > 0) & (F.col("alpha") + F.col("beta") < 1)).alias("persistent"))
-
-
 @query("regime_mixture", with_sql(
     f"m AS (SELECT *, CASE WHEN asset IN ('1-URGENT', '2-HIGH') THEN 'US' ELSE 'AU' END AS market FROM r WHERE ret IS NOT NULL)",
     select="SELECT market, count(*) AS rows, TRUE AS certain, TRUE AS ordered FROM m GROUP BY market"))

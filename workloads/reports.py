@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions.safe import rounded
+from tideline.models.linear import fit_linear
 from tideline.operators import ensemble as E
 from tideline.operators import metrics as M
 from tideline.operators import reports as R
+from tideline.session import shared_folder
+from tideline.sources.store import ResultStore
 from workloads.fixtures import ASSETS, FOLD_METRICS_SQL, PREDS, US_ASSETS, predictions_reg, prediction_ctes, rnd, with_sql
 from workloads.metrics import conf_sql
 from workloads.registry import query
@@ -200,9 +203,13 @@ def compare_runs(spark, sf):
     return shown(out, {"step60": 6, "step30": 6}, ("asset", "model", "task"))
 
 
-@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds WHERE y_pred > 20)"))
+@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds GROUP BY 1, 2 HAVING regr_slope(y_true, y_pred) > 0.25)"))
 def saved_model_semi(spark, sf):
-    registry = predictions_reg(spark, sf).filter(F.col("y_pred") > 20).select("asset", "model").distinct()
+    """Results whose calibration, a line from forecast to outcome, was good enough to be saved."""
+    fitted = fit_linear(predictions_reg(spark, sf), ["y_pred"], "y_true", ["asset", "model"])
+    saved = ResultStore(spark, shared_folder(spark, "results"))
+    saved.save("calibrations", fitted.filter(F.get("coefs", F.lit(0)) > 0.25), "run-a", by=())
+    registry = saved.load("calibrations", "run-a").select("asset", "model")
     return results(spark, sf).select("asset", "model", "task").join(registry, ["asset", "model"], "left_semi")
 
 
