@@ -62,6 +62,51 @@ def test_moments_equal_numpy(spark):
             assert abs(r["corr"] - want.loc[r["feature_1"], r["feature_2"]]) < 1e-9
 
 
+def test_many_matrices_of_one_group_are_merged_in_a_stream(spark, monkeypatch):
+    from tideline.functions import gram
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(5, 2, (4000, 3))
+    pdf = pd.DataFrame(x, columns=list("abc")).assign(g="hot")
+    df = spark.createDataFrame(pdf).repartition(500)
+    parts = gram._partial(df, list("abc"), ["g"])
+    assert parts.count() > 400
+    one = gram.merged_moments(parts, ["g"]).collect()
+    assert len(one) == 1 and one[0]["counts"][0] == 4000
+    same(np.reshape(one[0]["comoment"], (3, 3)) / 4000, np.cov(x.T, ddof=0), 1e-9)
+
+
+def test_moments_of_folds_equal_copied_rows(design):
+    from tideline.functions.gram import range_moments
+
+    pdf, df = design
+    ranges = [(a, f, lo, hi) for a in ("a", "b") for f, (lo, hi) in enumerate([(0, 40), (0, 250), (3, 280), (17, 18), (5, 5), (100, 128), (64, 192)])]
+    folds = df.sparkSession.createDataFrame(ranges, "asset string, fold bigint, train_lo bigint, train_hi bigint")
+    cols = ["x1", "x2", "y"]
+    got = {(r["asset"], r["fold"]): r for r in range_moments(df, folds, cols, ["asset"], width=32).collect()}
+    assert len(got) == 12  # an empty range has no row
+    for a, f, lo, hi in ranges:
+        x = pdf[(pdf.asset == a) & (pdf.rn >= lo) & (pdf.rn < hi)][cols].to_numpy()
+        if len(x):
+            assert got[a, f]["counts"][0] == len(x)
+            same(np.reshape(got[a, f]["mean"], (3, 3))[:, 0], x.mean(0), 1e-12)
+            same(np.reshape(got[a, f]["comoment"], (3, 3)), (x - x.mean(0)).T @ (x - x.mean(0)), 1e-9)
+
+
+def test_linear_folds_equal_a_fit_per_fold(design):
+    pdf, df = design
+    folds = X.walk_forward_splits(X.lengths(df), SplitSettings(n_splits=4, test_size=30))
+    got = linear.linear_folds(df, folds, ["x1", "x2"])
+    assert "train" not in got._jdf.queryExecution().optimizedPlan().toString().replace("train_lo", "").replace("train_hi", "")
+    got = got.toPandas()
+    for f in folds.collect():
+        g = pdf[pdf.asset == f.asset]
+        a, b = (g[(g.rn >= lo) & (g.rn < hi)] for lo, hi in ((f.train_lo, f.train_hi), (f.test_lo, f.test_hi)))
+        coef, *_ = np.linalg.lstsq(np.c_[a.x1, a.x2, np.ones(len(a))], a.y, rcond=None)
+        mine = got[(got.asset == f.asset) & (got.fold == f.fold)].sort_values("ts")
+        same(mine.y_pred, np.c_[b.x1, b.x2, np.ones(len(b))] @ coef, 1e-7)
+
+
 def test_collinear_features_stay_finite(design):
     _, df = design
     rows = df.withColumn("x3", F.col("x1") * 2).withColumn("zero", F.lit(0.0))
@@ -97,6 +142,28 @@ def test_trees_predict_every_test_row(design):
     assert len(out) == folds.selectExpr("sum(test_hi - test_lo)").first()[0] and np.isfinite(out.y_pred).all()
 
 
+def test_halving_finds_the_winner_of_the_full_grid_and_is_resumed(spark, design, monkeypatch, tmp_path):
+    _, df = design
+    folds = X.time_series_splits(X.lengths(df), 3)
+    grid = {"maxDepth": [1, 4], "maxIter": [1, 6], "stepSize": [0.3]}
+    ledger, fits, plain = str(tmp_path / "ledger"), [], trees.fit
+
+    def counted(*args, **params):
+        fits.append(params)
+        return plain(*args, **params)
+
+    monkeypatch.setattr(trees, "fit", counted)
+    got = trees.halving_search(df, folds, ["x1", "x2"], "y", grid, keep=2, ledger=ledger).collect()
+    full = trees.grid_search(df, folds, ["x1", "x2"], "y", grid)
+    best = full.filter("is_best").first()
+    assert got[0]["params"] == best["params"] and [r["rank"] for r in got] == [1, 2, 3, 4] and sorted(r["folds"] for r in got) == [1, 1, 2, 2]
+    entries = spark.read.parquet(ledger).toPandas()
+    assert len(entries) == 6 and not entries.duplicated(["params", "fold"]).any()
+    fits.clear()
+    again = trees.halving_search(df, folds, ["x1", "x2"], "y", grid, keep=2, ledger=ledger).collect()
+    assert not fits and again == got
+
+
 def test_ensembles(spark):
     rows = [("a", 0, 1, m, 1, p) for m, p in (("m1", 2), ("m2", 1), ("m3", 2))] + [("a", 0, 2, m, 0, p) for m, p in (("m1", 2), ("m2", 0))]
     df = spark.createDataFrame(rows, "asset string, fold int, ts int, model string, y_true int, y_pred int")

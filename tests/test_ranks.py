@@ -35,6 +35,45 @@ def test_quantiles_match_numpy(spark):
     assert abs(alone["m"] - pdf.v.median()) < 1e-12
 
 
+def test_quantiles_of_spread_and_tied_values(spark):
+    """Heavy tails, few rows, ties at the wanted ranks, infinities; and more rows than the sketch holds."""
+    rng = np.random.default_rng(2)
+    groups = {
+        "tails": np.exp(rng.normal(0, 30, 60_000)) * rng.choice([-1, 1], 60_000), "narrow": 100 + rng.random(40_000) * 1e-9, "ties": np.repeat([1.0, 2.0, 3.0], [10_000, 10_001, 9_999]),
+        "one": np.array([4.0]), "two": np.array([4.0, 5.0]), "six": np.arange(6.0), "long": np.arange(99.0), "inf": np.array([-np.inf, 1.0, 2.0, 3.0, np.inf]),
+    }
+    pdf = pd.concat([pd.DataFrame({"k": k, "v": v}) for k, v in groups.items()])
+    df = spark.createDataFrame(pdf).repartition(7)
+    probs = {f"p{i}": i / 10 for i in range(11)} | {"q1": 0.25, "q67": 0.67, "high": 0.9999}
+    got = exact_quantiles(df, ["k"], "v", probs).toPandas().set_index("k")
+    for k, v in groups.items():
+        assert got.loc[k, "n"] == len(v)
+        for name, p in probs.items():
+            if k == "inf" and name not in ("p5", "q1"):
+                continue  # between an infinity and a number there is none
+            want = np.quantile(v, p)
+            assert abs(got.loc[k, name] - want) <= 1e-12 * max(1.0, abs(want)), (k, name)
+
+
+def exchanges(df):
+    """Shuffles of the plan that ran, without broadcasts; reused ones count once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[0]
+    return sum("Exchange " in line and "Broadcast" not in line and "Reused" not in line for line in plan.splitlines())
+
+
+def test_quantiles_deal_out_no_rows(spark, long_df):
+    from tideline.operators.cleaning import impute_for_training, quality_report
+    from tideline.operators.selection import mutual_information
+
+    df = long_df.withColumn("word", F.col("asset"))
+    assert exchanges(exact_quantiles(df, ["asset"], "close", {"m": 0.5})) <= 3
+    assert exchanges(quality_report(df, ["open", "close"])) <= 12
+    assert exchanges(impute_for_training(df, ["open", "high"], "close", ["word"])) <= 12
+    assert exchanges(mutual_information(df, ["open", "high"], "close")) <= 12
+
+
 def test_ranks_match_pandas(spark):
     pdf, df = hot(spark, 3000)
     got = average_ranks(df, ["k"], "v", "r").toPandas()

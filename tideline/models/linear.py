@@ -17,6 +17,7 @@ from tideline.functions.gram import group_moments, range_moments
 from tideline.functions.layout import DAILY, Series, over_series
 from tideline.functions.skew import join_stats
 from tideline.operators.folds import held_out
+from tideline.session import materialise
 
 # Two-sided standard normal quantiles by confidence level.
 NORMAL_TWO_SIDED = {0.80: 1.2815515655446004, 0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.5758293035489004}
@@ -160,7 +161,7 @@ def arx_folds(
     folds: DataFrame,
     features: Sequence[str] = (),
     orders: Sequence[int] = (1, 2, 3),
-    d: int = 0,
+    d: int | str = 0,
     confidence: float = 0.95,
     series: Series = DAILY,
 ) -> DataFrame:
@@ -168,16 +169,24 @@ def arx_folds(
 
     Coefficients come from moments of blocks of rows, read once for all folds; the recursion runs over
     the test rows of one fold, whose number the splitter bounds. ``lower``/``upper`` are the
-    forecast interval.
+    forecast interval. ``d="auto"`` differences a fold where its train rows show a unit root.
     """
     features, keys = list(features), list(series.keys)
+    if d == "auto":
+        from tideline.operators.unitroot import by_differencing, fold_differencing
+
+        rows = rows.select(*keys, "ts", "rn", "y", *features).na.drop()
+        chosen = materialise(fold_differencing(rows, folds, "y", series), "differencing")
+        plain, once = (arx_folds(rows, by_differencing(folds, chosen, keys, k), features, orders, k, confidence, series) for k in (0, 1))
+        return plain.unionByName(once)
     x = "_dy" if d else "y"
     rows = rows.select(*keys, "ts", "rn", "y", *features).na.drop()
     if d:
         step = lambda t, w: t.withColumns({"_dy": F.col("y") - F.lag("y", 1).over(w), "level": F.lag("y", 1).over(w)})
         rows = over_series(rows, step, series, 1).drop("_rn", "_n").na.drop(subset=["_dy"])
     most = max(orders)
-    laid = with_lags(rows, x, most, series).na.drop(subset=[f"lag_{most}"])
+    # read for the blocks, the edges and the test rows
+    laid = materialise(with_lags(rows, x, most, series).na.drop(subset=[f"lag_{most}"]), "lagged")
     # every order is solved from the same moments row
     columns = [f"lag_{k}" for k in range(1, most + 1)] + features
     table = fold_moments(laid, folds, columns, x, keys)
@@ -190,6 +199,8 @@ def arx_folds(
         aic = F.col("n") * F.log(mse) + 2.0 * (len(use) + 1)
         tries.append(F.struct(aic.alias("aic"), F.lit(p).alias("p"), fit["coefs"].alias("coefs"), fit["intercept"].alias("intercept"), F.sqrt(mse).alias("sigma")))
     best = table.select(*keys, "fold", F.array_min(F.array(*tries)).alias("_m")).select(*keys, "fold", "_m.*").drop("aic")
+    # a row per fold; written, as the optimiser takes long over such expressions below a join
+    best = materialise(best, "arx_models")
     test = join_stats(held_out(laid, folds, keys), best, [*keys, "fold"])
     schema = "asset string, fold bigint, ts timestamp_ntz, p int, y_true double, y_pred double, std double, lower double, upper double"
     out = test.groupBy(*keys, "fold").applyInPandas(_recursion(features, d, NORMAL_TWO_SIDED[confidence]), schema)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.skew import join_stats
+from tideline.models.contributions import tree_contributions
 from tideline.operators.folds import fold_frames
 from tideline.operators.metrics import regression_metrics
 from tideline.session import shared_folder
@@ -99,12 +100,14 @@ def tree_frames(
     threads: int = 4,
     per_asset: bool = False,
     imbalance: float = 5.0,
+    explained: str | None = None,
     **params,
 ) -> DataFrame:
     """Walk-forward predictions of one tree model per fold over all assets, on prepared frames (fold, role).
 
     Each asset's mean train target of the fold is a feature, so the model tells assets apart. Classes are weighted where
-    the largest train class is ``imbalance`` times the smallest or more.
+    the largest train class is ``imbalance`` times the smallest or more. ``explained``: a folder for the contributions
+    of each feature to each prediction (asset, fold, ts, feature, value, contribution, base), ``_level`` among them.
     """
     spark = frames.sparkSession
     frames = frames.select("asset", "fold", "role", "ts", target, *features).na.drop(subset=[target, *features])
@@ -126,6 +129,8 @@ def tree_frames(
         model = fit(train, used, target, kind, task, classes, weight, **params)
         scored = predict(model, here.filter(F.col("role") == "test"), used, target)
         scored.select("asset", "fold", "ts", F.col("y_true").cast("double"), "y_pred", "y_prob").write.parquet(f"{out}/job={number}")
+        if explained is not None:
+            tree_contributions(model, here.filter(F.col("role") == "test"), used, ["asset", "fold", "ts"]).write.mode("overwrite").parquet(f"{explained}/job={number}")
 
     with ThreadPool(threads) as pool:
         pool.map(one, list(enumerate(jobs)))
@@ -169,6 +174,74 @@ def grid_search(
     return out.withColumn("is_best", F.col("params") == best)
 
 
+#: Fits whose scores are entered in the ledger at once.
+ENTRIES = 16
+
+
+def halving_search(
+    rows: DataFrame,
+    folds: DataFrame,
+    features: Sequence[str],
+    target: str,
+    grid: dict[str, Sequence],
+    kind: str = "gbt",
+    task: str = "regression",
+    classes: int = 2,
+    keep: int = 3,
+    threads: int = 4,
+    ledger: str | None = None,
+) -> DataFrame:
+    """(params, folds, score, rank): parameter sets by successive halving over expanding time folds.
+
+    Every set is scored on the first fold; of those left, the best ``keep``-th part by mean score goes on to the next fold,
+    whose train rows hold all before, until one set is left or the folds end. The score is the RMSE, or the share of wrong
+    classes. Fits run side by side, and scores are appended to the table ``ledger``: a search that is called again with
+    the same folder repeats no fit. Sets that go further rank before those that do not.
+    """
+    from tideline.sources.store import exists
+
+    spark = rows.sparkSession
+    ledger = ledger or shared_folder(spark, "ledger")
+    frames = fold_frames(rows, folds).select("asset", "fold", "role", "ts", target, *features)
+    table, jobs = _written(frames, ["fold"])
+    sets = {", ".join(f"{k}={v}" for k, v in zip(grid, values, strict=True)): dict(zip(grid, values, strict=True)) for values in product(*grid.values())}
+    scores = {(r["params"], r["fold"]): r["score"] for r in spark.read.parquet(ledger).collect()} if exists(spark, ledger) else {}  # a row per fit
+
+    def one(job):
+        label, fold = job
+        here = table.filter(F.col("fold") == fold)
+        model = fit(here.filter(F.col("role") == "train"), features, target, kind, task, classes, **sets[label])
+        scored = predict(model, here.filter(F.col("role") == "test"), features, target)
+        wrong = F.avg((F.col("y_pred") != F.col("y_true")).cast("double"))
+        score = scored.agg(wrong if task == "classification" else F.sqrt(F.avg((F.col("y_pred") - F.col("y_true")) ** 2))).first()[0]
+        return label, fold, score
+
+    def enter(found: list[tuple]) -> None:
+        if found:
+            spark.createDataFrame(found, "params string, fold long, score double").coalesce(1).write.mode("append").parquet(ledger)
+            scores.update({(label, fold): score for label, fold, score in found})
+
+    alive, done, ranked = list(sets), [], []
+    with ThreadPool(threads) as pool:
+        for fold in [j["fold"] for j in jobs]:
+            held: list[tuple] = []
+            for result in pool.imap_unordered(one, [(label, fold) for label in alive if (label, fold) not in scores]):
+                held.append(result)
+                if len(held) == ENTRIES:
+                    enter(held)
+                    held = []
+            enter(held)
+            done.append(fold)
+            mean = {label: sum(scores[label, f] for f in done) / len(done) for label in alive}
+            alive.sort(key=lambda label: (mean[label], label))
+            left = 1 if fold == jobs[-1]["fold"] else max(1, len(alive) // keep)
+            ranked = [(label, len(done), mean[label]) for label in alive[left:]] + ranked
+            best, alive = (alive[0], len(done), mean[alive[0]]), alive[:left]
+            if len(alive) == 1:
+                break
+    return spark.createDataFrame([(*r, i) for i, r in enumerate([best, *ranked], 1)], "params string, folds long, score double, rank long")
+
+
 def feature_importances(model: PipelineModel, spark, features: Sequence[str]) -> DataFrame:
     """Split-based importances of a fitted tree model, one row per configured feature."""
     values = model.stages[-1].featureImportances.toArray().tolist()

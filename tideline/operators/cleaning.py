@@ -11,6 +11,7 @@ from tideline.functions.layout import DAILY, Series, backward_fill, forward_fill
 from tideline.functions.ranks import exact_quantiles
 from tideline.functions.safe import finite, is_inf
 from tideline.functions.skew import join_stats
+from tideline.session import materialise
 
 
 def unpivot(df: DataFrame, keep: Sequence[str], cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -58,7 +59,9 @@ def impute_for_training(
         # most rows first, then smallest text: min over (-count, text)
         modes = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_k")).alias("k"), F.col(c).alias("v")))["v"].alias("_mode"))
         out = join_stats(out, modes, keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_mode"), F.lit("Unknown"))).drop("_mode")
-    out = backward_fill(forward_fill(out, [target], series), [target], series)
+    # each fill reads its input twice
+    out = materialise(forward_fill(materialise(out, "imputed"), [target], series), "carried")
+    out = backward_fill(out, [target], series)
     return out.filter(F.col(target).isNotNull())
 
 
@@ -85,8 +88,10 @@ def quality_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count_if(is_inf("value")).alias("infinite"), F.count_if(F.col("value").isNull()).alias("missing")
     )
     mids = exact_quantiles(long.withColumn("value", finite("value")), ["feature"], "value", {"_med": 0.5}).drop("n")
+    mids = materialise(mids, "medians")  # a row per feature, used three times
     fixed = join_stats(long, mids, ["feature"], "left", salt=["value"]).withColumn("value", F.coalesce(finite("value"), F.col("_med"))).drop("_med")
     edges = exact_quantiles(fixed, ["feature"], "value", {"_q1": 0.25, "_q3": 0.75}).drop("n")
+    edges = materialise(edges, "edges")
     iqr = F.col("_q3") - F.col("_q1")
     out = (F.col("value") < F.col("_q1") - 3 * iqr) | (F.col("value") > F.col("_q3") + 3 * iqr)
     outliers = join_stats(fixed, edges, ["feature"], salt=["value"]).groupBy("feature").agg(F.count_if(out).alias("outliers"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,93 +10,65 @@ from pyspark.sql import functions as F
 
 from tideline.config import WindowSettings
 from tideline.functions.layout import DAILY, Series
-from tideline.models.garch import garch_folds
-from tideline.models.linear import arx_folds, fit_linear, linear_folds, predict_linear
-from tideline.models.trees import tree_folds
 from tideline.operators.features import log_volatility, sequences
-from tideline.operators.folds import drop_bad_folds, fold_frames, lengths, scale_sequences, sliding_splits
-from tideline.operators.metrics import leaderboard, naive_predictions, rank_ic, regression_metrics
+from tideline.operators.folds import drop_bad_folds, fold_frames, held_out, lengths, scale_sequences, sliding_splits
+from tideline.operators.metrics import leaderboard, rank_ic, regression_metrics
+from tideline.plans.registry import CLASSIFICATION, REGRESSION, model_job, predict_folds
 from tideline.session import materialise
 
 PREDICTIONS = ("asset", "model", "fold", "ts", "y_true", "y_pred")
-Job = Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]
 
 
-def _naive(rows: DataFrame, folds: DataFrame, features: Sequence[str]) -> DataFrame:
-    return naive_predictions(fold_frames(rows, folds)).withColumn("model", F.lit("naive"))
-
-
-# A job takes rows (asset, ts, rn, ret, y, features), folds and feature names, and returns
-# the predictions columns. One model per (asset, fold): folds share nothing.
-JOBS: dict[str, Job] = {
-    "naive": _naive,
-    "linear": lambda rows, folds, features: linear_folds(rows, folds, features),
-    "arx": lambda rows, folds, features: arx_folds(rows, folds, features),
-    "garch": lambda rows, folds, features: garch_folds(rows, folds),
-    "gbt": lambda rows, folds, features: tree_folds(rows, folds, features, kind="gbt"),
-    "forest": lambda rows, folds, features: tree_folds(rows, folds, features, kind="forest"),
-}
-ALIASES = {"arima": "arx", "xgboost": "gbt", "boosting": "gbt", "random_forest": "forest"}
-
-
-def register_job(name: str, job: Job) -> None:
-    JOBS[name] = job
-
-
-def job(name: str) -> Job:
-    key = ALIASES.get(name.lower(), name.lower())
-    if key not in JOBS:
-        raise ValueError(f"unknown model {name!r}; available: {sorted(JOBS)}")
-    return JOBS[key]
-
-
-#: Models that leave out rows which lack a feature.
-ON_FEATURES = ("linear", "arx", "gbt", "forest")
-
-
-def expected_sizes(rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str]) -> DataFrame:
+def expected_sizes(rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str], task: str = REGRESSION, target: str = "y") -> DataFrame:
     """(asset, fold, model, test_size): test rows that a model has to predict."""
-    test = fold_frames(rows.filter(F.col("y").isNotNull()), folds).filter(F.col("role") == "test")
+    test = held_out(rows.filter(F.col(target).isNotNull()), folds)
     whole = F.lit(True)
     for f in features:
         whole = whole & F.col(f).isNotNull()
     sizes = test.groupBy("asset", "fold").agg(F.count(F.lit(1)).alias("_all"), F.count_if(whole).alias("_whole"))
-    cells = [F.struct(F.lit(m).alias("model"), F.col("_whole" if job(m) in [JOBS[k] for k in ON_FEATURES] else "_all").alias("test_size")) for m in models]
+    cells = [F.struct(F.lit(m).alias("model"), F.col("_whole" if model_job(m, task).whole_rows else "_all").alias("test_size")) for m in models]
     return sizes.select("asset", "fold", F.explode(F.array(*cells)).alias("_c")).select("asset", "fold", "_c.*")
 
 
 def fit_predict_folds(
-    rows: DataFrame, folds: DataFrame, features: Sequence[str], models: Sequence[str], log_epsilon: float | None = None
+    rows: DataFrame,
+    folds: DataFrame,
+    features: Sequence[str],
+    models: Sequence[str],
+    log_epsilon: float | None = None,
+    task: str = REGRESSION,
+    target: str = "y",
+    classes: int = 3,
 ) -> DataFrame:
     """Predictions of every model on every fold; folds with unusable predictions, or too few, are dropped.
 
     ``log_epsilon``: set where the target is a logged volatility. The volatility model works
     on returns and not on the target, so its forecast is logged the same way. Predictions are
-    written before they are tested, so no model is fitted twice.
+    written before they are tested, so no model is fitted twice. A classification has ``classes`` labels in ``target``.
     """
     parts = []
     for name in models:
-        run = job(name)
-        preds = run(rows, folds, features).select(*PREDICTIONS).withColumn("model", F.lit(name))
-        if log_epsilon is not None and run is JOBS.get("garch"):
+        preds = predict_folds(name, task, rows, folds, features, target, classes if task == CLASSIFICATION else 0)
+        preds = preds.withColumns({"model": F.lit(name), "y_true": F.col("y_true").cast("double"), "y_pred": F.col("y_pred").cast("double")}).select(*PREDICTIONS)
+        if log_epsilon is not None and task == REGRESSION and model_job(name).of_returns:
             preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
         parts.append(preds)
     written = materialise(reduce(DataFrame.unionByName, parts), "predictions")
-    return drop_bad_folds(written, expected=expected_sizes(rows, folds, features, models))
+    return drop_bad_folds(written, expected=expected_sizes(rows, folds, features, models, task, target))
 
 
 def uniform_eval(
     bars: DataFrame,
     targets: DataFrame,
     cfg: WindowSettings | None = None,
-    models: dict[str, float] | None = None,
+    models: Sequence[str] = ("linear", "ridge"),
     series: Series = DAILY,
 ) -> DataFrame:
-    """Leaderboard of linear models that all see the same folds and scaled look-back windows.
+    """Leaderboard of models that all see the same folds and scaled look-back windows.
 
-    ``models``: name -> ridge share. ``targets``: (asset, ts, y).
+    ``models``: those of the registry that predict from frames. ``targets``: (asset, ts, y).
     """
-    cfg, models = cfg or WindowSettings(), models or {"linear": 0.0, "ridge": 0.1}
+    cfg = cfg or WindowSettings()
     rows = sequences(bars, cfg.lookback, series=series).drop("y").join(targets.select("asset", "ts", "y"), ["asset", "ts"])
     folds = sliding_splits(lengths(bars), cfg.train, cfg.val, cfg.step)
     frames = fold_frames(rows.filter(F.col("y").isNotNull()), folds)
@@ -104,11 +76,7 @@ def uniform_eval(
     names = [f"x{i}" for i in range(cfg.lookback)]
     flat = scaled.select("asset", "fold", "role", "ts", "y", *[F.col("x_flat")[i].alias(n) for i, n in enumerate(names)])
     flat = materialise(flat, "sequences")  # read once per model and role
-    keys, parts = ["asset", "fold"], []
-    for name, ridge in models.items():
-        model = fit_linear(flat.filter(F.col("role") == "train"), names, "y", keys, ridge)
-        test = predict_linear(flat.filter(F.col("role") == "test"), model, names, keys)
-        parts.append(test.select("asset", F.lit(name).alias("model"), "fold", "ts", F.col("y").alias("y_true"), "y_pred"))
-    preds = reduce(DataFrame.unionByName, parts)
+    parts = [model_job(name).on_frames(flat, names, "y", 0).withColumn("model", F.lit(name)).select(*PREDICTIONS) for name in models]
+    preds = materialise(reduce(DataFrame.unionByName, parts), "predictions")
     on = ["asset", "model", "fold"]
     return leaderboard(regression_metrics(preds, on).join(rank_ic(preds, on), on))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Sequence
+import hashlib
+import json
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,8 +14,7 @@ from tideline.config import Settings
 from tideline.functions.layout import DAILY, Series, fitted, forward_fill, with_position
 from tideline.functions.safe import finite
 from tideline.functions.skew import join_stats
-from tideline.models.linear import linear_contribution_frames, linear_frames
-from tideline.models.trees import tree_frames
+from tideline.models.linear import linear_contribution_frames
 from tideline.operators import align, cleaning, labels, selection
 from tideline.operators.attribution import importance
 from tideline.operators.ensemble import majority_vote, weighted_mean
@@ -22,11 +22,11 @@ from tideline.operators.features import DEFAULT_MODULES, features, log_volatilit
 from tideline.operators.folds import drop_bad_folds, fold_frames, fold_index, impute_frames, lengths, scale_folds, select_frames, unsplit, walk_forward_splits
 from tideline.operators.metrics import classification_metrics, fold_summary, last_train_value, leaderboard, rank_ic, regime_metrics, regression_metrics
 from tideline.operators.reports import comparison_table, performance_summary
-from tideline.plans.evaluate import job
+from tideline.plans.registry import REGRESSION, model_job
 from tideline.plans.transfer import transfer_matrix
 from tideline.session import materialise
 from tideline.sources.bars import preprocess
-from tideline.sources.store import ResultStore
+from tideline.sources.store import Attempt, ResultStore
 
 ERRORS = ("mse", "rmse", "mae", "mape", "smape", "r2")
 SCORES = ("accuracy", "f1", "precision", "recall")
@@ -92,44 +92,39 @@ def prepared_frames(table: DataFrame, folds: DataFrame, names: Sequence[str], li
     return scale_folds(select_frames(frames, dropped, names), names), dropped
 
 
-#: Models that use features take prepared frames: (frames, features, target, classes) -> predictions. With classes they classify.
-FRAME_JOBS: dict[str, Callable[[DataFrame, Sequence[str], str, int], DataFrame]] = {
-    "linear": lambda frames, names, target, classes: linear_frames(frames, names, target),
-    "gbt": lambda frames, names, target, classes: tree_frames(frames, names, target, "gbt", "classification" if classes else "regression", classes),
-    "forest": lambda frames, names, target, classes: tree_frames(frames, names, target, "forest", "classification" if classes else "regression", classes),
-}
-
-
-def _last_class(frames: DataFrame) -> DataFrame:
-    last = last_train_value(frames, "regime_code")
-    test = join_stats(frames.filter(F.col("role") == "test"), last, ["asset", "fold"])
-    return test.select("asset", "fold", "ts", F.col("regime_code").cast("double").alias("y_true"), F.col("last_value").cast("double").alias("y_pred"))
+def _explained(run: Attempt, name: str) -> str:
+    return run.store.path(f"explained/{name}")
 
 
 def predictions(
-    table: DataFrame, folds: DataFrame, frames: DataFrame, names: Sequence[str], models: Sequence[str], classifiers: Sequence[str], log_epsilon: float | None
+    run: Attempt, table: DataFrame, folds: DataFrame, frames: DataFrame, names: Sequence[str], models: Sequence[str], classifiers: Sequence[str], log_epsilon: float | None
 ) -> tuple[DataFrame, DataFrame]:
     """(asset, model, task, fold, ts, y_true, y_pred) of every model, and (model, task, seconds).
 
-    Each model's predictions are written when it has run, so none is fitted twice. Seconds are those of fitting and
-    predicting all folds, as Spark does the two together.
+    Each model is a step of the run: its predictions are written when it has run, so none is fitted twice, also where a
+    run is resumed. Seconds are those of fitting and predicting all folds, as Spark does the two together.
     """
     spark, parts, times = table.sparkSession, [], []
     columns = ("asset", "model", "task", "fold", "ts", "y_true", "y_pred")
+
+    def fitted_by(name: str, task: str) -> DataFrame:
+        job = model_job(name, task)
+        target, classes = ("y", 0) if task == REGRESSION else ("regime_code", 3)
+        if job.on_frames is not None:
+            more = {"explained": _explained(run, name)} if job.explains and task == REGRESSION else {}
+            preds = job.on_frames(frames, names, target, classes, **more)
+        else:
+            preds = job.on_rows(table, folds, [], target, classes)
+        if job.of_returns and task == REGRESSION and log_epsilon is not None:
+            preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
+        tagged = preds.withColumns({"model": F.lit(name), "task": F.lit(task), "y_true": F.col("y_true").cast("double"), "y_pred": F.col("y_pred").cast("double")})
+        return tagged.select(*columns)
+
     for task, chosen in (("regression", models), ("classification", classifiers)):
         for name in chosen:
-            started = time.perf_counter()
-            if task == "classification":
-                preds = _last_class(frames) if name == "last" else FRAME_JOBS[name](frames, names, "regime_code", 3)
-            elif name in FRAME_JOBS:
-                preds = FRAME_JOBS[name](frames, names, "y", 0)
-            else:
-                preds = job(name)(table, folds, [])
-                if name == "garch" and log_epsilon is not None:
-                    preds = preds.withColumn("y_pred", log_volatility("y_pred", log_epsilon))
-            tagged = preds.withColumns({"model": F.lit(name), "task": F.lit(task), "y_true": F.col("y_true").cast("double"), "y_pred": F.col("y_pred").cast("double")})
-            parts.append(materialise(tagged.select(*columns), f"predictions-{name}"))
-            times.append((name, task, time.perf_counter() - started))
+            step = f"predictions_{task}_{name}"
+            parts.append(run.step(step, lambda name=name, task=task: fitted_by(name, task), by=()).select(*columns))
+            times.append((name, task, run.seconds[step]))
     both = reduce(DataFrame.unionByName, parts)
     for task, combine in (("regression", lambda p, m: weighted_mean(p, dict.fromkeys(m, 1.0))), ("classification", lambda p, m: majority_vote(p))):
         chosen = [n for n, t, _ in times if t == task and n not in ("naive", "last")]
@@ -139,6 +134,12 @@ def predictions(
     return both, spark.createDataFrame(times, "model string, task string, seconds double")
 
 
+def _digest(bars: DataFrame, config: dict) -> str:
+    """Of the settings, and of all bars by a sum of their hashes."""
+    rows = bars.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*bars.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(json.dumps([config, bars.columns, str(rows)], sort_keys=True).encode()).hexdigest()
+
+
 def full_run(
     bars: DataFrame,
     settings: Settings,
@@ -153,34 +154,41 @@ def full_run(
 ) -> dict[str, DataFrame]:
     """Run everything and write it below the store; returns the written tables.
 
-    Features, frames and predictions are written and read back, which cuts the lineage at shared storage: the fits behind
-    them are not repeated when executors are lost. ``sources``: assets whose linear models are scored on all others.
-    ``features_used``: only these of the built features. A run that is repeated under its name replaces its tables.
+    Every table is a step of an attempt, written and read back, which cuts the lineage at shared storage: the fits behind
+    it are not repeated when executors are lost, nor when a run that broke off is called again with the same bars and
+    settings. Readers see the tables of a run once all are written; a run that is repeated replaces them at once.
+    ``sources``: assets whose linear models are scored on all others. ``features_used``: only these of the built features.
     """
-    store.start_run(run_id, {"settings": settings.to_json(), "models": list(models), "classifiers": list(classifiers)})
+    config = {"settings": settings.to_json(), "models": list(models), "classifiers": list(classifiers)}
     cfg = settings.features
     clean = preprocess(bars)
+    chosen = {"sources": list(sources), "features_used": None if features_used is None else list(features_used), "context": {k: str(v) for k, v in sorted(context.items())}}
+    run = store.attempt(run_id, _digest(clean, config | chosen))
+    if not run.seconds:
+        store.start_run(run_id, config)
     # buckets short enough that no chunk of a dense series grows beyond its size
     context["series"] = fitted(clean, context.get("series", DAILY))
-    store.save("bar_checks", cleaning.validate_bars(clean), run_id, by=())
-    table, names, gone = feature_table(clean, settings, **context)
-    names = [n for n in names if features_used is None or n in features_used]
-    store.save("features", with_position(table.select("asset", "ts", *names, "y", "ret", "regime_code", "regime"), context["series"]), run_id, by=("asset",))
-    table = store.load("features", run_id).drop("run_id")
+    run.step("bar_checks", lambda: cleaning.validate_bars(clean), by=())
+    if not run.done("excluded", "features"):
+        table, names, gone = feature_table(clean, settings, **context)
+        names = [n for n in names if features_used is None or n in features_used]
+        run.step("excluded", lambda: gone, by=())
+        run.step("features", lambda: with_position(table.select("asset", "ts", *names, "y", "ret", "regime_code", "regime"), context["series"]), by=("asset",))
+    gone, table = run.load("excluded"), run.load("features")
+    names = [c for c in table.columns if c not in (*FIXED, "y", "rn", "n")]
     sizes = lengths(table)
-    folds = walk_forward_splits(sizes, settings.splits)
-    store.save("folds", folds, run_id, by=("asset",))
-    folds = store.load("folds", run_id).drop("run_id")
+    folds = run.step("folds", lambda: walk_forward_splits(sizes, settings.splits), by=("asset",))
     short = unsplit(sizes, folds).select("asset", F.col("n").alias("rows"), F.lit("too short for a fold").alias("reason"))
-    store.save("left_out", gone.unionByName(short), run_id, by=())
-    frames, dropped = prepared_frames(table, folds, names, keep=cfg.keep_high_correlation)
-    frames = materialise(frames, "prepared")
-    store.save("dropped_features", dropped, run_id, by=())
-
-    preds, times = predictions(table, folds, frames, names, models, classifiers, cfg.log_epsilon if cfg.use_log_target else None)
+    run.step("left_out", lambda: gone.unionByName(short), by=())
+    if not run.done("dropped_features", "prepared"):
+        frames, dropped = prepared_frames(table, folds, names, keep=cfg.keep_high_correlation)
+        run.step("dropped_features", lambda: dropped, by=())
+        run.step("prepared", lambda: frames, by=())
+    frames = run.load("prepared")
+
+    preds, times = predictions(run, table, folds, frames, names, models, classifiers, cfg.log_epsilon if cfg.use_log_target else None)
     expected = frames.filter(F.col("role") == "test").groupBy("asset", "fold").agg(F.count(F.lit(1)).alias("test_size"))
-    store.save("predictions", drop_bad_folds(preds, ("asset", "model", "task", "fold"), expected), run_id)
-    preds = store.load("predictions", run_id).drop("run_id")
+    preds = run.step("predictions", lambda: drop_bad_folds(preds, ("asset", "model", "task", "fold"), expected))
     reg, clf = preds.filter(F.col("task") == "regression"), preds.filter(F.col("task") == "classification")
     on = ["asset", "model", "task", "fold"]
     last = join_stats(frames.filter(F.col("role") == "test"), last_train_value(frames), ["asset", "fold"])
@@ -189,30 +197,33 @@ def full_run(
     errors = regression_metrics(reg, on).join(base, ["asset", "fold"], "left")
     per_fold = errors.unionByName(classification_metrics(clf, on), allowMissingColumns=True)
     per_fold = per_fold.join(times, ["model", "task"], "left").withColumnRenamed("seconds", "model_seconds")
-    store.save("fold_metrics", per_fold, run_id)
-    per_fold = store.load("fold_metrics", run_id).drop("run_id")
+    per_fold = run.step("fold_metrics", lambda: per_fold)
     summary = fold_summary(per_fold, [*ERRORS, *SCORES, "baseline_mse", "baseline_mae", "baseline_r2", "model_seconds"], KEYS)
-    store.save("metrics", summary, run_id)
-    summary = store.load("metrics", run_id).drop("run_id")
+    summary = run.step("metrics", lambda: summary)
     ranked = per_fold.filter(F.col("task") == "regression").join(rank_ic(reg, on), on, "left")
-    store.save_leaderboard(leaderboard(ranked.withColumnRenamed("model_seconds", "fit_time_s")))
-    store.save("performance", performance_summary(summary), run_id, by=())
-    store.save("comparison", comparison_table(summary), run_id, by=())
-    store.save("fold_index", fold_index(frames), run_id, by=("asset",))
+    board = run.step("ranking", lambda: leaderboard(ranked.withColumnRenamed("model_seconds", "fit_time_s")), by=())
+    run.step("performance", lambda: performance_summary(summary), by=())
+    run.step("comparison", lambda: comparison_table(summary), by=())
+    run.step("fold_index", lambda: fold_index(frames), by=("asset",))
     regimes = reg.join(table.select("asset", "ts", "regime"), ["asset", "ts"], "left")
-    store.save("regime_metrics", regime_metrics(regimes, KEYS, least=1), run_id)
+    run.step("regime_metrics", lambda: regime_metrics(regimes, KEYS, least=1))
     whole = selection.target_correlations(frames.filter(F.col("role") == "train"), names, ["y", "regime_code"])
-    store.save("leakage", selection.leakage_table(whole, "y"), run_id, by=())
+    run.step("leakage", lambda: selection.leakage_table(whole, "y"), by=())
     written = ["bar_checks", "features", "folds", "left_out", "dropped_features", "predictions", "fold_metrics", "metrics", "performance", "comparison", "fold_index", "regime_metrics", "leakage"]
-    if "linear" in models:
-        contributions = linear_contribution_frames(frames, names).withColumn("task", F.lit("regression"))
-        store.save("contributions", contributions, run_id)
-        store.save("importance", importance(store.load("contributions", run_id), KEYS), run_id)
+    explained = [m for m in models if model_job(m).explains]
+    if explained or "linear" in models:
+        columns = ("asset", "model", "fold", "ts", "feature", "value", "contribution")
+        parts = [linear_contribution_frames(frames, names).select(*columns)] if "linear" in models else []
+        parts += [run.store.spark.read.parquet(_explained(run, m)).withColumn("model", F.lit(m)).select(*columns) for m in explained]
+        contributions = run.step("contributions", lambda: reduce(DataFrame.unionByName, parts).withColumn("task", F.lit("regression")))
+        run.step("importance", lambda: importance(contributions, KEYS))
         written += ["contributions", "importance"]
     if sources:
-        rows = cleaning.fill_missing(table, names, context["series"])
-        store.save("transfer", transfer_matrix(rows, names, "y", sources), run_id, by=())
+        run.step("transfer", lambda: transfer_matrix(cleaning.fill_missing(table, names, context["series"]), names, "y", sources), by=())
         written.append("transfer")
+    run.commit()
+    store.save_leaderboard(board)
     if export:
         store.export_all(run_id, summary)
-    return {n: store.load(n, run_id) for n in written} | {"leaderboard": store.load("leaderboard")}
+    view = store.view(run_id)
+    return {n: view.load(n, run_id) for n in written} | {"leaderboard": store.load("leaderboard")}

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tideline.config import SplitSettings
+from tideline.config import SplitSettings, WindowSettings
 from tideline.functions.layout import with_position
 from tideline.functions.safe import finite
-from tideline.models import linear, mixture, trees
+from tideline.models import contributions, linear, mixture, trees
 from tideline.operators import folds as X
 from tideline.operators.align import returns
 from tideline.operators.features import features
 from tideline.operators.reports import market_of
 from tideline.plans import evaluate, transfer
-from workloads.fixtures import ASSETS, PREDS, US_ASSETS, forecast_rows, priority_bars, rnd, sliding_folds, with_sql
+from workloads.fixtures import ASSETS, PREDS, US_ASSETS, W, forecast_rows, priority_bars, rnd, sliding_folds, with_sql
 from workloads.registry import query
 from workloads.windows import shown
 
@@ -85,8 +85,9 @@ def fit_forest(spark, sf):
 
 @query("fit_arx", counted("ordered"))
 def fit_arx(spark, sf):
+    """All features; folds whose train rows show a unit root are differenced."""
     rows = model_rows(spark, sf)
-    out = linear.arx_folds(rows, folds_of(rows), NAMES[:4])
+    out = linear.arx_folds(rows, folds_of(rows), NAMES, d="auto")
     return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))))
 
 
@@ -148,12 +149,47 @@ def fit_predict_folds(spark, sf):
     return per_fold(evaluate.fit_predict_folds(rows, folds_of(rows), NAMES, _MODELS), keys=("asset", "model", "fold"))
 
 
-@query("uniform_eval", "SELECT 'linear' AS model, TRUE AS usable UNION ALL SELECT 'ridge', TRUE")
+_CLASSIFIERS = ("last", "gbt", "forest", "arx", "garch")
+
+
+@query("fit_predict_classes", counted("label", extra="model,", join=", (VALUES " + ", ".join(f"('{m}')" for m in _CLASSIFIERS) + ") AS k(model)"))
+def fit_predict_classes(spark, sf):
+    """Every classifier on every fold of the three-class label."""
+    rows = model_rows(spark, sf)
+    preds = evaluate.fit_predict_folds(rows, folds_of(rows), NAMES, _CLASSIFIERS, task="classification", target="three")
+    return per_fold(preds, ("label", F.col("y_pred").isin(0, 1, 2)), keys=("asset", "model", "fold"))
+
+
+# Windows of one row: the regressor is the close before. Ridge divides the slope by 1.1.
+_UNIFORM = (
+    f"ub AS (SELECT asset, rn, lag(close) OVER ({W}) AS x, lead(close) OVER ({W}) / close - 1 AS y, n FROM r)",
+    "uf AS (SELECT asset, unnest(range(0, CASE WHEN n >= 260 THEN (n - 260) // 60 + 1 ELSE 0 END)) AS fold FROM (SELECT DISTINCT asset, n FROM r))",
+    "ut AS (SELECT u.asset, fold, rn >= fold * 60 + 200 AS test, x, y FROM ub u JOIN uf f ON f.asset = u.asset AND rn >= fold * 60 AND rn < fold * 60 + 260 WHERE x IS NOT NULL AND y IS NOT NULL)",
+    "um AS (SELECT asset, fold, regr_slope(y, x) AS b, avg(x) AS mx, avg(y) AS my FROM ut WHERE NOT test GROUP BY 1, 2)",
+    "up AS (SELECT asset, fold, model, y, my + b / k * (x - mx) AS p FROM ut JOIN um USING (asset, fold), (VALUES ('linear', 1.0), ('ridge', 1.1)) AS m(model, k) WHERE test)",
+    "ue AS (SELECT asset, fold, model, avg((y - p) ** 2) AS mse, avg(abs(y - p)) AS mae FROM up GROUP BY ALL)",
+)
+
+
+@query("uniform_eval", with_sql(*_UNIFORM, select=f"SELECT model, {rnd('avg(mse)', 'mse_mean', 5)}, {rnd('avg(mae)', 'mae_mean', 5)}, {rnd('stddev_samp(mse)', 'mse_std', 5)}, {rnd('stddev_samp(mae)', 'mae_std', 5)} FROM ue GROUP BY model"))
 def uniform_eval(spark, sf):
+    """Linear and ridge regression on the same folds and windows."""
+    bars = priority_bars(spark, sf)
+    targets = features(bars, ["targets"]).select("asset", "ts", F.col("next_return").alias("y"))
+    out = evaluate.uniform_eval(bars, targets, WindowSettings(lookback=1))
+    return shown(out, dict.fromkeys(("mse_mean", "mae_mean", "mse_std", "mae_std"), 5), ("model",))
+
+
+_UNIFORM_MODELS = ("naive", "linear", "ridge", "gbt", "forest")
+
+
+@query("uniform_all", "SELECT model, TRUE AS usable FROM (VALUES " + ", ".join(f"('{m}')" for m in _UNIFORM_MODELS) + ") AS k(model)")
+def uniform_all(spark, sf):
+    """All models that predict from frames, on windows of ten rows."""
     bars = priority_bars(spark, sf)
     targets = features(bars, ["targets"]).select("asset", "ts", F.col("next_return").alias("y"))
-    out = evaluate.uniform_eval(bars, targets)
-    return out.select("model", ((F.col("mse_mean") > 0) & F.col("mae_mean").between(0, F.sqrt("mse_mean")) & F.col("ic_mean").between(-1, 1)).alias("usable"))
+    out = evaluate.uniform_eval(bars, targets, models=_UNIFORM_MODELS)
+    return out.select("model", ((F.col("mse_mean") > 0) & F.col("mae_mean").between(0, F.sqrt("mse_mean"))).alias("usable"))
 
 
 def _single(spark, sf):
@@ -190,13 +226,45 @@ def grid_search(spark, sf):
     return out.select("params", "folds", finite("rmse_mean").isNotNull().alias("finite"), best.alias("best"))
 
 
-@query("perm_importance", "SELECT feature, TRUE AS finite, TRUE AS better FROM (VALUES " + ", ".join(f"('{f}')" for f in NAMES) + ") AS k(feature)")
+_HALVING = {"maxDepth": [2, 4], "stepSize": [0.1, 0.3], "maxIter": [4, 8], "subsamplingRate": [0.7, 1.0], "featureSubsetStrategy": ["all", "onethird"]}
+
+
+@query("halving_search", "SELECT 32 AS sets, 1 AS winners, 32 AS first_round, TRUE AS finite, TRUE AS narrowing")
+def halving_search(spark, sf):
+    """Five parameters of two values each by successive halving: every set has a score, and each round keeps a third."""
+    rows = model_rows(spark, sf)
+    out = trees.halving_search(rows, X.time_series_splits(X.lengths(rows), 3), NAMES, "y", _HALVING)
+    later = F.count_if(F.col("folds") > 1)
+    return out.agg(
+        F.count(F.lit(1)).alias("sets"), F.count_if(F.col("rank") == 1).alias("winners"), F.count_if(F.col("folds") >= 1).alias("first_round"),
+        F.bool_and(finite("score").isNotNull()).alias("finite"), (later == 10).alias("narrowing"))
+
+
+@query("perm_importance", with_sql(*MODEL_ROWS, "ho AS (SELECT CAST(sum(n - CAST(floor(n * 0.7) AS BIGINT)) AS BIGINT) AS rows FROM mn)",
+    select="SELECT feature, rows, TRUE AS finite FROM ho, (VALUES " + ", ".join(f"('{f}')" for f in NAMES) + ") AS k(feature)"))
 def perm_importance(spark, sf):
-    """Importances of each feature; the fitted model beats the mean of its train rows."""
+    """Importances of each feature on the later rows of every asset, by a model fitted on the earlier ones."""
     rows = model_rows(spark, sf)
-    model = trees.fit(rows, NAMES, "y", "gbt", "regression")
+    start = F.floor(F.col("n") * 0.7)
+    model = trees.fit(rows.filter(F.col("rn") < start), NAMES, "y", "gbt", "regression")
+    held = rows.filter(F.col("rn") >= start).withColumns({"rn": F.col("rn") - start, "n": F.col("n") - start})
     split = trees.feature_importances(model, spark, NAMES)
-    out = trees.permutation_importance(model, rows, NAMES, "y").join(split, "feature")
-    spread = rows.agg(F.stddev_pop("y").alias("s")).scalar()
-    ok = finite("rmse_increase").isNotNull() & F.col("importance").between(0, 1)
-    return out.select("feature", ok.alias("finite"), (F.col("rmse") < spread).alias("better"))
+    out = trees.permutation_importance(model, held, NAMES, "y").join(split, "feature")
+    size = held.agg(F.count(F.lit(1)).alias("k")).scalar()
+    ok = finite("rmse_increase").isNotNull() & finite("rmse").isNotNull() & F.col("importance").between(0, 1)
+    return out.select("feature", size.alias("rows"), ok.alias("finite"))
+
+
+@query("tree_contributions", with_sql(*MODEL_ROWS, select="SELECT asset, feature, count(*) AS rows, TRUE AS additive, TRUE AS used FROM mr, (VALUES "
+    + ", ".join(f"('{f}')" for f in NAMES) + ") AS k(feature) GROUP BY ALL"))
+def tree_contributions(spark, sf):
+    """Contributions of each feature to boosted trees' predictions: they and the base add up to the prediction."""
+    rows = model_rows(spark, sf)
+    model = trees.fit(rows, NAMES, "y", "gbt", "regression")
+    long = contributions.tree_contributions(model, rows, NAMES, ["asset", "ts"])
+    keys = ["asset", "ts"]
+    sums = long.groupBy(*keys).agg((F.sum("contribution") + F.max("base")).alias("total"))
+    scored = trees.predict(model, rows, NAMES, "y").select(*keys, "y_pred")
+    fits = sums.join(scored, keys).select(*keys, (F.abs(F.col("total") - F.col("y_pred")) < 1e-9).alias("fits"))
+    return long.join(fits, keys).groupBy("asset", "feature").agg(F.count(F.lit(1)).alias("rows"), F.bool_and("fits").alias("additive"), F.max(F.abs("contribution")).alias("_most")).withColumn(
+        "used", F.max("_most").over(Window.partitionBy("feature")) > 0).drop("_most")

@@ -10,6 +10,7 @@ from tideline.functions.layout import Series
 from tideline.functions.safe import rounded
 from tideline.operators import diagnostics as D
 from tideline.operators import selection as S
+from tideline.operators import unitroot as U
 from tideline.operators.align import returns
 from tideline.operators.features import Module, features
 from workloads.fixtures import PREDS, W, frame, predictions_reg, priority_bars, rnd, roll, with_sql
@@ -235,6 +236,22 @@ def stationarity(spark, sf):
     return shown(out, {"adf": 4, "kpss": 5}, ("asset", "series", "n", "conclusion"))
 
 
+_ADF = (
+    f"ad AS (SELECT asset, walk - lag(walk) OVER ({W}) AS d, lag(walk) OVER ({W}) AS b, lag(walk) OVER ({W}) - lag(walk, 2) OVER ({W}) AS e FROM cc)",
+    "am AS (SELECT asset, count(*) AS n, var_pop(b) AS bb, var_pop(e) AS ee, covar_pop(b, e) AS be, covar_pop(b, d) AS bd, covar_pop(e, d) AS ed, var_pop(d) AS dd FROM ad WHERE e IS NOT NULL GROUP BY asset)",
+    "af AS (SELECT *, bd / bb AS c0, (ee * bd - be * ed) / (bb * ee - be * be) AS c1, (bb * ed - be * bd) / (bb * ee - be * be) AS c2 FROM am)",
+    "ar AS (SELECT *, n * (dd - c0 * bd) AS s0, n * (dd - c1 * bd - c2 * ed) AS s1 FROM af)",
+    "aa AS (SELECT *, CASE WHEN n * ln(s1 / n) + 6 < n * ln(s0 / n) + 4 THEN 1 ELSE 0 END AS lag FROM ar)",
+)
+
+
+@query("adf_lags", with_sql(CUMCLOSE, *_ADF, select="SELECT asset, n, CAST(lag AS BIGINT) AS lag, "
+    + rnd("CASE WHEN lag = 0 THEN c0 / sqrt(s0 / (n - 2) / (n * bb)) ELSE c1 / sqrt(s1 / (n - 3) * ee / (n * (bb * ee - be * be))) END", "adf", 5) + " FROM aa"))
+def adf_lags(spark, sf):
+    """Dickey-Fuller t with a lagged difference where AIC asks for it."""
+    return shown(U.augmented_dickey_fuller(walks(spark, sf), "walk", most=1), {"adf": 5}, ("asset", "n", "lag"))
+
+
 @query("differencing", with_sql(CUMCLOSE, f"df AS (SELECT asset, ts, walk AS d0, walk - lag(walk) OVER ({W}) AS d1, walk - 2 * lag(walk) OVER ({W}) + lag(walk, 2) OVER ({W}) AS d2 FROM cc)",
     *_stationary_sql("a", "df", "d0"), *_stationary_sql("b", "df", "d1"), *_stationary_sql("c", "df", "d2"),
     select="""SELECT asset, CASE WHEN (a.adf < -2.8621 AND a.kpss < 0.463) OR coalesce(b.n < 50, TRUE) THEN 0 WHEN (b.adf < -2.8621 AND b.kpss < 0.463) OR coalesce(c.n < 50, TRUE) THEN 1 ELSE 2 END AS d
