@@ -203,12 +203,12 @@ def compare_runs(spark, sf):
     return shown(out, {"step60": 6, "step30": 6}, ("asset", "model", "task"))
 
 
-@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds GROUP BY 1, 2 HAVING regr_slope(y_true, y_pred) > 0.25)"))
+@query("saved_model_semi", with_sql(*RES, select="SELECT asset, model, task FROM results WHERE (asset, model) IN (SELECT asset, model FROM preds GROUP BY 1, 2 HAVING regr_slope(y_true, y_pred) > 0)"))
 def saved_model_semi(spark, sf):
     """Results whose calibration, a line from forecast to outcome, was good enough to be saved."""
     fitted = fit_linear(predictions_reg(spark, sf), ["y_pred"], "y_true", ["asset", "model"])
     saved = ResultStore(spark, shared_folder(spark, "results"))
-    saved.save("calibrations", fitted.filter(F.get("coefs", F.lit(0)) > 0.25), "run-a", by=())
+    saved.save("calibrations", fitted.filter(F.get("coefs", F.lit(0)) > 0), "run-a", by=())
     registry = saved.load("calibrations", "run-a").select("asset", "model")
     return results(spark, sf).select("asset", "model", "task").join(registry, ["asset", "model"], "left_semi")
 
