@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = (
     "flagship", "macd", "regime_slope", "vix_join", "asof_ffill", "splits_expanding", "reg_metrics",
     "clf_weighted", "ffill_median_zero", "leakage_report", "perf_summary", "contrib_changes", "load_run",
+    "hmm_step", "hmm_path", "fit_garch", "garch_volatility", "adf_lags", "uniform_eval", "saved_model_semi", "impute_train",
 )
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 CHOSEN = sorted(SQL) if os.environ.get("ALL_QUERIES") else SAMPLE
