@@ -85,7 +85,15 @@ def fit_forest(spark, sf):
 
 @query("fit_arx", counted("ordered"))
 def fit_arx(spark, sf):
-    """All features; folds whose train rows show a unit root are differenced."""
+    """All features on the target as it is."""
+    rows = model_rows(spark, sf)
+    out = linear.arx_folds(rows, folds_of(rows), NAMES)
+    return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))))
+
+
+@query("arx_differenced", counted("ordered"))
+def arx_differenced(spark, sf):
+    """As ``fit_arx``; folds whose train rows show a unit root are differenced."""
     rows = model_rows(spark, sf)
     out = linear.arx_folds(rows, folds_of(rows), NAMES, d="auto")
     return per_fold(out, ("ordered", (F.col("lower") <= F.col("y_pred")) & (F.col("y_pred") <= F.col("upper"))))
