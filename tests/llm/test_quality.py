@@ -88,6 +88,18 @@ def test_a_common_line_goes_whatever_the_size_of_its_host(spark):
     assert left_by(spark, rows, max_line_share=0.5, most_line_documents=60) == {i: t for i, t, _ in rows}  # 60 hold it
 
 
+def test_query_counts_distinct_documents(spark, tmp_path):
+    """Documents that share many lines each count, copies once, and a long line goes that many hosts hold a little."""
+    shared = "\n".join(f"shared{k} line{k} of{k} the{k} frame{k}" for k in range(20))
+    line = "all rights reserved by the owners of this site"
+    rows = [(i, f"{shared}\n{own(i)}", "h") for i in range(200)] + [(1000 + i, f"{own(-1)}\n{own(-2)}", "h") for i in range(60)]
+    rows += [(300 + i, f"{shared}\nlittle else {i}", "h") for i in range(5)] + [(2000 + i, f"{own(i)}\n{line}", f"h{i % 60}") for i in range(1020)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.base_failed, r.kept, r.n_left) for r in QUERIES["op8_quality"](spark, str(tmp_path)).collect()}
+    want = {i: (False, True, 24 if 1000 <= i < 2000 else 12) for i, _, _ in rows}
+    assert got == want | {300 + i: (False, False, 3) for i in range(5)}
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_shared_lines_against_brute_force(spark, seed):
     rng = __import__("random").Random(seed)

@@ -9,9 +9,6 @@ The removed lines of a host are few (each is in a set share of its documents), s
 to documents that carry their measures. A long line in more documents of all hosts together than a fixed number goes
 too, however large its host. Such lines grow in number with the corpus, so each document gets only its own of them.
 
-``by_line`` counts as the SQL of ``op8_quality`` does: a document is known by its smallest other line, and a host's size
-is that of its smallest lines. Documents that share many lines fall together there.
-
 Edge cases: a null or empty text has no words and fails the base rules; a null source is a host of its own; repeated
 rows count as one document; an empty table gives an empty result; other columns are passed through whatever their names,
 but for those named like the results, which are replaced.
@@ -40,8 +37,6 @@ class QualitySettings:
     #: A line of at least so many words is removed from all hosts where more documents of all hosts hold it (none: no limit).
     most_line_documents: int | None = 1000
     long_line_words: int = 5
-    #: Documents are known by single lines.
-    by_line: bool = False
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -118,11 +113,6 @@ def repeated_words(words: Column, width: int) -> Column:
     return let(words, counted)
 
 
-def line_hashes(text: Column) -> Column:
-    """Distinct hashes of the lines with a word, rising."""
-    return F.array_sort(F.array_distinct(F.transform(split_lines(text), line_hash)))
-
-
 def document_key(hashes: Column) -> Column:
     """A document by the rising distinct hashes of all its lines."""
     return F.xxhash64(hashes)
@@ -135,11 +125,6 @@ def lined(docs: DataFrame, settings: QualitySettings) -> DataFrame:
     return materialise(out.withColumn("_doc", document_key(F.col("_all.h"))), "lined")
 
 
-def _above(often: DataFrame, sizes: DataFrame, s: QualitySettings) -> DataFrame:
-    above = often.join(sizes, often["_host"].eqNullSafe(sizes["_host"])).where(F.col("_n") > s.max_line_share * F.col("_size"))
-    return materialise(above.groupBy(often["_host"]).agg(F.collect_set("_line").alias("_removed")), "removed_lines")
-
-
 def shared_lines(lines: DataFrame, settings: QualitySettings) -> DataFrame:
     """Per host with any: ``_host`` and ``_removed``, the hashes of the lines above its limits."""
     each = lines.select("_host", "_doc", F.explode("_all.h").alias("_line"))
@@ -147,7 +132,8 @@ def shared_lines(lines: DataFrame, settings: QualitySettings) -> DataFrame:
     # Only lines above the absolute limit go on.
     often = materialise(held.where(F.col("_n") > settings.max_line_documents), "often")
     sizes = lines.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("_size"))
-    return _above(often, sizes, settings)
+    above = often.join(sizes, often["_host"].eqNullSafe(sizes["_host"])).where(F.col("_n") > settings.max_line_share * F.col("_size"))
+    return materialise(above.groupBy(often["_host"]).agg(F.collect_set("_line").alias("_removed")), "removed_lines")
 
 
 def common_lines(lines: DataFrame, settings: QualitySettings) -> DataFrame:
@@ -157,19 +143,6 @@ def common_lines(lines: DataFrame, settings: QualitySettings) -> DataFrame:
     return materialise(long.join(wide, "_line", "left_semi").groupBy(F.col("_doc").alias("_key")).agg(F.collect_set("_line").alias("_common")), "common_lines")
 
 
-def shared_by_line(docs: DataFrame, settings: QualitySettings) -> DataFrame:
-    """As ``shared_lines``, with documents known by their smallest other lines."""
-    # Lines of documents: distinct texts by their lines, so what is dealt out is hashes.
-    lines = docs.select(F.col("source").alias("_host"), line_hashes(F.col("text").cast("string")).alias("_all")).where(F.size("_all") > 0)
-    smallest, second = F.get("_all", F.lit(0)), F.coalesce(F.get("_all", F.lit(1)), F.lit(-1))
-    each = lines.select("_host", smallest.alias("_least"), second.alias("_next"), F.explode("_all").alias("_line"))
-    known = F.when(F.col("_line") == F.col("_least"), F.col("_next")).otherwise(F.col("_least"))
-    held = each.select("_host", "_line", known.alias("_known")).distinct().groupBy("_host", "_line").agg(F.count("*").alias("_n"))
-    often = materialise(held.where(F.col("_n") > settings.max_line_documents), "often")
-    sizes = lines.select("_host", smallest.alias("_least")).distinct().groupBy("_host").agg(F.count("*").alias("_size"))
-    return _above(often, sizes, settings)
-
-
 def measure(frame: DataFrame, settings: QualitySettings | None = None) -> DataFrame:
     """A frame with ``text`` and the measures, ``base_failed`` and ``_lines``, hash and words of each line."""
     s = settings or QualitySettings()
@@ -189,10 +162,9 @@ def measure(frame: DataFrame, settings: QualitySettings | None = None) -> DataFr
 
 def marked(measured: DataFrame, docs: DataFrame, settings: QualitySettings) -> DataFrame:
     """A measured frame of ``docs`` with ``source`` and ``_removed``, the hashes of the lines it loses (null: none)."""
-    lines = None if settings.by_line else lined(docs, settings)
-    removed = shared_by_line(docs, settings) if lines is None else shared_lines(lines, settings)
-    out = measured.join(removed, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    if lines is None or settings.most_line_documents is None:
+    lines = lined(docs, settings)
+    out = measured.join(shared_lines(lines, settings), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+    if settings.most_line_documents is None:
         return out
     key = document_key(F.array_sort(F.array_distinct(F.col("_lines.h"))))
     # One plan at every size: a table that is broadcast while small and dealt out later would not grow in proportion.
